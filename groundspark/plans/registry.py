@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import inspect
+
+from pyspark.sql import DataFrame, SparkSession
+
+from groundspark.plans import queries
+from groundspark.plans.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+QUERIES = {name: f for name, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not name.startswith("_")}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search of all benchmark texts over all documents."""
+    return queries.hybrid_search(spark, sf_dir)
