@@ -221,6 +221,7 @@ def _probe_there(docs: DataFrame, keep: list[str], slim: DataFrame, built: DataF
                             h1, h2 = _hashes([key])
                             if int((h1 ^ h2).view(np.int64)[0]) in marked:
                                 out.add(j)
+                if out:
                     texts[i] = b"\n".join(x for j, x in enumerate(lines) if j not in out)
                 n_lines.append(len(lines))
                 n_dropped.append(len(out))
