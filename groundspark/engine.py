@@ -12,6 +12,7 @@ from groundspark.functions.text import canonicalize, strategy, subqueries
 from groundspark.operators import graph, retrieval, synthesis, verification
 from groundspark.operators.chunking import chunks as make_chunks
 from groundspark.operators.embedding import embed
+from groundspark.runtime import cut
 from groundspark.sources.files import dedupe, parse, registry
 from groundspark.sources.store import Store
 
@@ -26,21 +27,20 @@ class Engine:
 
     def ingest(self, files: DataFrame) -> DataFrame:
         """Ingest ``(path, content, title)``; returns the new registry rows. Known contents are skipped."""
-        files = files.select("path", "content", "title")
+        files = files.where("content is not null").select("path", "content", "title")
         known = self.store.read("documents")
-        new = dedupe(registry(files.where("content is not null")), known)
-        parts, _ = parse(files.where("content is not null").dropDuplicates(["content"]), self.pdf_pages)
+        new = cut(dedupe(registry(files), known))
+        parts, _ = parse(files.dropDuplicates(["content"]), self.pdf_pages)
         made = make_chunks(parts.join(new.select("doc_id"), "doc_id", "left_semi"), self.cfg)
-        titled = made.join(new.select("doc_id", "title"), "doc_id").select("chunk_id", "doc_id", "title", "chunk_index", "content", "token_count", "breadcrumbs")
+        titled = cut(made.join(new.select("doc_id", "title"), "doc_id").select("chunk_id", "doc_id", "title", "chunk_index", "content", "token_count", "breadcrumbs"))
         vectors = embed(titled.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), self.cfg.embedding_dim, "chunk_id", provider=self.embedder)
-        mentions = graph.entity_candidates(titled)
+        mentions = cut(graph.entity_candidates(titled))
         triples = graph.relation_triples(titled, mentions)
         counts = titled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
         rows = new.join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         both = lambda name, df: df if (old := self.store.read(name)) is None else old.unionByName(df)
         self.store.publish(chunks=both("chunks", titled), vectors=both("vectors", vectors), mentions=both("mentions", mentions), triples=both("triples", triples), documents=both("documents", rows))
-        ids = rows.select("doc_id")
-        return self.documents().join(ids, "doc_id", "left_semi") if known is None else self.documents().join(known.select("doc_id"), "doc_id", "left_anti")
+        return rows
 
     def documents(self) -> DataFrame:
         return self.store.read("documents")
@@ -62,16 +62,17 @@ class Engine:
     def _graph(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         mentions, triples = self.store.read("mentions"), self.store.read("triples")
         entities = graph.entity_merge(mentions)
-        seeds = graph.seed_match(queries, entities).select("query_id", F.col("canonical_id").alias("node"))
-        nodes = graph.k_hop_nodes(seeds, triples, self.cfg.graph_depth, self.cfg.graph_max_nodes)
-        edges = graph.induced_edges(nodes, triples)
+        seeds = cut(graph.seed_match(queries, entities).select("query_id", F.col("canonical_id").alias("node")))
+        nodes = cut(graph.k_hop_nodes(seeds, triples, self.cfg.graph_depth, self.cfg.graph_max_nodes))
+        edges = cut(graph.induced_edges(nodes, triples))
         return nodes, edges, graph.graph_chunk_scores(nodes, edges, mentions, self.cfg.graph_top_k)
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None, channels: tuple[str, ...] = retrieval.CHANNELS) -> tuple[DataFrame, DataFrame]:
         """Contexts ``(query_id, rank, chunk_id, title, content, ...)`` and subgraph edges of ``queries (query_id, query)``."""
         _, edges, scores = self._graph(queries)
         found = retrieval.hybrid_search(self.store.read("chunks"), queries, self.cfg, scores, top_k, self.store.read("vectors"), channels)
-        return found, edges
+        # Answers, prompts and checks all start from these few rows a query, so they are made once.
+        return cut(found), edges
 
     def answer(self, queries: DataFrame, top_k: int | None = None, enable_graph: bool = True, channels: tuple[str, ...] = retrieval.CHANNELS) -> DataFrame:
         """One row a query: strategy, attributed response, faithfulness, relevance, contexts and claims.
@@ -79,14 +80,16 @@ class Engine:
         ``enable_graph=False`` leaves the subgraph out of the answer only; ``channels`` says which rankings take part.
         """
         contexts, edges = self.retrieve(queries, top_k, channels)
+        return self._answer(queries, contexts, edges, enable_graph)
+
+    def _answer(self, queries: DataFrame, contexts: DataFrame, edges: DataFrame, enable_graph: bool) -> DataFrame:
         facts = synthesis.graph_fact_sentence(edges, "triple_id") if enable_graph else None
         if self.generator is not None:
             prompts = synthesis.context_prompt(queries, contexts, edges if enable_graph else None)
             answers = prompts.mapInPandas(self.generator, "query_id long, answer string").join(queries, "query_id")
         else:
             answers = synthesis.synthesize(queries, contexts, facts)
-        claim_rows = verification.claim_table(answers, cfg=self.cfg)
-        verified = verification.claim_status(claim_rows, verification.align(claim_rows, contexts, self.cfg), self.cfg)
+        answers, verified = self._verify(answers, contexts)
         listed = verified.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_ord", "claim", "status", "confidence", "cited_chunk_id"))).alias("claims"))
         shown = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "title", "score"))).alias("chunks"))
         return (
@@ -99,10 +102,17 @@ class Engine:
             .join(answers.select("query_id", "answer"), "query_id")
         )
 
+    def _verify(self, answers: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Answers and the status of their claims, each made once."""
+        answers = cut(answers)
+        claim_rows = verification.claim_table(answers, cfg=self.cfg)
+        aligned = cut(verification.align(claim_rows, contexts, self.cfg))
+        return answers, cut(verification.claim_status(claim_rows, aligned, self.cfg))
+
     def answer_events(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """``(query_id, seq, event, data)``: routing, subgraph, sources, tokens, verification, done."""
-        full = self.answer(queries, top_k)
-        _, edges, _ = self._graph(queries)
+        contexts, edges = self.retrieve(queries, top_k)
+        full = self._answer(queries, contexts, edges, True)
         drawn = edges.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("triple_id", "source_id", "relation", "target_id"))).alias("edges"))
         rows = full.join(drawn, "query_id", "left")
         events = F.concat(
@@ -163,9 +173,7 @@ class Engine:
                 measured = rows.select("query_id", "answer", "faithfulness", "relevance")
             else:
                 contexts = self._arm(queries, channels, k)
-                answers = synthesis.synthesize(queries, contexts)
-                claim_rows = verification.claim_table(answers, cfg=self.cfg)
-                verified = verification.claim_status(claim_rows, verification.align(claim_rows, contexts, self.cfg), self.cfg)
+                answers, verified = self._verify(synthesis.synthesize(queries, contexts), contexts)
                 measured = answers.join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id").join(verification.relevance(answers, self.cfg), "query_id").select("query_id", "answer", "faithfulness", "relevance")
             one = measured.join(samples, "query_id").select(F.lit(arm).alias("arm"), "query_id", "faithfulness", "relevance", entity_recall(F.col("truth"), F.col("answer")).alias("entity_recall"))
             parts = one if parts is None else parts.unionByName(one)
@@ -184,7 +192,7 @@ class Engine:
             ranked = ranked.unionByName(bm25_topk(indexed, queries, k, self.cfg).select("query_id", "chunk_id", (F.col("rank") + k).alias("o")))
         first = ranked.groupBy("query_id", "chunk_id").agg(F.min("o").alias("o"))
         order = Window.partitionBy("query_id").orderBy("o")
-        return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(chunks, "chunk_id")
+        return cut(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(chunks, "chunk_id"))
 
 
 def entity_recall(truth, answer):

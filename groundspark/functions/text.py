@@ -103,8 +103,8 @@ def title_case(text: Column) -> Column:
 def claims(text: Column, min_words: int = 4, strict: bool = False) -> Column:
     """Declarative statements of an answer, in order.
 
-    The bullet rule takes one character (a digit included) off a line's start, as the surveyed service
-    does; ``strict`` takes whole bullets only.
+    The bullet rule takes one character (a digit included) off a line's and then a sentence's start, as the surveyed
+    service does; ``strict`` takes whole bullets only.
     """
     bullet = r"^\s*(?:[-*•]|\d+\.)\s+" if strict else r"^\s*[-*•\d+\.]\s*"
     lines = F.split(F.regexp_replace(text, r"\s+[-*•]\s+", "\n"), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")

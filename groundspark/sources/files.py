@@ -65,7 +65,7 @@ def parse(files: DataFrame, pdf_pages: Callable | None = None) -> tuple[DataFram
     keyed = files.withColumn("doc_id", F.sha2("content", 256))
     usable = keyed.where("content is not null")
     plain = usable.where(~is_pdf(F.col("path")))
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     found = plain.select("doc_id", F.posexplode(section_array(text)).alias("section_index", "s")).select(
         "doc_id", "section_index", F.col("s.text").alias("text"), F.col("s.crumbs").alias("breadcrumbs"), F.lit(1).alias("page_number")
     )
