@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -16,6 +17,20 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+#: Bytes of text that a task turns into Python objects at once, about.
+PART_BYTES = 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], name: str, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Zero-copy slices of the batches, each with ``limit`` bytes of a string column at most (one row at least)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_pylist()
+        for start, stop in slices([n + 64 for n in sizes], limit):
+            yield batch.slice(start, stop - start)
+        if not batch.num_rows:
+            yield batch
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut a run of items into consecutive slices whose sizes sum to ``limit`` at most (one item at least)."""
     start = total = 0

@@ -12,38 +12,59 @@ The vocabulary file is read on the driver and broadcast (its size is checked); i
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes, slices
+from groundspark.llm.batches import column, parts, slices
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Distinct pieces whose tokens a task remembers, and bytes of text it gives back at once.
-CACHE_PIECES = 200_000
-BATCH_BYTES = 8 << 20
+#: Distinct pieces whose tokens a task remembers, pairs whose check it does, and tokens that are decoded at once.
+CACHE_PIECES = 150_000
+CACHE_PAIRS = 200_000
+DECODE_TOKENS = 1 << 19
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """From lines of base64 token and rank."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
+def byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes by id, where each starts, and how many it has (0: no such id)."""
+    order = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        order[i] = token
+    lengths = np.fromiter(map(len, order), dtype=np.int64, count=len(order))
+    return np.frombuffer(b"".join(order), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 class Vocabulary:
-    """Ranks of byte strings, with the check of token pairs."""
+    """Ranks of byte strings, with the tokens that end at each byte of a text and the check of token pairs."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.by_id = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.endings = ahocorasick.Automaton()
+        for token, i in ranks.items():
+            self.endings.add_word(token.decode("latin-1"), (len(token), i))
+        self.endings.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
-        #: Tokens of pieces met before.
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self)
 
     @classmethod
     def from_file_bytes(cls, data: bytes) -> Vocabulary:
-        """From lines of base64 token and rank."""
-        return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())})
+        return cls(read_ranks(data))
 
     def merge(self, text: bytes) -> list[int]:
         """Merge by ranks, lowest first and leftmost of equals, until no neighbours form a token."""
@@ -57,18 +78,76 @@ class Vocabulary:
 
     def alone(self, token: int) -> bool:
         """Whether merging the token's bytes gives the token."""
-        if token not in self._alone:
-            self._alone[token] = self.merge(self.by_id[token]) == [token]
-        return self._alone[token]
+        known = self._alone.get(token)
+        if known is None:
+            known = self._alone[token] = self.merge(self.by_id[token]) == [token]
+        return known
 
     def pair(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both tokens gives just them."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
             known = self._pairs[left, right] = self.merge(self.by_id[left] + self.by_id[right]) == [left, right]
         return known
 
+    def extend(self, text: bytes, last: list[int]) -> None:
+        """Append to ``last`` the last token of each further prefix of ``text``."""
+        done, pairs = len(last), self._pairs
+        for at, (size, token) in self.endings.iter(text.decode("latin-1"), max(0, done - self.longest)):
+            if at != done:
+                continue  # before the new prefixes, or this one is settled
+            if at >= size:
+                known = pairs.get((last[at - size], token))
+                if not (self.pair(last[at - size], token) if known is None else known):
+                    continue
+            elif not self.alone(token):
+                continue
+            last.append(token)
+            done += 1
+        if done < len(text):
+            raise ValueError("the vocabulary lacks a byte")
+
+
+class Pieces(dict):
+    """Tokens of pieces met before; a new piece is encoded. Holds a bounded number."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        tokens = tuple(encode_piece(self.vocabulary, piece.encode()))
+        if len(piece) <= 64:
+            self[piece] = tokens
+        return tokens
+
+
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for ASCII text in the quicker standard engine; None if it isn't one that translates."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        two, four = pattern[i : i + 2], pattern[i : i + 5]
+        if four in _ASCII:
+            out += _ASCII[four] if inside else f"[{_ASCII[four]}]"
+            i += 5
+        elif two[:1] == "\\":
+            if two not in ("\\s", "\\S"):
+                return None
+            out += two
+            i += 2
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out += two[0]
+            i += 1
+    return re.compile(out, re.ASCII)
+
+
+#: What the classes of letters and numbers are within ASCII.
+_ASCII = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
+
 
 class Prefixes:
     """Last tokens of all prefixes of a byte string that can grow and change."""
@@ -77,19 +156,10 @@ class Prefixes:
         self.vocabulary, self.text, self.last = vocabulary, b"", []
         self.append(text)
 
-    def _last(self, end: int) -> int:
-        v = self.vocabulary
-        for size in range(min(end, v.longest), 0, -1):
-            token = v.ranks.get(self.text[end - size : end])
-            if token is not None and v.alone(token) and (size == end or v.pair(self.last[end - size - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
         """Add bytes at the end; only their own prefixes are computed."""
-        start, self.text = len(self.text), self.text + more
-        for end in range(start + 1, len(self.text) + 1):
-            self.last.append(self._last(end))
+        self.text += more
+        self.vocabulary.extend(self.text, self.last)
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace ``text[start:stop]``; returns how many prefixes had to be computed.
@@ -97,17 +167,14 @@ class Prefixes:
         A prefix's last token depends on the bytes and last tokens within the length of the longest token
         before its end. Once that many prefixes in a row agree with the old ones, all later ones do.
         """
-        old_tail, tail = self.last[stop:], self.text[stop:]
+        span, old_tail, tail = self.vocabulary.longest, self.last[stop:], self.text[stop:]
         self.text, self.last = self.text[:start] + new + tail, self.last[:start]
-        agreed = 0
-        for end in range(start + 1, len(self.text) + 1):
-            token = self._last(end)
-            self.last.append(token)
-            at = end - start - len(new) - 1
-            agreed = agreed + 1 if at >= 0 and old_tail[at] == token else 0
-            if agreed >= self.vocabulary.longest:
-                self.last += old_tail[at + 1 :]
-                return end - start
+        for at in range(0, len(tail), span):
+            self.vocabulary.extend(self.text[: start + len(new) + min(at + span, len(tail))], self.last)
+            if len(tail) - at > span and self.last[-span:] == old_tail[at : at + span]:
+                self.last += old_tail[at + span :]
+                return len(new) + at + span
+        self.vocabulary.extend(self.text, self.last)
         return len(self.text) - start
 
     def tokens(self) -> list[int]:
@@ -148,6 +215,16 @@ def _loaded(data: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
+def expand(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids in a row, and the number of bytes of each."""
+    data, starts, lengths = table
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
+        raise ValueError("an id is outside the vocabulary")
+    n = lengths[ids]
+    at = np.arange(int(n.sum()), dtype=np.int64) + np.repeat(starts[ids] - (np.cumsum(n) - n), n)
+    return data[at], n
+
+
 def _fields(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
 
@@ -164,32 +241,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, find = _loaded(shared.value), regex.compile(pattern).findall
-        cache = vocabulary.pieces
-        for batch in batches:
-            texts = column(batch, "_text").to_pylist()
-            for start, stop in slices([len(t or "") for t in texts], BATCH_BYTES):
-                rows = []
-                for text in texts[start:stop]:
-                    own: list[int] = []
-                    for piece in find(text) if text else ():
-                        tokens = cache.get(piece)
-                        if tokens is None:
-                            if len(cache) >= CACHE_PIECES:
-                                cache.clear()
-                            tokens = encode_piece(vocabulary, piece.encode())
-                            if len(piece) <= 64:
-                                cache[piece] = tokens
-                        own += tokens
-                    rows.append(np.array(own, dtype=np.int32))
-                yield _with_lists(batch, keep, start, stop, rows, tokens_col)
+        quick = ascii_pattern(pattern)
+        quick = quick.findall if quick else find
+        pieces = vocabulary.pieces
+        for batch in parts(batches, "_text"):
+            rows = []
+            for text in column(batch, "_text").to_pylist():
+                found = map(pieces.__getitem__, (quick if text.isascii() else find)(text)) if text else ()
+                rows.append(np.fromiter(chain.from_iterable(found), dtype=np.int32))
+            yield _with_lists(batch, keep, rows, tokens_col)
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}`{tokens_col}` array<int>")
 
 
-def _with_lists(batch: pa.RecordBatch, keep: list[str], start: int, stop: int, rows: list[np.ndarray], name: str) -> pa.RecordBatch:
+def _with_lists(batch: pa.RecordBatch, keep: list[str], rows: list[np.ndarray], name: str) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-    kept = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
+    kept = [batch.column(i) for i in range(len(keep))]
     return pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, name])
 
 
@@ -202,15 +270,18 @@ def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list
     shared = _shared(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = _loaded(shared.value).by_id
+        table = byte_table(read_ranks(shared.value))
         for batch in batches:
             lists = column(batch, "_tokens")
-            flat, ends = lists.flatten().to_numpy(), np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])
-            sizes = np.diff(ends, prepend=0)
-            for start, stop in slices(sizes.tolist(), BATCH_BYTES // 4):
-                at = (ends - sizes)[start:stop].tolist()
-                out = [b"".join(map(by_id.__getitem__, flat[a : a + n].tolist())) for a, n in zip(at, sizes[start:stop].tolist(), strict=True)]
+            flat, sizes = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
+            ends = np.cumsum(sizes)
+            for start, stop in slices(sizes.tolist(), DECODE_TOKENS):
+                first = int(ends[start] - sizes[start])
+                data, lengths = expand(table, flat[first : ends[stop - 1]])
+                before = np.concatenate([[0], np.cumsum(lengths)])
+                offsets = before[np.concatenate([[0], ends[start:stop] - first])].astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                 kept = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], [*keep, bytes_col])
+                yield pa.RecordBatch.from_arrays([*kept, made], [*keep, bytes_col])
 
     return encoded.select(*keep, F.col(tokens_col).alias("_tokens")).mapInArrow(run, f"{_fields(encoded, keep)}`{bytes_col}` binary")
