@@ -307,7 +307,7 @@ ORACLES: dict[str, str] = {
     "graph_stats": f"""WITH {TRIPLES}, c AS (SELECT count(*) AS n FROM ends), m AS (SELECT count(*) AS m FROM tri)
         SELECT n AS n_nodes, m AS n_edges, round(m::DOUBLE / (n * (n - 1)), 4) AS density, (SELECT count(DISTINCT n_regionkey) FROM nation) AS n_components FROM c, m""",
     "graph_delete_document": f"WITH {TRIPLES}, k AS (SELECT * FROM tri WHERE chunk_id <> 'supplier') SELECT source_id AS canonical_id FROM k UNION SELECT target_id FROM k",
-    "rrf_fuse": f"{FUSE} SELECT query_id, doc_id, round(rrf_score, 9) AS rrf_score, CAST(dense_rank AS BIGINT) AS dense_rank, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM fu",
+    "rrf_fuse": f"{FUSE} SELECT query_id, doc_id, round(rrf_score, 9) AS rrf_score, CAST(coalesce(dense_rank, 0) AS BIGINT) AS dense_rank, CAST(coalesce(bm25_rank, 0) AS BIGINT) AS bm25_rank FROM fu",
     "rerank": f"{FUSE}, {rerank('fu', 5)}",
     "hybrid_search": f"""WITH {DOCS.replace('docs AS', 'docs0 AS')}, docs AS (SELECT doc_id, lang, source, coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || text AS text FROM docs0), {BENCH}, {bm25(8)},
         ds AS (SELECT doc_id AS id, coalesce(source, '') || ': ' || text AS text FROM docs0), {embedding('dv', 'ds')}, qs AS (SELECT query_id AS id, query AS text FROM bench), {embedding('qv', 'qs')},

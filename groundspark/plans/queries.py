@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
@@ -241,16 +241,19 @@ def _rankings(spark, d):
     bm25 = _bm25(spark, d, 8).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit("bm25").alias("modality"), "rank")
     words = asked.select("query_id", F.explode(F.array_distinct(T.word_tokens(F.col("query")))).alias("term"))
     shared = words.join(lexical.postings(docs, "doc_id", "text"), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
     other = shared.withColumn("rank", F.row_number().over(order)).where("rank <= 8").select("query_id", F.col("doc_id").alias("chunk_id"), F.lit("dense").alias("modality"), "rank")
     return bm25.unionByName(other)
 
 
+def _rank(c):
+    """A channel's rank, 0 where it didn't find the document."""
+    return F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+
+
 def rrf_fuse(spark, d):
     fused = retrieval.rrf_fuse(_rankings(spark, d), CFG)
-    return fused.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"))
+    return fused.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), _rank("dense_rank"), _rank("bm25_rank"))
 
 
 def _as_chunks(docs):
@@ -305,8 +308,6 @@ def _answers(spark, d):
 
 def _contexts(spark, d):
     """For each answer the user turns of its conversation, ranked by turn."""
-    from pyspark.sql import Window
-
     users = _turns(spark, d).where("role = 'user'").select("conv_id", F.col("turn").alias("u"), F.col("text").alias("content"), F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
     ranked = users.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("u")))
     return _answers(spark, d).select("query_id", "conv_id").join(ranked, "conv_id").select("query_id", "rank", "chunk_id", "content")
