@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import STOP_WORDS, word_tokens
@@ -31,12 +31,12 @@ def features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for n in (3, 4):
         each = F.expr(f"transform(sequence(1, length(w) - {n - 1}), k -> substring(w, k, {n}))")
         pieces.append(grams.where(F.length("w") >= n).select(id_col, F.explode(each).alias("feature"), F.lit(n).alias("salt"), (F.col("n") * 0.35).alias("weight")))
-    following = Window.partitionBy(id_col).orderBy("i")
+    # Neighbours come from the token array itself, so pairs need no window.
+    listed = texts.select(id_col, word_tokens(F.col(text_col)).alias("ws")).where("size(ws) > 1")
     pairs = (
-        words.withColumn("w2", F.lead("w").over(following))
-        .withColumn("stop2", F.lead("stop").over(following))
-        .where(F.col("w2").isNotNull() & ~(F.col("stop") & F.col("stop2")))
-        .select(id_col, F.concat_ws("_", "w", "w2").alias("feature"), F.lit(7).alias("salt"), F.lit(0.75).alias("weight"))
+        listed.select(id_col, F.explode(F.expr("transform(sequence(1, size(ws) - 1), i -> struct(ws[i - 1] as a, ws[i] as b))")).alias("p"))
+        .where(~(F.col("p.a").isin(STOP_WORDS) & F.col("p.b").isin(STOP_WORDS)))
+        .select(id_col, F.concat_ws("_", "p.a", "p.b").alias("feature"), F.lit(7).alias("salt"), F.lit(0.75).alias("weight"))
     )
     out = by_word.select(id_col, F.col("w").alias("feature"), F.lit(1).alias("salt"), "weight")
     for part in (*pieces, pairs):
@@ -44,14 +44,21 @@ def features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out
 
 
-def sparse_embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id_col, bucket, value)`` of unit length; texts without tokens, or whose features cancel, are uniform."""
+def _packed(texts: DataFrame, dim: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a text: ``cells``, an array of (bucket, value) of unit length."""
     bucket, sign = bucket_sign(F.col("feature"), F.col("salt"), dim)
-    cells = features(texts, id_col, text_col).select(id_col, bucket.alias("bucket"), (sign * F.col("weight")).alias("v")).groupBy(id_col, "bucket").agg(F.sum("v").alias("v"))
-    norms = cells.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 1e-9")
-    made = cells.join(norms, id_col).select(id_col, "bucket", (F.col("v") / F.col("norm")).alias("value"))
-    flat = texts.select(id_col).distinct().join(norms, id_col, "left_anti").select(id_col, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("bucket"), F.lit(dim**-0.5).alias("value"))
-    return made.unionByName(flat)
+    cells = features(texts, id_col, text_col).select(id_col, bucket.alias("bucket"), (sign * F.col("weight")).alias("v"))
+    # A zero in the first bucket keeps texts without tokens.
+    cells = cells.unionByName(texts.select(id_col, F.lit(0).alias("bucket"), F.lit(0.0).alias("v"))).groupBy(id_col, "bucket").agg(F.sum("v").alias("v"))
+    packed = cells.groupBy(id_col).agg(F.collect_list(F.struct("bucket", "v")).alias("c"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    scaled = F.transform("c", lambda x: F.struct(x["bucket"].alias("bucket"), (x["v"] / F.col("norm")).alias("value")))
+    flat = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.struct(k.alias("bucket"), F.lit(dim**-0.5).alias("value")))
+    return packed.select(id_col, F.when(F.col("norm") > 1e-9, scaled).otherwise(flat).alias("cells"))
+
+
+def sparse_embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(id_col, bucket, value)`` of unit length without zeros; texts without tokens, or whose features cancel, are uniform."""
+    return _packed(texts, dim, id_col, text_col).select(id_col, F.explode("cells").alias("x")).select(id_col, "x.bucket", "x.value").where("value <> 0")
 
 
 def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text", provider: Callable | None = None) -> DataFrame:
@@ -65,7 +72,7 @@ def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text"
         made = texts.select(id_col, text_col).mapInPandas(provider, f"`{id_col}` {id_type}, embedding array<double>")
         wrong = F.raise_error(F.concat(F.lit("embedding length is not "), F.lit(str(dim))))
         return made.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
-    cells = sparse_embed(texts, dim, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
+    cells = _packed(texts, dim, id_col, text_col).select(id_col, F.map_from_entries("cells").alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
     return cells.select(id_col, dense.alias("embedding"))
 

@@ -269,7 +269,7 @@ ORACLES: dict[str, str] = {
     "extract_numbers": f"WITH {DOCS} SELECT doc_id, CAST(len(s) AS BIGINT) AS n_numbers, coalesce(array_to_string(s, ' '), '') AS numbers FROM (SELECT doc_id, {nums('text')} AS s FROM docs)",
     "canonicalize": f"SELECT p_partkey, {canon("concat_ws('-', p_name, p_brand, p_type)")} AS canonical_id FROM part",
     "hash_bucket_sign": f"WITH {BENCH}, t AS (SELECT DISTINCT unnest({tokens('query')}) AS token FROM bench) SELECT token, CAST({bucket('token', "'1'", 384)} AS BIGINT) AS bucket, {sign('token', "'1'")} AS sign FROM t",
-    "hash_embedding": f"WITH {BENCH}, src AS (SELECT query_id AS id, query AS text FROM bench), {embedding('e', 'src')} SELECT id AS item_id, CAST(bucket AS BIGINT) AS bucket, round(value, 6) + 0.0::DOUBLE AS value FROM e",
+    "hash_embedding": f"WITH {BENCH}, src AS (SELECT query_id AS id, query AS text FROM bench), {embedding('e', 'src')} SELECT id AS item_id, CAST(bucket AS BIGINT) AS bucket, round(value, 6) AS value FROM e WHERE round(value, 6) <> 0",
     "vector_upsert": f"WITH v AS (SELECT vec_id, CAST(label AS BIGINT) AS label, {_UNIT} AS u FROM embeddings) SELECT vec_id, CASE WHEN label = 1 THEN label + 100 ELSE label END AS label, round(u[1], 6) AS first FROM v",
     "vector_delete": "SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE label IS DISTINCT FROM 1",
     "dense_topk": _topk(""),

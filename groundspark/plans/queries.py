@@ -12,7 +12,7 @@ from groundspark.functions import text as T
 from groundspark.operators import graph, lexical, retrieval, synthesis, vectors, verification
 from groundspark.operators.chunking import chunks, sections
 from groundspark.operators.embedding import bucket_sign, sparse_embed
-from groundspark.runtime import table
+from groundspark.runtime import cut, table
 from groundspark.sources import files
 
 #: Short vectors keep the SQL equivalents quick; the operator's own default is 384.
@@ -93,7 +93,7 @@ def hash_bucket_sign(spark, d):
 
 def hash_embedding(spark, d):
     made = sparse_embed(_bench(spark, d), DIM, "query_id", "query")
-    return made.select(F.col("query_id").alias("item_id"), F.col("bucket").cast("long").alias("bucket"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
+    return made.select(F.col("query_id").alias("item_id"), F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value")).where("value <> 0")
 
 
 def vector_upsert(spark, d):
@@ -336,7 +336,7 @@ def best_evidence(spark, d):
 
 def _verified(spark, d):
     claims, aligned = _aligned(spark, d)
-    return verification.claim_status(claims, aligned, CFG)
+    return cut(verification.claim_status(claims, cut(aligned), CFG))
 
 
 def claim_status(spark, d):
