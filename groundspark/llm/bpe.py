@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, parts, slices
+from groundspark.llm.batches import column, parts, slices, small_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose tokens a task remembers, pairs whose check it does, and tokens that are decoded at once.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 120_000
 CACHE_PAIRS = 200_000
 DECODE_TOKENS = 1 << 19
 
@@ -111,15 +111,20 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """Tokens of pieces met before; a new piece is encoded. Holds a bounded number."""
+    """Tokens of pieces met before; a new piece is encoded.
+
+    Holds two generations of ``CACHE_PIECES`` at most: when the young one is full it becomes the old one, from which
+    pieces that are met again come back.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        tokens = self.old.get(piece) or tuple(encode_piece(self.vocabulary, piece.encode()))
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
-        tokens = tuple(encode_piece(self.vocabulary, piece.encode()))
         if len(piece) <= 64:
             self[piece] = tokens
         return tokens
@@ -236,6 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     the pattern leaves any, has no tokens. Null and empty texts have an empty array. An existing
     ``tokens_col`` gives way.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != tokens_col]
     shared = _shared(docs, path)
 
@@ -266,6 +272,7 @@ def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list
 
     A null or empty array gives empty bytes; an id outside the vocabulary is an error.
     """
+    small_batches(encoded.sparkSession)
     keep = [c for c in (encoded.columns if keep is None else keep) if c != bytes_col]
     shared = _shared(encoded, path)
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index over each shard of the training texts.
 
-The benchmark's windows of words are the phrases to find. A shard is a batch of documents in a task.
+The benchmark's windows of words are the phrases to find. A shard is a run of documents in a task.
 A word that no benchmark item holds ends every match, so a shard's text is cut to the runs
 of benchmark words that are as long as the shortest window, with a separator between them. Its suffixes are
 sorted by prefix doubling, a wavelet matrix over the Burrows-Wheeler transform gives ranks, all windows are
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes
+from groundspark.llm.batches import column, column_bytes, gathered
 from groundspark.runtime import cut
 
 #: Bytes of benchmark text whose windows are broadcast at once; more is done block by block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents in one index, about; every eighth suffix keeps its place.
+SHARD_BYTES = 16 << 20
 SAMPLE = 8
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -264,7 +266,7 @@ def decontaminate(
 
 def _finder(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, "_text", SHARD_BYTES):
             n_words, spans, items = find_hits(column_bytes(batch, "_text"), shared.value)
             before = [[(x["start"], x["end"]) for x in row] if row else [] for row in column(batch, "_spans").to_pylist()]
             listed = column(batch, "_items").to_pylist()

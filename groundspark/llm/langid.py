@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column
+from groundspark.llm.batches import column, parts, small_batches
 from groundspark.runtime import cut
 
 #: Labelled rows that the model is fitted on at most, and what the broadcast matrix may take.
@@ -24,7 +24,7 @@ MAX_MATRIX_BYTES = 32 << 20
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 #: Characters handled at once in a task.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 UNDETERMINED = "und"
 
 
@@ -91,7 +91,7 @@ def train(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in parts(batches, "text"):
             for text, lang in zip(column(batch, "text").to_pylist(), column(batch, "lang").to_pylist(), strict=True):
                 mine = totals.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
                 for buckets in gram_blocks(_codes(text), bits):
@@ -142,13 +142,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     Existing columns of those two names give way. Every row of ``docs`` gives one row; ties between
     languages go to the first in the order of their names.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     slim = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "_text"):
             langs, scores = score_texts(column(batch, "_text").to_pylist(), shared.value)
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes
+from groundspark.llm.batches import column, column_bytes, parts, small_batches
 from groundspark.runtime import cut
 
 #: Keys in a shard, about; bytes of arrays that may be broadcast; probes that meet a shard in one task, about.
@@ -98,7 +98,7 @@ def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             rows, keys = [], []
             for i, text in enumerate(column_bytes(batch, "text")):
                 own = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n")) if k is not None}
@@ -134,6 +134,7 @@ def drop_repeated_lines(
     stays as it is. Rows with a null id don't count and stay as they are. Ids must be integers.
     Columns named ``n_lines`` or ``n_dropped`` give way to the new ones; all others are kept.
     """
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = _line_hashes(slim, min_chars).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
@@ -144,8 +145,8 @@ def drop_repeated_lines(
     built = cut(built)
     total = built.agg(F.sum("bytes")).first()[0] or 0
     if total <= max_broadcast:
-        parts = {r["shard"]: pickle.loads(r["index"]) for r in built.select("shard", "index").collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(parts)
+        indexes = {r["shard"]: pickle.loads(r["index"]) for r in built.select("shard", "index").collect()}
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
         return _probe_here(docs, keep, id_col, text_col, min_chars, shards, shared)
     return _probe_there(docs, keep, slim, built, id_col, text_col, min_chars, shards)
 
@@ -161,7 +162,7 @@ def _output(batch: pa.RecordBatch, keep: list[str], text_col: str, texts: list,
 
 def _probe_here(docs: DataFrame, keep: list[str], id_col: str, text_col: str, min_chars: int, shards: int, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts, ids = column_bytes(batch, text_col), column(batch, id_col).to_pylist()
             lines = [(t or b"").split(b"\n") for t in texts]
             spots, keys = [], []
@@ -210,7 +211,7 @@ def _probe_there(docs: DataFrame, keep: list[str], slim: DataFrame, built: DataF
     joined = docs.select(*keep).join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text_col):
             texts, n_lines, n_dropped = column_bytes(batch, text_col), [], []
             for i, marks in enumerate(column(batch, "_gone").to_pylist()):
                 lines, out = (texts[i] or b"").split(b"\n"), set()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes
+from groundspark.llm.batches import column, column_bytes, parts
 from groundspark.runtime import cut
 
 FEATURES = [
@@ -63,7 +63,7 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             rows = np.array([statistics(t) for t in column_bytes(batch, "text")], dtype=float).reshape(-1, len(FEATURES))
             x = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), x], ["id", "x"])

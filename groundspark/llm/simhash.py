@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes
+from groundspark.llm.batches import column, column_bytes, parts, small_batches
 from groundspark.operators.components import connected_components
 from groundspark.runtime import cut
 
@@ -52,9 +52,10 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` for every row, fp the fingerprint as a signed long."""
     id_type = docs.schema[id_col].dataType
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             marks = np.fromiter(
                 (fingerprint(t, shingle) for t in column_bytes(batch, "text")), dtype=np.uint64, count=batch.num_rows
             )

@@ -3,27 +3,9 @@
 from __future__ import annotations
 
 from groundspark.llm.queries import URL_RULES
-from groundspark.llm.sharding import SEED
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
-_OP5 = f"""
-WITH d AS (
-  SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, coalesce(text, '') AS t,
-         md5('{SEED}:' || CAST(doc_id AS VARCHAR)) AS mix
-  FROM documents),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY source) AS ns FROM d),
-f AS (
-  SELECT *, (rk + CAST(('0x' || substr(md5('{SEED}|' || coalesce(source, '')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE)) / ns AS fraction FROM r),
-p AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, mix, doc_id) - 1 AS place, count(*) OVER () AS n FROM f),
-s AS (SELECT *, CAST(place * 16 // n AS INTEGER) AS shard FROM p)
-SELECT doc_id, size, {{crc}} AS text_crc32, 'rows' AS law, shard,
-       CAST(place - (shard * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM s
-"""
-
 _OP6 = r"""
 WITH l AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
