@@ -155,6 +155,6 @@ def near_duplicates(
     linked = distinct.join(member, distinct["fp"] == member["node"])
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     groups = linked.join(roots, "component").select("fp", "component_id")
-    # Only fingerprints with links need the join's far side; the rest keep their own least id.
-    lookup = distinct.join(groups, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written first, so that the last join shuffles both its sides and a fingerprint of very many copies can be split.
+    lookup = cut(distinct.join(groups, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(lookup, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
