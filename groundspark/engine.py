@@ -60,12 +60,7 @@ class Engine:
         return True
 
     def _graph(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        mentions, triples = self.store.read("mentions"), self.store.read("triples")
-        entities = graph.entity_merge(mentions)
-        seeds = cut(graph.seed_match(queries, entities).select("query_id", F.col("canonical_id").alias("node")))
-        nodes = cut(graph.k_hop_nodes(seeds, triples, self.cfg.graph_depth, self.cfg.graph_max_nodes))
-        edges = cut(graph.induced_edges(nodes, triples))
-        return nodes, edges, graph.graph_chunk_scores(nodes, edges, mentions, self.cfg.graph_top_k)
+        return graph.search(queries, self.store.read("mentions"), self.store.read("triples"), self.cfg)
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None, channels: tuple[str, ...] = retrieval.CHANNELS) -> tuple[DataFrame, DataFrame]:
         """Contexts ``(query_id, rank, chunk_id, title, content, ...)`` and subgraph edges of ``queries (query_id, query)``."""

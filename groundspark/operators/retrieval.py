@@ -36,10 +36,8 @@ def rerank(candidates: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("q", "c")
 
 
-def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, k: int | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS
-) -> DataFrame:
-    """Dense and BM25 channels, and ``graph`` rankings if given, fused and reranked.
+def rankings(chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """``(query_id, chunk_id, modality, rank)`` of the dense and BM25 channels, and of ``graph`` rankings if given.
 
     ``chunks`` has ``chunk_id``, ``title``, ``content`` and ``breadcrumbs``; ``queries`` has ``query_id`` and ``query``;
     ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks.
@@ -55,8 +53,15 @@ def hybrid_search(
         parts.append(bm25_topk(indexed, queries, cfg.bm25_top_k, cfg).select("query_id", "chunk_id", F.lit("bm25").alias("modality"), "rank"))
     if graph is not None and "graph" in channels:
         parts.append(graph.where(F.col("rank") <= cfg.graph_top_k).select("query_id", "chunk_id", F.lit("graph").alias("modality"), "rank"))
-    rankings = parts[0]
+    made = parts[0]
     for p in parts[1:]:
-        rankings = rankings.unionByName(p)
-    fused = rrf_fuse(rankings, cfg).join(chunks, "chunk_id").join(queries, "query_id")
+        made = made.unionByName(p)
+    return made
+
+
+def hybrid_search(
+    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, k: int | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS
+) -> DataFrame:
+    """The channels of ``rankings``, fused and reranked."""
+    fused = rrf_fuse(rankings(chunks, queries, cfg, graph, vectors, channels), cfg).join(chunks, "chunk_id").join(queries, "query_id")
     return rerank(fused, k or cfg.final_top_k)

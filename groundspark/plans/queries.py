@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +22,28 @@ DIM = 64
 CFG = Config(embedding_dim=DIM)
 
 
+@dataclass(frozen=True)
+class Job:
+    """What a query does beyond its operators: the SQL equivalents fix a smaller job than the engine's."""
+
+    cfg: Config = CFG
+    #: The engine's three channels; else what SQL has of them.
+    graph: bool = False
+
+
+AS_SQL, WHOLE = Job(), Job(graph=True)
+
+
 def _clean(c: str):
     """ASCII with plain line breaks, on which all regex dialects agree."""
     return F.regexp_replace(T.ascii_only(F.coalesce(F.col(c), F.lit(""))), r"[\r\x0b\f\x1c-\x1f]", " ")
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
+def _docs(spark: SparkSession, d: str, job: Job) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "lang", "source", _clean("text").alias("text"))
 
 
-def _bench(spark: SparkSession, d: str) -> DataFrame:
+def _bench(spark: SparkSession, d: str, job: Job) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _clean("text").alias("query"))
 
 
@@ -37,23 +51,23 @@ def _sha(c):
     return F.sha2(c.cast("binary"), 256)
 
 
-def token_estimate(spark, d):
-    return _docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("n_tokens"))
+def token_estimate(spark, d, job=AS_SQL):
+    return _docs(spark, d, job).select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("n_tokens"))
 
 
-def sentence_split(spark, d):
+def sentence_split(spark, d, job=AS_SQL):
     s = T.sentences(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(s).cast("long").alias("n_sentences"), _sha(F.array_join(s, "\x01")).alias("sentences_sha256"))
+    return _docs(spark, d, job).select("doc_id", F.size(s).cast("long").alias("n_sentences"), _sha(F.array_join(s, "\x01")).alias("sentences_sha256"))
 
 
-def semantic_chunks(spark, d):
-    made = chunks(sections(_docs(spark, d)), CFG)
+def semantic_chunks(spark, d, job=AS_SQL):
+    made = chunks(sections(_docs(spark, d, job)), job.cfg)
     return made.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), _sha(F.col("content")).alias("content_sha256"))
 
 
-def markdown_sections(spark, d):
+def markdown_sections(spark, d, job=AS_SQL):
     body = F.regexp_replace("text", "#", " ")
-    marked = _docs(spark, d).select("doc_id", F.concat(F.lit("# "), F.coalesce("lang", F.lit("x")), F.lit("\n"), body, F.lit("\n## "), F.coalesce("source", F.lit("x")), F.lit("\n"), body).alias("text"))
+    marked = _docs(spark, d, job).select("doc_id", F.concat(F.lit("# "), F.coalesce("lang", F.lit("x")), F.lit("\n"), body, F.lit("\n## "), F.coalesce("source", F.lit("x")), F.lit("\n"), body).alias("text"))
     return sections(marked).select("doc_id", F.col("section_index").cast("long").alias("section_index"), F.array_join("breadcrumbs", " > ").alias("crumbs"), _sha(F.col("text")).alias("text_sha256"))
 
 
@@ -71,28 +85,28 @@ def ingest_dedupe(spark, d):
     return files.dedupe(files.registry(_as_files(spark, d)), None).select("checksum_sha256", "filename")
 
 
-def stem_tokens(spark, d):
+def stem_tokens(spark, d, job=AS_SQL):
     s = F.array_sort(T.stem_tokens(F.col("text")))
-    return _docs(spark, d).select("doc_id", F.size(s).cast("long").alias("n_stems"), _sha(F.array_join(s, " ")).alias("stems_sha256"))
+    return _docs(spark, d, job).select("doc_id", F.size(s).cast("long").alias("n_stems"), _sha(F.array_join(s, " ")).alias("stems_sha256"))
 
 
-def extract_numbers(spark, d):
+def extract_numbers(spark, d, job=AS_SQL):
     s = F.array_sort(T.numbers(F.col("text")))
-    return _docs(spark, d).select("doc_id", F.size(s).cast("long").alias("n_numbers"), F.array_join(s, " ").alias("numbers"))
+    return _docs(spark, d, job).select("doc_id", F.size(s).cast("long").alias("n_numbers"), F.array_join(s, " ").alias("numbers"))
 
 
 def canonicalize(spark, d):
     return table(spark, d, "part").select("p_partkey", T.canonicalize(F.concat_ws("-", "p_name", "p_brand", "p_type")).alias("canonical_id"))
 
 
-def hash_bucket_sign(spark, d):
-    words = _bench(spark, d).select(F.explode(T.word_tokens(F.col("query"))).alias("token")).distinct()
+def hash_bucket_sign(spark, d, job=AS_SQL):
+    words = _bench(spark, d, job).select(F.explode(T.word_tokens(F.col("query"))).alias("token")).distinct()
     bucket, sign = bucket_sign(F.col("token"), 1, 384)
     return words.select("token", bucket.cast("long").alias("bucket"), sign.alias("sign"))
 
 
-def hash_embedding(spark, d):
-    made = sparse_embed(_bench(spark, d), DIM, "query_id", "query")
+def hash_embedding(spark, d, job=AS_SQL):
+    made = sparse_embed(_bench(spark, d, job), job.cfg.embedding_dim, "query_id", "query")
     return made.select(F.col("query_id").alias("item_id"), F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value")).where("value <> 0")
 
 
@@ -123,45 +137,45 @@ def dense_topk_filtered(spark, d):
     return _topk(spark, d, F.col("label") == 1)
 
 
-def bm25_postings(spark, d):
-    return lexical.postings(_docs(spark, d), "doc_id", "text")
+def bm25_postings(spark, d, job=AS_SQL):
+    return lexical.postings(_docs(spark, d, job), "doc_id", "text")
 
 
-def bm25_corpus_stats(spark, d):
-    return lexical.corpus_stats(_docs(spark, d), "doc_id", "text")[1].select("n", F.round("avgdl", 6).alias("avgdl"))
+def bm25_corpus_stats(spark, d, job=AS_SQL):
+    return lexical.corpus_stats(_docs(spark, d, job), "doc_id", "text")[1].select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _bm25(spark, d, k):
-    return lexical.bm25_topk(_docs(spark, d), _bench(spark, d), k, CFG, "doc_id", "text")
+def _bm25(spark, d, k, job):
+    return lexical.bm25_topk(_docs(spark, d, job), _bench(spark, d, job), k, job.cfg, "doc_id", "text")
 
 
-def bm25_topk(spark, d):
-    return _bm25(spark, d, 8).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+def bm25_topk(spark, d, job=AS_SQL):
+    return _bm25(spark, d, 8, job).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _mentions(spark, d):
-    return graph.entity_candidates(_docs(spark, d), "doc_id", "text")
+def _mentions(spark, d, job):
+    return graph.entity_candidates(_docs(spark, d, job), "doc_id", "text")
 
 
-def entity_candidates(spark, d):
-    return _mentions(spark, d).select("doc_id", "canonical_id", "name", "entity_type")
+def entity_candidates(spark, d, job=AS_SQL):
+    return _mentions(spark, d, job).select("doc_id", "canonical_id", "name", "entity_type")
 
 
-def entity_type(spark, d):
-    return _mentions(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+def entity_type(spark, d, job=AS_SQL):
+    return _mentions(spark, d, job).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entity_merge(spark, d):
-    return graph.entity_merge(_mentions(spark, d), "doc_id")
+def entity_merge(spark, d, job=AS_SQL):
+    return graph.entity_merge(_mentions(spark, d, job), "doc_id")
 
 
-def relation_triples(spark, d):
-    made = graph.relation_triples(_docs(spark, d), _mentions(spark, d), "doc_id", "text")
+def relation_triples(spark, d, job=AS_SQL):
+    made = graph.relation_triples(_docs(spark, d, job), _mentions(spark, d, job), "doc_id", "text")
     return made.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "relation", "source_id", "target_id")
 
 
-def seed_match(spark, d):
-    return graph.seed_match(_bench(spark, d), graph.entity_merge(_mentions(spark, d), "doc_id"))
+def seed_match(spark, d, job=AS_SQL):
+    return graph.seed_match(_bench(spark, d, job), graph.entity_merge(_mentions(spark, d, job), "doc_id"))
 
 
 def _triples(spark, d):
@@ -212,7 +226,7 @@ def shortest_path(spark, d):
     return made.select("source", "target", F.col("hop").cast("long").alias("hop"), "from_id", "to_id", "relation")
 
 
-def pagerank(spark, d):
+def pagerank(spark, d, job=AS_SQL):
     triples = _triples(spark, d)
     return graph.pagerank(_ends(triples), triples, iterations=10, tolerance=None).select("node", F.round("score", 9).alias("score"))
 
@@ -235,10 +249,19 @@ def graph_delete_document(spark, d):
     return graph.live_entities(entities, left_chunks, left)
 
 
-def _rankings(spark, d):
-    """The BM25 channel, and as the dense channel documents by the number of distinct query words they share."""
-    docs, asked = _docs(spark, d), _bench(spark, d)
-    bm25 = _bm25(spark, d, 8).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit("bm25").alias("modality"), "rank")
+def _graph_ranks(chunks, asked, job):
+    """The entity graph's best documents for each query, as ``Engine.retrieve`` ranks them."""
+    mentions = cut(graph.entity_candidates(chunks))
+    return graph.search(asked, mentions, cut(graph.relation_triples(chunks, mentions)), job.cfg)[2]
+
+
+def _rankings(spark, d, job):
+    """The engine's three channels; as SQL has them the BM25 channel, and as the dense channel documents by the number of distinct query words they share."""
+    if job.graph:
+        chunks, asked = _as_chunks(_docs(spark, d, job)), _bench(spark, d, job)
+        return retrieval.rankings(chunks, asked, job.cfg, _graph_ranks(chunks, asked, job))
+    docs, asked = _docs(spark, d, job), _bench(spark, d, job)
+    bm25 = _bm25(spark, d, 8, job).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit("bm25").alias("modality"), "rank")
     words = asked.select("query_id", F.explode(F.array_distinct(T.word_tokens(F.col("query")))).alias("term"))
     shared = words.join(lexical.postings(docs, "doc_id", "text"), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
@@ -251,130 +274,132 @@ def _rank(c):
     return F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
 
 
-def rrf_fuse(spark, d):
-    fused = retrieval.rrf_fuse(_rankings(spark, d), CFG)
-    return fused.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), _rank("dense_rank"), _rank("bm25_rank"))
+def rrf_fuse(spark, d, job=AS_SQL):
+    fused = retrieval.rrf_fuse(_rankings(spark, d, job), job.cfg)
+    ranks = [_rank(f"{m}_rank") for m in retrieval.CHANNELS if job.graph or m != "graph"]
+    return fused.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), *ranks)
 
 
 def _as_chunks(docs):
     return docs.select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("title"), F.col("text").alias("content"), F.array(F.coalesce("lang", F.lit(""))).alias("breadcrumbs"))
 
 
-def rerank(spark, d):
-    fused = retrieval.rrf_fuse(_rankings(spark, d), CFG).join(_as_chunks(_docs(spark, d)), "chunk_id").join(_bench(spark, d), "query_id")
+def rerank(spark, d, job=AS_SQL):
+    fused = retrieval.rrf_fuse(_rankings(spark, d, job), job.cfg).join(_as_chunks(_docs(spark, d, job)), "chunk_id").join(_bench(spark, d, job), "query_id")
     return retrieval.rerank(fused, 5).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def hybrid_search(spark, d):
-    found = retrieval.hybrid_search(_as_chunks(_docs(spark, d)), _bench(spark, d), CFG)
+def hybrid_search(spark, d, job=AS_SQL):
+    chunks, asked = _as_chunks(_docs(spark, d, job)), _bench(spark, d, job)
+    found = retrieval.hybrid_search(chunks, asked, job.cfg, _graph_ranks(chunks, asked, job) if job.graph else None)
     return found.select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _turns(spark, d):
+def _turns(spark, d, job):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", _clean("text").alias("text"))
 
 
-def route_strategy(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", T.strategy(F.col("text")).alias("strategy"))
+def route_strategy(spark, d, job=AS_SQL):
+    return _turns(spark, d, job).select("conv_id", "turn", T.strategy(F.col("text")).alias("strategy"))
 
 
-def route_subqueries(spark, d):
-    asked = _turns(spark, d).withColumn("q", F.concat(F.lit("Compare "), "role", F.lit(" versus "), "text"))
+def route_subqueries(spark, d, job=AS_SQL):
+    asked = _turns(spark, d, job).withColumn("q", F.concat(F.lit("Compare "), "role", F.lit(" versus "), "text"))
     parts = T.subqueries(F.col("q"))
     return asked.select("conv_id", "turn", F.size(parts).cast("long").alias("n_parts"), _sha(F.array_join(parts, "\x01")).alias("parts_sha256"))
 
 
-def _contexts_of_bench(spark, d, k):
-    found = _bm25(spark, d, k).select("query_id", "doc_id", "rank")
-    return found.join(_docs(spark, d), "doc_id").select(
+def _contexts_of_bench(spark, d, k, job):
+    found = _bm25(spark, d, k, job).select("query_id", "doc_id", "rank")
+    return found.join(_docs(spark, d, job), "doc_id").select(
         "query_id", "rank", F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("title"), F.array(F.coalesce("lang", F.lit(""))).alias("breadcrumbs"), F.col("text").alias("content")
     )
 
 
-def context_prompt(spark, d):
-    made = synthesis.context_prompt(_bench(spark, d), _contexts_of_bench(spark, d, 5))
+def context_prompt(spark, d, job=AS_SQL):
+    made = synthesis.context_prompt(_bench(spark, d, job), _contexts_of_bench(spark, d, 5, job))
     return made.select("query_id", _sha(F.col("prompt")).alias("prompt_sha256"), F.length("prompt").cast("long").alias("n_chars"))
 
 
-def salient_sentences(spark, d):
-    return synthesis.synthesize(_bench(spark, d), _contexts_of_bench(spark, d, 5)).select("query_id", "answer")
+def salient_sentences(spark, d, job=AS_SQL):
+    return synthesis.synthesize(_bench(spark, d, job), _contexts_of_bench(spark, d, 5, job)).select("query_id", "answer")
 
 
-def _answers(spark, d):
+def _answers(spark, d, job):
     """Assistant turns as answers, keyed by conversation and turn."""
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return _turns(spark, d).where("role = 'assistant'").select(key.alias("query_id"), "conv_id", "turn", F.col("text").alias("answer"))
+    return _turns(spark, d, job).where("role = 'assistant'").select(key.alias("query_id"), "conv_id", "turn", F.col("text").alias("answer"))
 
 
-def _contexts(spark, d):
+def _contexts(spark, d, job):
     """For each answer the user turns of its conversation, ranked by turn."""
-    users = _turns(spark, d).where("role = 'user'").select("conv_id", F.col("turn").alias("u"), F.col("text").alias("content"), F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
+    users = _turns(spark, d, job).where("role = 'user'").select("conv_id", F.col("turn").alias("u"), F.col("text").alias("content"), F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
     ranked = users.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy("u")))
-    return _answers(spark, d).select("query_id", "conv_id").join(ranked, "conv_id").select("query_id", "rank", "chunk_id", "content")
+    return _answers(spark, d, job).select("query_id", "conv_id").join(ranked, "conv_id").select("query_id", "rank", "chunk_id", "content")
 
 
-def claim_split(spark, d):
-    return verification.claim_table(_answers(spark, d)).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "claim")
+def claim_split(spark, d, job=AS_SQL):
+    return verification.claim_table(_answers(spark, d, job)).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "claim")
 
 
-def _aligned(spark, d):
-    claims = verification.claim_table(_answers(spark, d))
-    return claims, verification.align(claims, _contexts(spark, d), CFG)
+def _aligned(spark, d, job):
+    claims = verification.claim_table(_answers(spark, d, job))
+    return claims, verification.align(claims, _contexts(spark, d, job), job.cfg)
 
 
-def contradiction(spark, d):
-    return _aligned(spark, d)[1].select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.col("shared").cast("long").alias("shared"), "contradicts")
+def contradiction(spark, d, job=AS_SQL):
+    return _aligned(spark, d, job)[1].select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.col("shared").cast("long").alias("shared"), "contradicts")
 
 
-def claim_alignment(spark, d):
-    return _aligned(spark, d)[1].select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.round("recall", 6).alias("recall"), (F.round("cosine", 6) + F.lit(0.0)).alias("cosine"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
+def claim_alignment(spark, d, job=AS_SQL):
+    return _aligned(spark, d, job)[1].select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.round("recall", 6).alias("recall"), (F.round("cosine", 6) + F.lit(0.0)).alias("cosine"), (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
-def best_evidence(spark, d):
-    return verification.best_evidence(_aligned(spark, d)[1]).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.round("score", 6).alias("score"))
+def best_evidence(spark, d, job=AS_SQL):
+    return verification.best_evidence(_aligned(spark, d, job)[1]).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _verified(spark, d):
-    claims, aligned = _aligned(spark, d)
-    return cut(verification.claim_status(claims, cut(aligned), CFG))
+def _verified(spark, d, job):
+    claims, aligned = _aligned(spark, d, job)
+    return cut(verification.claim_status(claims, cut(aligned), job.cfg))
 
 
-def claim_status(spark, d):
-    return _verified(spark, d).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "status", (F.round("confidence", 3) + F.lit(0.0)).alias("confidence"), "cited_chunk_id")
+def claim_status(spark, d, job=AS_SQL):
+    return _verified(spark, d, job).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "status", (F.round("confidence", 3) + F.lit(0.0)).alias("confidence"), "cited_chunk_id")
 
 
-def faithfulness(spark, d):
-    return verification.faithfulness(_answers(spark, d), _verified(spark, d))
+def faithfulness(spark, d, job=AS_SQL):
+    return verification.faithfulness(_answers(spark, d, job), _verified(spark, d, job))
 
 
-def citation_numbering(spark, d):
-    return verification.citation_numbers(_verified(spark, d)).select("query_id", "cited_chunk_id", F.col("number").cast("long").alias("number"))
+def citation_numbering(spark, d, job=AS_SQL):
+    return verification.citation_numbers(_verified(spark, d, job)).select("query_id", "cited_chunk_id", F.col("number").cast("long").alias("number"))
 
 
-def attributed_answer(spark, d):
-    made = verification.attributed_answer(_answers(spark, d), _verified(spark, d))
+def attributed_answer(spark, d, job=AS_SQL):
+    made = verification.attributed_answer(_answers(spark, d, job), _verified(spark, d, job))
     return made.select("query_id", _sha(F.col("response")).alias("response_sha256"), F.length("response").cast("long").alias("n_chars"))
 
 
-def _asked(spark, d):
+def _asked(spark, d, job):
     """Each answer with the user turn before it."""
-    users = _turns(spark, d).where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
-    return _answers(spark, d).join(users, ["conv_id", "turn"])
+    users = _turns(spark, d, job).where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    return _answers(spark, d, job).join(users, ["conv_id", "turn"])
 
 
-def answer_relevance(spark, d):
-    return verification.relevance(_asked(spark, d), CFG)
+def answer_relevance(spark, d, job=AS_SQL):
+    return verification.relevance(_asked(spark, d, job), job.cfg)
 
 
-def _recall(spark, d):
+def _recall(spark, d, job):
     truth = F.array_distinct(F.transform(T.matches(F.col("query"), graph.CAPITALISED), T.canonicalize))
-    return _asked(spark, d).select("query_id", "turn", F.round(recall_of(truth, F.col("answer")), 6).alias("entity_recall"))
+    return _asked(spark, d, job).select("query_id", "turn", F.round(recall_of(truth, F.col("answer")), 6).alias("entity_recall"))
 
 
-def entity_recall(spark, d):
-    return _recall(spark, d).select("query_id", "entity_recall")
+def entity_recall(spark, d, job=AS_SQL):
+    return _recall(spark, d, job).select("query_id", "entity_recall")
 
 
-def benchmark_summary(spark, d):
-    measured = _recall(spark, d).join(faithfulness(spark, d), "query_id").join(answer_relevance(spark, d), "query_id")
+def benchmark_summary(spark, d, job=AS_SQL):
+    measured = _recall(spark, d, job).join(faithfulness(spark, d, job), "query_id").join(answer_relevance(spark, d, job), "query_id")
     return summarise(measured.withColumn("arm", F.concat(F.lit("turn "), F.col("turn").cast("string"))))
