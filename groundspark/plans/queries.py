@@ -29,9 +29,12 @@ class Job:
     cfg: Config = CFG
     #: The engine's three channels; else what SQL has of them.
     graph: bool = False
+    #: Rounds of PageRank, and the change that ends it earlier.
+    rounds: int = 10
+    tolerance: float | None = None
 
 
-AS_SQL, WHOLE = Job(), Job(graph=True)
+AS_SQL, WHOLE = Job(), Job(Config(), graph=True, rounds=100, tolerance=1e-6)
 
 
 def _clean(c: str):
@@ -228,7 +231,7 @@ def shortest_path(spark, d):
 
 def pagerank(spark, d, job=AS_SQL):
     triples = _triples(spark, d)
-    return graph.pagerank(_ends(triples), triples, iterations=10, tolerance=None).select("node", F.round("score", 9).alias("score"))
+    return graph.pagerank(_ends(triples), triples, iterations=job.rounds, tolerance=job.tolerance).select("node", F.round("score", 9).alias("score"))
 
 
 def degree_centrality(spark, d):

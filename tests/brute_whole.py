@@ -162,3 +162,49 @@ def reranked(query, rows, ranks, cfg=CFG):
         full = 10 * rrf[d] + 0.4 * len(q & content(by_id[d][1])) / max(len(q), 1) + 0.15 * min(sum(t in by_id[d][2].lower() for t in q), 3) + 0.25 * max(len(x) - 1, 0)
         score[d] = full if q else rrf[d]
     return sorted(score.items(), key=lambda p: (-round(p[1], 10), p[0]))[: cfg.final_top_k]
+
+
+def stems(text):
+    out = set()
+    for w in tokens(re.sub("[-_]", " ", text)):
+        if len(w) <= 2 or w in T.NEGATIONS:
+            continue
+        cut = next((n for s, n, least in (("ing", 3, 5), ("ed", 2, 4), ("es", 2, 4), ("s", 1, 3)) if w.endswith(s) and len(w) > least), 0)
+        out.add(w[: len(w) - cut])
+    return out
+
+
+def alignment(claim, context, cfg=CFG):
+    """``(recall, cosine, score, contradicts)``."""
+    own, other = stems(claim), stems(context)
+    shared = len(own & other)
+    recall = shared / len(own) if own else 0.0
+    cosine = sum(a * b for a, b in zip(embedding(claim, cfg.embedding_dim), embedding(context[: cfg.context_chars], cfg.embedding_dim)))
+    a, b = set(re.findall(T.NUMBER, claim)), set(re.findall(T.NUMBER, context))
+    clash = bool(a and b and not a & b) or re.search(T.NEGATED, claim.lower()) is not None
+    return recall, cosine, 0.6 * cosine + 0.4 * recall, shared >= 3 and clash
+
+
+def status(claim, contexts, cfg=CFG):
+    """``(status, cited)`` of a claim; ``contexts`` is [(chunk_id, text)] in order of rank."""
+    got = [(c, *alignment(claim, x, cfg)) for c, x in contexts]
+    against = next((c for c, *_, bad in got if bad), None)
+    if against is not None:
+        return "CONTRADICTION", against
+    best = max((g for g in got if g[3] > 0), key=lambda g: round(g[3], 10), default=None)
+    if best is None:
+        return "NEUTRAL", None
+    return "ENTAILED" if best[3] >= cfg.entailment_threshold else "NEUTRAL", best[0] if best[3] > cfg.cite_threshold else None
+
+
+def pagerank(edges, damping=0.85, rounds=1000):
+    """Ranks of directed edges, to convergence."""
+    nodes = sorted({x for e in edges for x in e})
+    out, score = Counter(a for a, _ in edges), dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        lost = sum(score[n] for n in nodes if not out[n])
+        new = dict.fromkeys(nodes, (1 - damping) / len(nodes) + damping * lost / len(nodes))
+        for a, b in edges:
+            new[b] += damping * score[a] / out[a]
+        score = new
+    return score

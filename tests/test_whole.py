@@ -65,3 +65,51 @@ def test_flagship_and_entry_have_the_whole_job(spark, plain):
     assert set(registry.WHOLE) <= set(entry.queries())
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(registry.flagship(spark, plain[2])) == rows(registry.WHOLE["hybrid_search_whole"](spark, plain[2]))
+
+
+CLAIMS = [
+    (1, 0, "user", "Copper lantern signals guide every harbour boat in winter. The garden has 3 rivers and many stones."),
+    (1, 1, "assistant", "Copper lantern signals guide each harbour boat during winter. The garden has 7 rivers and many stones. Bananas never ripen in that cold cellar."),
+    (1, 2, "user", "Timber markets open early on cold winter mornings near the quorum hall."),
+    (1, 3, "assistant", "Timber markets open early on mornings. Leaders follow a quorum in every market hall."),
+]
+
+
+@pytest.fixture(scope="module")
+def talks(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("talks")
+    return write(spark, folder, [(0, "x", "en", "web")], [(0, "Copper lantern in the old harbour"), (1, "")], CLAIMS)
+
+
+def same_claims(spark, folder, turns):
+    users = {c: [(f"{c}#{t}", x) for cc, t, r, x in sorted(turns) if cc == c and r == "user"] for c, *_ in turns}
+    claims = {(r["query_id"], r["claim_ord"]): r["claim"] for r in registry.queries.claim_split(spark, folder, registry.queries.WHOLE).collect()}
+    assert claims
+    found = {(r["query_id"], r["claim_ord"], r["chunk_id"]): r for r in registry.WHOLE["claim_alignment_whole"](spark, folder).collect()}
+    want = {(q, k, c): brute.alignment(claim, x) for (q, k), claim in claims.items() for c, x in users[int(q.split("-")[0])]}
+    assert set(found) == set(want)
+    for key, (recall, cosine, score, _) in want.items():
+        assert tuple(found[key][c] for c in ("recall", "cosine", "score")) == pytest.approx((recall, cosine, score), abs=2e-6)
+    made = {(r["query_id"], r["claim_ord"]): (r["status"], r["cited_chunk_id"]) for r in registry.WHOLE["claim_status_whole"](spark, folder).collect()}
+    assert made == {(q, k): brute.status(claim, users[int(q.split("-")[0])]) for (q, k), claim in claims.items()}
+
+
+def test_vectors_have_the_operators_length(spark, talks):
+    made = {(r["item_id"], r["bucket"]): r["value"] for r in registry.WHOLE["hash_embedding_whole"](spark, talks).collect()}
+    want = {(i, b): v for i, text in ((0, "Copper lantern in the old harbour"), (1, "")) for b, v in enumerate(brute.embedding(text, 384)) if abs(v) > 1e-9}
+    assert made == pytest.approx(want, abs=1e-6) and max(b for _, b in made) == 383
+
+
+def test_claims_use_the_operators_vectors(spark, talks):
+    same_claims(spark, talks, CLAIMS)
+
+
+def test_pagerank_goes_on_to_its_tolerance(spark, tmp_path):
+    spark.createDataFrame([(i, i % 5, "s") for i in range(30)], "c_custkey long, c_nationkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i, i % 3) for i in range(4)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(5)], "n_nationkey long, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    edges = [(f"c{i}", f"n{i % 5}") for i in range(30)] + [(f"s{i}", f"n{i % 3}") for i in range(4)] + [(f"n{i}", f"r{i % 2}") for i in range(5)]
+    want = brute.pagerank(edges)
+    apart = lambda q: sum(abs(r["score"] - want[r["node"]]) for r in q(spark, str(tmp_path)).collect())
+    # The stopping rule allows a change of nodes times the tolerance; what is left is under 1 / (1 - 0.85) times that.
+    assert apart(registry.WHOLE["pagerank_whole"]) < len(want) * 1e-6 / 0.15 + len(want) * 1e-9 < apart(registry.QUERIES["pagerank"])
