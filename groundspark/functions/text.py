@@ -36,12 +36,17 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def uni(pattern: str) -> str:
+    """``pattern`` with the white space, digits and boundaries of all scripts, as the surveyed service has them; ``\\s`` may not be in brackets."""
+    return "(?U)" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(uni(pattern)), F.lit(group))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, uni(r"^\s+|\s+$"), "")
 
 
 def ascii_only(text: Column) -> Column:
@@ -51,7 +56,7 @@ def ascii_only(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     clean = strip(text)
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"\s+")))
+    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, uni(r"\s+"))))
 
 
 def token_estimate(text: Column) -> Column:
@@ -60,7 +65,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def sentences(text: Column, rule: str = CHUNK_SENTENCE) -> Column:
-    return F.filter(F.transform(F.split(text, rule), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, uni(rule)), strip), lambda s: s != "")
 
 
 def word_tokens(text: Column) -> Column:
@@ -91,8 +96,8 @@ def numbers(text: Column) -> Column:
 
 
 def canonicalize(name: Column) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(name, "[-_]", " "), r"[^a-zA-Z0-9\s]", "")
-    return F.regexp_replace(F.lower(strip(kept)), r"\s+", "_")
+    kept = F.regexp_replace(F.regexp_replace(name, "[-_]", " "), r"(?U)[^a-zA-Z0-9\s\x1c-\x1f]", "")
+    return F.regexp_replace(F.lower(strip(kept)), uni(r"\s+"), "_")
 
 
 def title_case(text: Column) -> Column:
@@ -106,14 +111,14 @@ def claims(text: Column, min_words: int = 4, strict: bool = False) -> Column:
     The bullet rule takes one character (a digit included) off a line's and then a sentence's start, as the surveyed
     service does; ``strict`` takes whole bullets only.
     """
-    bullet = r"^\s*(?:[-*•]|\d+\.)\s+" if strict else r"^\s*[-*•\d+\.]\s*"
-    lines = F.split(F.regexp_replace(text, r"\s+[-*•]\s+", "\n"), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")
+    bullet = uni(r"^\s*(?:[-*•]|\d+\.)\s+" if strict else r"^\s*[-*•\d+\.]\s*")
+    lines = F.split(F.regexp_replace(text, uni(r"\s+[-*•]\s+"), "\n"), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")
 
     def clean(line: Column) -> Column:
         out = F.regexp_replace(strip(F.regexp_replace(strip(line), bullet, "")), "[*_`]", "")
         for prefix in CLAIM_PREFIXES:
-            out = strip(F.regexp_replace(out, f"(?i){prefix}", ""))
-        return F.split(out, CLAIM_SENTENCE)
+            out = strip(F.regexp_replace(out, uni(f"(?i){prefix}"), ""))
+        return F.split(out, uni(CLAIM_SENTENCE))
 
     parts = F.flatten(F.transform(F.filter(F.transform(lines, strip), lambda x: x != ""), clean))
     parts = F.transform(parts, lambda s: F.regexp_replace(strip(F.regexp_replace(s, bullet, "")), "[.,;:]+$", ""))
@@ -122,14 +127,14 @@ def claims(text: Column, min_words: int = 4, strict: bool = False) -> Column:
 
 def strategy(query: Column) -> Column:
     q = strip(query)
-    rule = lambda p: q.rlike(f"(?i){p}")
+    rule = lambda p: q.rlike(uni(f"(?i){p}"))
     return F.when(rule(COMPARISON), "comparison").when(rule(MULTI_HOP), "multi_hop").when(rule(ARCHITECTURE), "architecture").otherwise("factual")
 
 
 def subqueries(query: Column) -> Column:
     """Parts of a comparison, delimiters included, of more than three characters; else the query itself."""
     q = strip(query)
-    gaps, marks = F.split(q, f"(?i){COMPARISON}"), matches(q, f"(?i){COMPARISON}", 1)
+    gaps, marks = F.split(q, uni(f"(?i){COMPARISON}")), matches(q, f"(?i){COMPARISON}", 1)
     mixed = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), marks.alias("m")), lambda z: F.array(z["g"], z["m"])))
     parts = F.filter(F.transform(F.filter(mixed, lambda x: x.isNotNull()), strip), lambda x: F.length(x) > 3)
     return F.when((strategy(query) == "comparison") & (F.size(parts) > 0), parts).otherwise(F.array(q))

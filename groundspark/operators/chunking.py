@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
-from groundspark.functions.text import bind, sentences, strip, token_estimate, word_count
+from groundspark.functions.text import bind, sentences, strip, token_estimate, uni, word_count
 
 _STATE = "struct<stack: array<struct<level: int, title: string>>, lines: array<string>, out: array<struct<text: string, crumbs: array<string>>>>"
 
 
 def section_array(content: Column) -> Column:
     """Sections of Markdown text as an array of (text, breadcrumbs); null text has none."""
-    heading = r"^(#{1,6})\s+(.+)$"
+    heading = uni(r"^(#{1,6})\s+(.+)$")
     marked = F.transform(
         F.split(content, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"),
         lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(strip(x), heading, 1)).alias("level"), strip(F.regexp_extract(strip(x), heading, 2)).alias("title")),

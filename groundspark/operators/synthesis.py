@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.functions.text import PLAIN_SENTENCE, matches, strip, title_case
+from groundspark.functions.text import PLAIN_SENTENCE, matches, strip, title_case, uni
 
 _WORDS = r"(?U)\b\w+\b"
 _FOLD = "struct<kept: array<string>, context: int, stopped: boolean>"
@@ -31,7 +31,7 @@ def salient(query: Column, contexts: Column, facts: Column, k_contexts: int = 3,
     """
     asked = F.array_distinct(F.filter(matches(F.lower(query), _WORDS), lambda w: F.length(w) > 2))
     flat = F.flatten(
-        F.transform(F.slice(contexts, 1, k_contexts), lambda c, i: F.transform(F.split(c, PLAIN_SENTENCE), lambda s: F.struct(i.alias("context"), strip(s).alias("s"))))
+        F.transform(F.slice(contexts, 1, k_contexts), lambda c, i: F.transform(F.split(c, uni(PLAIN_SENTENCE)), lambda s: F.struct(i.alias("context"), strip(s).alias("s"))))
     )
 
     def step(st: Column, x: Column) -> Column:

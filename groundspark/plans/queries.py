@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
@@ -22,11 +23,22 @@ DIM = 64
 CFG = Config(embedding_dim=DIM)
 
 
+def _clean(c: str):
+    """ASCII with plain line breaks, on which all regex dialects agree."""
+    return F.regexp_replace(T.ascii_only(F.coalesce(F.col(c), F.lit(""))), r"[\r\x0b\f\x1c-\x1f]", " ")
+
+
+def _original(c: str):
+    return F.coalesce(F.col(c), F.lit(""))
+
+
 @dataclass(frozen=True)
 class Job:
     """What a query does beyond its operators: the SQL equivalents fix a smaller job than the engine's."""
 
     cfg: Config = CFG
+    #: Texts as the operators see them.
+    text: Callable[[str], Column] = _clean
     #: The engine's three channels; else what SQL has of them.
     graph: bool = False
     #: Rounds of PageRank, and the change that ends it earlier.
@@ -34,20 +46,15 @@ class Job:
     tolerance: float | None = None
 
 
-AS_SQL, WHOLE = Job(), Job(Config(), graph=True, rounds=100, tolerance=1e-6)
-
-
-def _clean(c: str):
-    """ASCII with plain line breaks, on which all regex dialects agree."""
-    return F.regexp_replace(T.ascii_only(F.coalesce(F.col(c), F.lit(""))), r"[\r\x0b\f\x1c-\x1f]", " ")
+AS_SQL, WHOLE = Job(), Job(Config(), _original, graph=True, rounds=100, tolerance=1e-6)
 
 
 def _docs(spark: SparkSession, d: str, job: Job) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", "source", _clean("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", job.text("text").alias("text"))
 
 
 def _bench(spark: SparkSession, d: str, job: Job) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), _clean("text").alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), job.text("text").alias("query"))
 
 
 def _sha(c):
@@ -299,7 +306,7 @@ def hybrid_search(spark, d, job=AS_SQL):
 
 
 def _turns(spark, d, job):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", _clean("text").alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", job.text("text").alias("text"))
 
 
 def route_strategy(spark, d, job=AS_SQL):

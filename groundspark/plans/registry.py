@@ -14,13 +14,9 @@ __all__ = ["ORACLES", "QUERIES", "WHOLE", "flagship"]
 
 QUERIES = {name: f for name, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not name.startswith("_")}
 
-#: Queries whose SQL leaves out a channel, shortens vectors or stops PageRank early.
-WHOLE_NAMES = [
-    "hybrid_search", "rerank", "rrf_fuse", "hash_embedding", "claim_alignment", "contradiction", "best_evidence", "claim_status",
-    "faithfulness", "citation_numbering", "attributed_answer", "answer_relevance", "benchmark_summary", "pagerank",
-]
-#: The same queries as the engine does them, where the SQL equivalents fix a smaller job; compared with plain Python instead.
-WHOLE = {f"{name}_whole": partial(QUERIES[name], job=queries.WHOLE) for name in WHOLE_NAMES}
+#: The same queries as the engine does them, where SQL fixes a smaller job (folded texts, short vectors, few rounds, no graph);
+#: compared with plain Python instead.
+WHOLE = {f"{name}_whole": partial(f, job=queries.WHOLE) for name, f in QUERIES.items() if "job" in inspect.signature(f).parameters}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import pytest
 
+from groundspark.functions import text as T
 from groundspark.plans import registry
 from tests import brute_whole as brute
 
@@ -113,3 +116,44 @@ def test_pagerank_goes_on_to_its_tolerance(spark, tmp_path):
     apart = lambda q: sum(abs(r["score"] - want[r["node"]]) for r in q(spark, str(tmp_path)).collect())
     # The stopping rule allows a change of nodes times the tolerance; what is left is under 1 / (1 - 0.85) times that.
     assert apart(registry.WHOLE["pagerank_whole"]) < len(want) * 1e-6 / 0.15 + len(want) * 1e-9 < apart(registry.QUERIES["pagerank"])
+
+
+FOREIGN = ["größe", "über", "café", "niño", "forêt", "straße", "жук", "улица", "図書館", "٣٤"]
+FOREIGN_NAMES = ["Raft", "Zoë Müller", "Élan Vital", "Münster Gate", "São Paulo", "Harbour Master"]
+
+
+@pytest.fixture(scope="module")
+def foreign(spark, tmp_path_factory):
+    rng = random.Random(11)
+    docs = [(i, prose(rng, WORDS[:6] + FOREIGN, FOREIGN_NAMES), "de", "web") for i in range(30)]
+    docs += [(30, "Жук ест лист! Улица пуста, и город спит спокойно. 7 лет прошло.", "ru", "web"), (31, "Ends here. Next starts there. Tab\x1cseparated words.", "fr", "web"), (32, "", "xx", "web")]
+    bench = [(i, " ".join(rng.choices(WORDS[:6] + FOREIGN, k=4) + [rng.choice(FOREIGN_NAMES)])) for i in range(5)]
+    turns = [(c, t, r, x.replace("signals", "größere Signäle").replace("garden", "jardín")) for c, t, r, x in CLAIMS]
+    return docs, bench, turns, write(spark, tmp_path_factory.mktemp("foreign"), docs, bench, turns)
+
+
+def test_retrieval_of_original_texts(spark, foreign):
+    docs, bench, _, folder = foreign
+    same_retrieval(spark, docs, bench, folder)
+
+
+def test_claims_of_original_texts(spark, foreign):
+    same_claims(spark, foreign[3], foreign[2])
+
+
+def test_original_texts_stay_whole(spark, foreign):
+    docs, _, _, folder = foreign
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = lambda name: sorted(tuple(r) for r in registry.WHOLE[name](spark, folder).collect())
+    split = {d: [s.strip() for s in re.split(T.CHUNK_SENTENCE, x) if s.strip()] for d, x, *_ in docs}
+    assert rows("sentence_split_whole") == [(d, len(s), sha("\x01".join(s))) for d, s in sorted(split.items())]
+    stems = {d: sorted(brute.stems(x)) for d, x, *_ in docs}
+    assert rows("stem_tokens_whole") == [(d, len(s), sha(" ".join(s))) for d, s in sorted(stems.items())]
+    estimate = lambda x: max(len(x.split()), len(x) // 4)
+    assert rows("token_estimate_whole") == [(d, estimate(x)) for d, x, *_ in docs]
+    # Sections join lines anew, and a file separator ends a line.
+    lines = {d: [x.replace("\x1c", "\n") for x in s] for d, s in split.items()}
+    assert rows("semantic_chunks_whole") == [(d, 0, sum(map(estimate, s)), sha(" ".join(s))) for d, s in sorted(lines.items()) if s]
+    assert {r[:3] for r in rows("entity_candidates_whole")} == {(d, c, n) for d, x, *_ in docs for c, n in brute.entities(x).items()}
+    # A text in another script keeps its sentences.
+    assert len(split[30]) == 2 and len(split[31]) == 3
