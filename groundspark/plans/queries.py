@@ -232,7 +232,7 @@ def shortest_path(spark, d):
     nation = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
     pairs = nation.select(F.col("node").alias("source")).join(nation.select(F.col("node").alias("target")), F.col("source") < F.col("target"))
     triples = _triples(spark, d)
-    made = graph.label_paths(graph.shortest_paths(pairs, triples, 4), triples)
+    made = graph.label_paths(graph.shortest_paths(pairs, triples), triples)
     return made.select("source", "target", F.col("hop").cast("long").alias("hop"), "from_id", "to_id", "relation")
 
 

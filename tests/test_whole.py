@@ -9,6 +9,7 @@ import re
 import pytest
 
 from groundspark.functions import text as T
+from groundspark.operators import graph
 from groundspark.plans import registry
 from tests import brute_whole as brute
 
@@ -157,3 +158,12 @@ def test_original_texts_stay_whole(spark, foreign):
     assert {r[:3] for r in rows("entity_candidates_whole")} == {(d, c, n) for d, x, *_ in docs for c, n in brute.entities(x).items()}
     # A text in another script keeps its sentences.
     assert len(split[30]) == 2 and len(split[31]) == 3
+
+
+def test_paths_have_no_bound(spark):
+    chain = [(f"t{i:02}", f"n{i:02}", f"n{i + 1:02}", "IS_A") for i in range(10)] + [("u", "x", "y", "IS_A")]
+    triples = spark.createDataFrame(chain, "triple_id string, source_id string, target_id string, relation string")
+    pairs = spark.createDataFrame([("n00", "n10"), ("n02", "n03"), ("n00", "x")], "source string, target string")
+    found = {(r["source"], r["target"]): r["path"] for r in graph.shortest_paths(pairs, triples).collect()}
+    assert found == {("n00", "n10"): [f"n{i:02}" for i in range(11)], ("n02", "n03"): ["n02", "n03"]}
+    assert graph.shortest_paths(pairs, triples, 6).count() == 1
