@@ -65,7 +65,7 @@ class Engine:
     def retrieve(self, queries: DataFrame, top_k: int | None = None, channels: tuple[str, ...] = retrieval.CHANNELS) -> tuple[DataFrame, DataFrame]:
         """Contexts ``(query_id, rank, chunk_id, title, content, ...)`` and subgraph edges of ``queries (query_id, query)``."""
         _, edges, scores = self._graph(queries)
-        found = retrieval.hybrid_search(self.store.read("chunks"), queries, self.cfg, scores, top_k, self.store.read("vectors"), channels)
+        found = retrieval.hybrid_search(self.store.read("chunks"), queries, self.cfg, scores, top_k, self.store.read("vectors"), channels, self.embedder)
         # Answers, prompts and checks all start from these few rows a query, so they are made once.
         return cut(found), edges
 
@@ -91,7 +91,7 @@ class Engine:
             queries.select("query_id", "query", strategy(F.col("query")).alias("strategy"), subqueries(F.col("query")).alias("subqueries"))
             .join(verification.attributed_answer(answers, verified), "query_id")
             .join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id")
-            .join(verification.relevance(answers, self.cfg), "query_id")
+            .join(verification.relevance(answers, self.cfg, provider=self.embedder), "query_id")
             .join(shown, "query_id", "left")
             .join(listed, "query_id", "left")
             .join(answers.select("query_id", "answer"), "query_id")
@@ -101,7 +101,7 @@ class Engine:
         """Answers and the status of their claims, each made once."""
         answers = cut(answers)
         claim_rows = verification.claim_table(answers, cfg=self.cfg)
-        aligned = cut(verification.align(claim_rows, contexts, self.cfg))
+        aligned = cut(verification.align(claim_rows, contexts, self.cfg, provider=self.embedder))
         return answers, cut(verification.claim_status(claim_rows, aligned, self.cfg))
 
     def answer_events(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ class Engine:
             else:
                 contexts = self._arm(queries, channels, k)
                 answers, verified = self._verify(synthesis.synthesize(queries, contexts), contexts)
-                measured = answers.join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id").join(verification.relevance(answers, self.cfg), "query_id").select("query_id", "answer", "faithfulness", "relevance")
+                measured = answers.join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id").join(verification.relevance(answers, self.cfg, provider=self.embedder), "query_id").select("query_id", "answer", "faithfulness", "relevance")
             one = measured.join(samples, "query_id").select(F.lit(arm).alias("arm"), "query_id", "faithfulness", "relevance", entity_recall(F.col("truth"), F.col("answer")).alias("entity_recall"))
             parts = one if parts is None else parts.unionByName(one)
         return parts

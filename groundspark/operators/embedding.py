@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import STOP_WORDS, word_tokens
+from groundspark.operators.vectors import unit
 
 
 def bucket_sign(feature: Column, salt: int | Column, dim: int) -> tuple[Column, Column]:
@@ -65,13 +66,13 @@ def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text"
     """``(id_col, embedding array<double>)``.
 
     ``provider``, a ``mapInPandas`` function over (id, text) batches that yields (id, embedding), takes
-    the place of the hashed features; vectors of another length than ``dim`` are an error.
+    the place of the hashed features; its vectors are scaled to unit length, and such of another length than ``dim`` are an error.
     """
     if provider is not None:
         id_type = texts.schema[id_col].dataType.simpleString()
         made = texts.select(id_col, text_col).mapInPandas(provider, f"`{id_col}` {id_type}, embedding array<double>")
         wrong = F.raise_error(F.concat(F.lit("embedding length is not "), F.lit(str(dim))))
-        return made.withColumn("embedding", F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(wrong))
+        return made.withColumn("embedding", F.when(F.size("embedding") == dim, unit(F.col("embedding"))).otherwise(wrong))
     cells = _packed(texts, dim, id_col, text_col).select(id_col, F.map_from_entries("cells").alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
     return cells.select(id_col, dense.alias("embedding"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +38,19 @@ def rerank(candidates: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("q", "c")
 
 
-def rankings(chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+def rankings(
+    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS, provider: Callable | None = None
+) -> DataFrame:
     """``(query_id, chunk_id, modality, rank)`` of the dense and BM25 channels, and of ``graph`` rankings if given.
 
     ``chunks`` has ``chunk_id``, ``title``, ``content`` and ``breadcrumbs``; ``queries`` has ``query_id`` and ``query``;
-    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks.
+    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks, made by the same ``provider``.
     """
     parts = []
     if "dense" in channels:
         if vectors is None:
-            vectors = embed(chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), cfg.embedding_dim, "chunk_id")
-        asked = embed(queries.select("query_id", F.col("query").alias("text")), cfg.embedding_dim, "query_id")
+            vectors = embed(chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), cfg.embedding_dim, "chunk_id", provider=provider)
+        asked = embed(queries.select("query_id", F.col("query").alias("text")), cfg.embedding_dim, "query_id", provider=provider)
         parts.append(dense_topk(vectors, asked, cfg.dense_top_k).select("query_id", "chunk_id", F.lit("dense").alias("modality"), "rank"))
     if "bm25" in channels:
         indexed = chunks.select("chunk_id", F.concat_ws(" ", "title", F.array_join("breadcrumbs", " "), "content").alias("text"))
@@ -60,8 +64,8 @@ def rankings(chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), grap
 
 
 def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, k: int | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS
+    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, k: int | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS, provider: Callable | None = None
 ) -> DataFrame:
     """The channels of ``rankings``, fused and reranked."""
-    fused = rrf_fuse(rankings(chunks, queries, cfg, graph, vectors, channels), cfg).join(chunks, "chunk_id").join(queries, "query_id")
+    fused = rrf_fuse(rankings(chunks, queries, cfg, graph, vectors, channels, provider), cfg).join(chunks, "chunk_id").join(queries, "query_id")
     return rerank(fused, k or cfg.final_top_k)

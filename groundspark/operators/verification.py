@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def contradicts(claim: Column, context_numbers: Column, shared: Column) -> Colum
     return (shared >= 3) & (clash | F.lower(claim).rlike(NEGATED))
 
 
-def align(claim_rows: DataFrame, contexts: DataFrame, cfg: Config = Config(), id_col: str = "query_id") -> DataFrame:
+def align(claim_rows: DataFrame, contexts: DataFrame, cfg: Config = Config(), id_col: str = "query_id", provider: Callable | None = None) -> DataFrame:
     """Each claim with each context of its query: ``shared``, ``recall``, ``cosine``, ``score``, ``contradicts``.
 
     ``contexts`` has ``rank``, ``chunk_id`` and ``content``. Every distinct text is embedded once; a context
@@ -34,7 +36,7 @@ def align(claim_rows: DataFrame, contexts: DataFrame, cfg: Config = Config(), id
     head = F.substring("content", 1, cfg.context_chars)
     contexts = contexts.select(id_col, "rank", "chunk_id", stem_tokens(F.col("content")).alias("x_stems"), numbers(F.col("content")).alias("x_nums"), head.alias("head"), F.xxhash64(head).alias("x_key"))
     texts = claim_rows.select(F.col("c_key").alias("key"), F.col("claim").alias("text")).unionByName(contexts.select(F.col("x_key").alias("key"), F.col("head").alias("text"))).groupBy("key").agg(F.min("text").alias("text"))
-    vectors = embed(texts, cfg.embedding_dim, "key")
+    vectors = embed(texts, cfg.embedding_dim, "key", provider=provider)
     left = claim_rows.join(vectors.select(F.col("key").alias("c_key"), F.col("embedding").alias("c_vec")), "c_key")
     right = contexts.join(vectors.select(F.col("key").alias("x_key"), F.col("embedding").alias("x_vec")), "x_key")
     both = left.join(right, id_col).withColumn("shared", F.size(F.array_intersect("c_stems", "x_stems")))
@@ -98,12 +100,12 @@ def attributed_answer(answers: DataFrame, verified: DataFrame, id_col: str = "qu
     return answers.select(id_col).distinct().join(parts, id_col, "left").select(id_col, F.coalesce(text, F.lit("")).alias("response"))
 
 
-def relevance(answers: DataFrame, cfg: Config = Config(), id_col: str = "query_id", query_col: str = "query", text_col: str = "answer") -> DataFrame:
+def relevance(answers: DataFrame, cfg: Config = Config(), id_col: str = "query_id", query_col: str = "query", text_col: str = "answer", provider: Callable | None = None) -> DataFrame:
     """``(id_col, relevance)``: cosine of query and answer's head moved to 0..1."""
     head = F.substring(text_col, 1, cfg.context_chars)
     texts = answers.select(F.struct(id_col, F.lit("q").alias("side")).alias("key"), F.col(query_col).alias("text")).unionByName(answers.select(F.struct(id_col, F.lit("a").alias("side")).alias("key"), head.alias("text")))
     keyed = texts.select(F.to_json("key").alias("k"), F.col(f"key.{id_col}").alias(id_col), "key.side", "text")
-    vectors = embed(keyed.select("k", "text"), cfg.embedding_dim, "k").join(keyed.select("k", id_col, "side"), "k")
+    vectors = embed(keyed.select("k", "text"), cfg.embedding_dim, "k", provider=provider).join(keyed.select("k", id_col, "side"), "k")
     q = vectors.where("side = 'q'").select(id_col, F.col("embedding").alias("qv"))
     a = vectors.where("side = 'a'").select(id_col, F.col("embedding").alias("av"))
     value = F.round((dot(F.col("qv"), F.col("av")) + 1) / 2, 3)

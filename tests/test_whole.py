@@ -7,10 +7,14 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from groundspark.config import Config
+from groundspark.engine import Engine
 from groundspark.functions import text as T
-from groundspark.operators import graph
+from groundspark.operators import graph, verification
 from groundspark.plans import registry
+from groundspark.sources.files import texts_as_files
 from tests import brute_whole as brute
 
 WORDS = "raft leader follower quorum banana garden river winter cellar copper signal market lantern harbour timber".split()
@@ -167,3 +171,24 @@ def test_paths_have_no_bound(spark):
     found = {(r["source"], r["target"]): r["path"] for r in graph.shortest_paths(pairs, triples).collect()}
     assert found == {("n00", "n10"): [f"n{i:02}" for i in range(11)], ("n02", "n03"): ["n02", "n03"]}
     assert graph.shortest_paths(pairs, triples, 6).count() == 1
+
+
+def by_topic(batches):
+    """Remote vectors: fruit one way, all else the other."""
+    for pdf in batches:
+        fruit = pdf.iloc[:, 1].str.contains("anana|ellow|weet")
+        yield pdf[[pdf.columns[0]]].assign(embedding=[[3.0, 0.0] if f else [0.0, 3.0] for f in fruit])
+
+
+def test_engine_uses_its_embedder_for_all_texts(spark, tmp_path):
+    eng = Engine(spark, str(tmp_path / "s"), Config(embedding_dim=2, chunk_min=5), embedder=by_topic)
+    eng.ingest(texts_as_files(spark.createDataFrame([("Fruit", "Bananas grow in warm places with much rain."), ("Raft", "The leader replicates entries to its followers.")], "title string, content string")))
+    texts = ["yellow", "sweet thing", "log", "quorum", "term of office"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    first = {r["query_id"]: r["title"] for r in eng.retrieve(asked, 1, ("dense",))[0].collect()}
+    assert first == {0: "Fruit", 1: "Fruit", 2: "Raft", 3: "Raft", 4: "Raft"}
+    answers = asked.select("query_id", "query", F.lit("Sweet bananas ripen on every tall tree.").alias("answer"))
+    contexts = spark.createDataFrame([(i, 1, "c", "All yellow and soft.") for i in range(5)], "query_id long, rank int, chunk_id string, content string")
+    claims = verification.claim_table(answers)
+    assert {r["cosine"] for r in verification.align(claims, contexts, eng.cfg, provider=by_topic).collect()} == {1.0}
+    assert {r["query_id"]: r["relevance"] for r in verification.relevance(answers, eng.cfg, provider=by_topic).collect()} == {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.5, 4: 0.5}
