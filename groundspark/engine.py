@@ -13,7 +13,7 @@ from groundspark.operators import graph, retrieval, synthesis, verification
 from groundspark.operators.chunking import chunks as make_chunks
 from groundspark.operators.embedding import embed
 from groundspark.runtime import cut
-from groundspark.sources.files import dedupe, parse, registry
+from groundspark.sources.files import dedupe, is_pdf, parse, registry
 from groundspark.sources.store import Store
 
 
@@ -26,8 +26,15 @@ class Engine:
         self.embedder, self.generator, self.pdf_pages = embedder, generator, pdf_pages
 
     def ingest(self, files: DataFrame) -> DataFrame:
-        """Ingest ``(path, content, title)``; returns the new registry rows. Known contents are skipped."""
-        files = files.where("content is not null").select("path", "content", "title")
+        """Ingest ``(path, content, title)``; returns the new registry rows. Known contents are skipped.
+
+        Files that cannot be read are not registered, so a later ingest takes them; until then they are in ``quarantine()``.
+        """
+        given = files.select("path", "content", "title")
+        bad = cut(parse(given, self.pdf_pages)[1].distinct())
+        files = given.where("content is not null")
+        if self.pdf_pages is None:
+            files = files.where(~is_pdf(F.col("path")))
         known = self.store.read("documents")
         new = cut(dedupe(registry(files), known))
         parts, _ = parse(files.dropDuplicates(["content"]), self.pdf_pages)
@@ -39,12 +46,18 @@ class Engine:
         counts = titled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
         rows = new.join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         both = lambda name, df: df if (old := self.store.read(name)) is None else old.unionByName(df)
-        self.store.publish(chunks=both("chunks", titled), vectors=both("vectors", vectors), mentions=both("mentions", mentions), triples=both("triples", triples), documents=both("documents", rows))
+        held = self.store.read("quarantine")
+        waiting = bad if held is None else held.join(given.select("path").distinct(), "path", "left_anti").unionByName(bad)
+        self.store.publish(quarantine=waiting, chunks=both("chunks", titled), vectors=both("vectors", vectors), mentions=both("mentions", mentions), triples=both("triples", triples), documents=both("documents", rows))
         return rows
 
     def documents(self) -> DataFrame:
         return self.store.read("documents")
 
+    def quarantine(self) -> DataFrame:
+        """``(path, reason)`` of files that no ingest could read yet."""
+        return self.store.read("quarantine")
+
     def chunks(self, doc_id: str) -> DataFrame:
         return self.store.read("chunks").where(F.col("doc_id") == doc_id).orderBy("chunk_index")
 

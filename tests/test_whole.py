@@ -192,3 +192,18 @@ def test_engine_uses_its_embedder_for_all_texts(spark, tmp_path):
     claims = verification.claim_table(answers)
     assert {r["cosine"] for r in verification.align(claims, contexts, eng.cfg, provider=by_topic).collect()} == {1.0}
     assert {r["query_id"]: r["relevance"] for r in verification.relevance(answers, eng.cfg, provider=by_topic).collect()} == {0: 1.0, 1: 1.0, 2: 0.5, 3: 0.5, 4: 0.5}
+
+
+def test_unreadable_files_wait_in_quarantine(spark, tmp_path):
+    def pages(batches):
+        for pdf in batches:
+            yield pdf[["doc_id"]].assign(page_no=1, text="Raft is a protocol that many people use.")
+
+    raw = spark.createDataFrame([("/in/a.pdf", bytearray(b"%PDF a"), None), ("/in/n.md", None, None), ("/in/b.md", bytearray(b"Paxos is one of those protocols."), None)], "path string, content binary, title string")
+    root = str(tmp_path / "s")
+    eng = Engine(spark, root, Config(embedding_dim=16, chunk_min=5))
+    assert [r["filename"] for r in eng.ingest(raw).collect()] == ["b.md"]
+    assert sorted(tuple(r) for r in eng.quarantine().collect()) == [("/in/a.pdf", "no PDF extractor"), ("/in/n.md", "unreadable")]
+    able = Engine(spark, root, Config(embedding_dim=16, chunk_min=5), pdf_pages=pages)
+    assert [(r["filename"], r["chunk_count"]) for r in able.ingest(raw).collect()] == [("a.pdf", 1)]
+    assert [tuple(r) for r in able.quarantine().collect()] == [("/in/n.md", "unreadable")] and able.documents().count() == 2
