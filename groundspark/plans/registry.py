@@ -15,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES", "WHOLE", "flagship"]
 QUERIES = {name: f for name, f in vars(queries).items() if inspect.isfunction(f) and f.__module__ == queries.__name__ and not name.startswith("_")}
 
 #: The same queries as the engine does them, where SQL fixes a smaller job (folded texts, short vectors, few rounds, no graph);
-#: compared with plain Python instead.
+#: the README says which are compared with plain Python.
 WHOLE = {f"{name}_whole": partial(f, job=queries.WHOLE) for name, f in QUERIES.items() if "job" in inspect.signature(f).parameters}
 
 
