@@ -3,18 +3,23 @@
 For every prefix of a byte string exactly one token can be the last one of the prefix's encoding: the
 token that ends there and forms a valid pair with the last token of what is before it. Storing that token for
 every prefix gives the encoding by walking back from the end, lets bytes be appended without
-looking at what came before again, and after an edit needs only the prefixes near it. A pair is valid if
-merging its bytes gives exactly the pair.
+looking at what came before again, and after an edit needs only the prefixes near it.
 
-The vocabulary file is read on the driver and broadcast (its size is checked); it is never trained.
+A pair is valid if merging its bytes gives exactly the pair. That is read off how both tokens are made: their merges next
+to the border are undone, latest first, and no two parts that meet there may form a token which would have been merged earlier.
+
+The distinct pieces of a block of texts are worked on together, one prefix length after the other, in numpy; long pieces
+and texts that grow or change go the same way byte by byte. The vocabulary file is read on the driver and broadcast
+(its size is checked); it is never trained.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -28,9 +33,13 @@ from groundspark.llm.batches import column, parts, slices, small_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose tokens a task remembers, pairs whose check it does, and tokens that are decoded at once.
-CACHE_PIECES = 120_000
-CACHE_PAIRS = 200_000
+CACHE_PIECES = 240_000
+CACHE_PAIRS = 50_000
 DECODE_TOKENS = 1 << 19
+#: Pieces that are encoded at once, characters of text that are split at once, and bytes of a piece that goes the vector way.
+BLOCK_PIECES = 240_000
+BLOCK_CHARS = 1 << 20
+SHORT_BYTES = 48
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -47,25 +56,106 @@ def byte_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.frombuffer(b"".join(order), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+class Lookup:
+    """Values (0 or more) of distinct keys, found for whole arrays at once; -1 for other keys.
+
+    A hash table in levels: of keys that share a slot one stays, the others go to the next level.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.levels = []
+        while len(keys):
+            bits = max(4, (2 * len(keys)).bit_length())
+            slot = self._slot(keys, bits)
+            _, first = np.unique(slot, return_index=True)
+            held, at = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+            held[slot[first]], at[slot[first]] = keys[first], values[first]
+            self.levels.append((held, at, bits))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out, left = np.full(len(keys), -1, dtype=np.int64), None
+        for held, values, bits in self.levels:
+            slot = self._slot(keys, bits)
+            there = held[slot]
+            hit = there == keys
+            out[hit if left is None else left[hit]] = values[slot[hit]]
+            more = np.flatnonzero(~hit & (there >= 0))
+            if not len(more):
+                break
+            left, keys = more if left is None else left[more], keys[more]
+        return out
+
+
 class Vocabulary:
-    """Ranks of byte strings, with the tokens that end at each byte of a text and the check of token pairs."""
+    """Ranks of byte strings, the tokens within a text, and the check of token pairs."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.by_id = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.size = max(ranks.values(), default=0) + 1
+        #: Rank of what two tokens are together, by left * size + right.
+        self.joined: dict[int, int] = {}
+        #: Parts from which merging makes a token, and the rank of that merge (-1: a single byte).
+        self.left, self.right, self.made = [-1] * self.size, [-1] * self.size, [-1] * self.size
+        self.pair = lru_cache(CACHE_PAIRS)(self._pair)
+        reached = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if self._split(t)]
         self.endings = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            self.endings.add_word(token.decode("latin-1"), (len(token), i))
+        for token in reached:
+            self.endings.add_word(token.decode("latin-1"), (len(token), ranks[token]))
         self.endings.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._alone: dict[int, bool] = {}
+        self._arrays(reached)
         self.pieces = Pieces(self)
 
     @classmethod
     def from_file_bytes(cls, data: bytes) -> Vocabulary:
         return cls(read_ranks(data))
 
+    def _split(self, token: bytes) -> bool:
+        """Note the parts of a token, those of lower rank being known; False if merging never makes it.
+
+        A file in which merging makes a token from parts of higher rank is an error.
+        """
+        i, found = self.ranks[token], len(token) == 1
+        for at in range(1, len(token)):
+            a, b = self.ranks.get(token[:at]), self.ranks.get(token[at:])
+            if a is None or b is None:
+                continue
+            self.joined[a * self.size + b] = i
+            known = all(x < i and self.left[x] >= 0 or len(self.by_id[x]) == 1 for x in (a, b))
+            if not found and known and self._pair(a, b, i):
+                self.left[i], self.right[i], self.made[i], found = a, b, i, True
+        if not found and self.merge(token) == [i]:
+            raise ValueError("the ranks are not in the order of merges")
+        return found
+
+    def _arrays(self, reached: list[bytes]) -> None:
+        """The same tables for whole arrays, and a trie of the tokens that merging makes."""
+        keys = np.fromiter(self.joined, dtype=np.int64, count=len(self.joined))
+        self._joined = Lookup(keys, np.fromiter(self.joined.values(), dtype=np.int64, count=len(keys)))
+        self._left, self._right, self._made = (np.array(x, dtype=np.int64) for x in (self.left, self.right, self.made))
+        self._sizes = np.zeros(self.size, dtype=np.int64)
+        sizes = np.fromiter(map(len, reached), dtype=np.int64, count=len(reached))
+        ids = np.fromiter(map(self.ranks.get, reached), dtype=np.int64, count=len(reached))
+        self._sizes[ids] = sizes
+        data, starts = np.frombuffer(b"".join(reached), dtype=np.uint8), np.cumsum(sizes) - sizes
+        at, node, nodes, keys = np.arange(len(reached)), np.zeros(len(reached), dtype=np.int64), 1, []
+        for depth in range(self.longest):
+            at = at[sizes[at] > depth]
+            new, which = np.unique(node[at] * 256 + data[starts[at] + depth], return_inverse=True)
+            node[at] = nodes + which
+            keys.append(new)
+            nodes += len(new)
+        #: Children by node * 256 + byte, node 0 being the root, and the token at each node (-1: none).
+        self._child = Lookup(np.concatenate(keys) if keys else np.zeros(0, np.int64), np.arange(1, nodes))
+        self._token = np.full(nodes, -1, dtype=np.int64)
+        self._token[node] = ids
+
     def merge(self, text: bytes) -> list[int]:
         """Merge by ranks, lowest first and leftmost of equals, until no neighbours form a token."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -76,58 +166,181 @@ class Vocabulary:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.ranks[p] for p in parts]
 
-    def alone(self, token: int) -> bool:
-        """Whether merging the token's bytes gives the token."""
-        known = self._alone.get(token)
-        if known is None:
-            known = self._alone[token] = self.merge(self.by_id[token]) == [token]
-        return known
-
-    def pair(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both tokens gives just them."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) >= CACHE_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.by_id[left] + self.by_id[right]) == [left, right]
-        return known
+    def _pair(self, left: int, right: int, limit: int = 1 << 60) -> bool:
+        """Whether merging the bytes of both tokens, with ranks under ``limit``, gives just them.
+
+        Of the merges that made the two the later one is undone (of equal ranks the left one came first), until both are single
+        bytes; ``limit`` says which ranks came before what was undone last.
+        """
+        while self.joined.get(left * self.size + right, limit) >= limit:
+            a, b = self.made[left], self.made[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                limit, left = a, self.right[left]
+            else:
+                limit, right = b + 1, self.left[right]
+        return False
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``pair`` of whole arrays."""
+        valid, at, limit = np.zeros(len(left), dtype=bool), np.arange(len(left)), np.full(len(left), 1 << 60)
+        while len(at):
+            joint = self._joined.find(left * self.size + right)
+            a, b = self._made[left], self._made[right]
+            free = (joint < 0) | (joint >= limit)
+            valid[at[free & (a < 0) & (b < 0)]] = True
+            on = np.flatnonzero(free & ((a >= 0) | (b >= 0)))
+            at, a, b, left, right = at[on], a[on], b[on], left[on], right[on]
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            left, right = np.where(undo, self._right[left], left), np.where(undo, right, self._left[right])
+        return valid
 
     def extend(self, text: bytes, last: list[int]) -> None:
         """Append to ``last`` the last token of each further prefix of ``text``."""
-        done, pairs = len(last), self._pairs
+        done, pair = len(last), self.pair
         for at, (size, token) in self.endings.iter(text.decode("latin-1"), max(0, done - self.longest)):
-            if at != done:
-                continue  # before the new prefixes, or this one is settled
-            if at >= size:
-                known = pairs.get((last[at - size], token))
-                if not (self.pair(last[at - size], token) if known is None else known):
-                    continue
-            elif not self.alone(token):
-                continue
-            last.append(token)
-            done += 1
+            if at == done and (at < size or pair(last[at - size], token)):  # else before the new prefixes, or settled
+                last.append(token)
+                done += 1
         if done < len(text):
             raise ValueError("the vocabulary lacks a byte")
 
-
-class Pieces(dict):
-    """Tokens of pieces met before; a new piece is encoded.
-
-    Holds two generations of ``CACHE_PIECES`` at most: when the young one is full it becomes the old one, from which
-    pieces that are met again come back.
-    """
+    def encode_together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all of ``texts`` (not empty, neither long) in a row, and how many each has."""
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        data, stops = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(sizes)
+        starts, stop_of = stops - sizes, np.repeat(stops, sizes)
+        at, node, depth, found = np.arange(len(data)), np.zeros(len(data), dtype=np.int64), 0, []
+        while len(at):
+            node = self._child.find(node * 256 + data[at + depth])
+            at, node = at[node >= 0], node[node >= 0]
+            token = self._token[node]
+            found.append((at[token >= 0] + depth, token[token >= 0], np.full(int((token >= 0).sum()), depth + 1)))
+            depth += 1
+            more = at + depth < stop_of[at]
+            at, node = at[more], node[more]
+        end, token, size = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 3))
+        place = (end - np.repeat(starts, sizes)[end]).astype(np.int16)
+        order = np.argsort(place, kind="stable")
+        end, token, size = end[order], token[order], size[order]
+        bounds = np.searchsorted(place[order], np.arange(int(sizes.max(initial=0)) + 1))
+        last = np.full(len(data), -1, dtype=np.int64)
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            e, t, n = end[a:b], token[a:b], size[a:b]
+            valid = n == k + 1  # from the start on
+            inner = np.flatnonzero(~valid)
+            before = last[e[inner] - n[inner]]
+            inner, before = inner[before >= 0], before[before >= 0]
+            valid[inner] = self.pairs(before, t[inner])
+            last[e[valid]] = t[valid]
+        if (last < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        at, which, steps = stops - 1, np.arange(len(texts)), []
+        counts = np.zeros(len(texts), dtype=np.int64)
+        while len(at):
+            token = last[at]
+            steps.append((which, token))
+            counts[which] += 1
+            at = at - self._sizes[token]
+            more = at >= starts[which]
+            at, which = at[more], which[more]
+        out, ends = np.empty(int(counts.sum()), dtype=np.int32), np.cumsum(counts)
+        for back, (which, token) in enumerate(steps, start=1):
+            out[ends[which] - back] = token
+        return out, counts
+
+    def encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all of ``texts`` in a row, and how many each has; a text that is a token is that token."""
+        tokens = [None] * len(texts)
+        short = []
+        for i, text in enumerate(texts):
+            whole = self.ranks.get(text)
+            if whole is not None:
+                tokens[i] = (whole,)
+            elif len(text) > SHORT_BYTES or not text:
+                tokens[i] = Prefixes(self, text).tokens()
+            else:
+                short.append(i)
+        row, counts = self.encode_together([texts[i] for i in short])
+        n = np.fromiter((0 if t is None else len(t) for t in tokens), dtype=np.int64, count=len(texts))
+        n[short] = counts
+        starts = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), dtype=np.int32)
+        out[np.repeat(starts[short] - (np.cumsum(counts) - counts), counts) + np.arange(len(row))] = row
+        for i, t in enumerate(tokens):
+            if t is not None:
+                out[starts[i] : starts[i] + len(t)] = t
+        return out, n
+
+
+class Pieces:
+    """Tokens of pieces met before, in one array; when it is full, the pieces at hand start a new one."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.old = vocabulary, {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens = self.old.get(piece) or tuple(encode_piece(self.vocabulary, piece.encode()))
-        if len(self) >= CACHE_PIECES:
-            self.old = dict(self)
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = tokens
-        return tokens
+        self.vocabulary = vocabulary
+        self._restart()
+
+    def _restart(self) -> None:
+        self.number: dict[str, int] = {}
+        self.tokens, self.stops = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces in a row, and how many each has."""
+        distinct = set(pieces)
+        new = [p for p in distinct if p not in self.number]
+        if new and len(self.number) + len(new) > CACHE_PIECES:
+            self._restart()
+            new = list(distinct)
+        if new:
+            tokens, counts = self.vocabulary.encode_all([p.encode() for p in new])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.stops = np.concatenate([self.stops, len(self.tokens) + np.cumsum(counts)])
+            self.tokens = np.concatenate([self.tokens, tokens])
+        at = np.fromiter(map(self.number.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        counts = np.diff(self.stops, prepend=0)[at]
+        where = np.repeat(self.stops[at] - np.cumsum(counts), counts) + np.arange(int(counts.sum()))
+        return self.tokens[where], counts
+
+
+def encode_texts(vocabulary: Vocabulary, texts: list[str | None], split: Callable[[str], Iterator[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts in a row, and how many each has; ``split`` yields a text's pieces in blocks."""
+    sizes, out, held, marks = np.zeros(len(texts), dtype=np.int64), [np.zeros(0, dtype=np.int32)], [], []
+
+    def flush() -> None:
+        tokens, counts = vocabulary.pieces.encode(held)
+        out.append(tokens)
+        rows, n = np.array(marks, dtype=np.int64).reshape(-1, 2).T
+        np.add.at(sizes, rows, np.diff(np.concatenate([[0], np.cumsum(counts)])[np.cumsum(n)], prepend=0))
+        held.clear()
+        marks.clear()
+
+    for row, text in enumerate(texts):
+        for block in split(text) if text else ():
+            held += block
+            marks.append((row, len(block)))
+            if len(held) >= BLOCK_PIECES:
+                flush()
+    flush()
+    return np.concatenate(out), sizes
+
+
+def splitter(pattern: str) -> Callable[[str], Iterator[list[str]]]:
+    """Yields the matches of a pattern in a text, those of a very long text in blocks."""
+    slow = regex.compile(pattern)
+    quick = ascii_pattern(pattern) or slow
+
+    def split(text: str) -> Iterator[list[str]]:
+        rule = quick if text.isascii() else slow
+        if len(text) <= BLOCK_CHARS:
+            yield rule.findall(text)
+            return
+        found = rule.finditer(text)
+        while block := [m[0] for m in islice(found, BLOCK_PIECES)]:
+            yield block
+
+    return split
 
 
 def ascii_pattern(pattern: str) -> re.Pattern | None:
@@ -190,12 +403,6 @@ class Prefixes:
         return out[::-1]
 
 
-def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
-    """Tokens of one match of the pattern; a piece that is a token is that token."""
-    whole = vocabulary.ranks.get(piece)
-    return [whole] if whole is not None else Prefixes(vocabulary, piece).tokens()
-
-
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -208,16 +415,16 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
 
-_LOADED: dict[int, Vocabulary] = {}
-
-
+@lru_cache(1)
 def _loaded(data: bytes) -> Vocabulary:
     """The vocabulary of a file's bytes, kept for the tasks that a worker runs later."""
-    key = hash(data)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary.from_file_bytes(data)
-    return _LOADED[key]
+    return Vocabulary.from_file_bytes(data)
+
+
+@lru_cache(1)
+def _table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in a file, kept in the same way for tasks that decode."""
+    return byte_table(read_ranks(data))
 
 
 def expand(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,27 +453,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, find = _loaded(shared.value), regex.compile(pattern).findall
-        quick = ascii_pattern(pattern)
-        quick = quick.findall if quick else find
-        pieces = vocabulary.pieces
+        vocabulary, split = _loaded(shared.value), splitter(pattern)
         for batch in parts(batches, "_text"):
-            rows = []
-            for text in column(batch, "_text").to_pylist():
-                found = map(pieces.__getitem__, (quick if text.isascii() else find)(text)) if text else ()
-                rows.append(np.fromiter(chain.from_iterable(found), dtype=np.int32))
-            yield _with_lists(batch, keep, rows, tokens_col)
+            values, sizes = encode_texts(vocabulary, column(batch, "_text").to_pylist(), split)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            kept = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(values))], [*keep, tokens_col])
 
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}`{tokens_col}` array<int>")
 
 
-def _with_lists(batch: pa.RecordBatch, keep: list[str], rows: list[np.ndarray], name: str) -> pa.RecordBatch:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    values = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-    kept = [batch.column(i) for i in range(len(keep))]
-    return pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, name])
-
-
 def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list[str] | None = None, bytes_col: str = "decoded") -> DataFrame:
     """Columns ``keep`` of ``encoded`` (by default all) with ``bytes_col``, the bytes that the ids stand for.
 
@@ -277,7 +473,7 @@ def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list
     shared = _shared(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(read_ranks(shared.value))
+        table = _table(shared.value)
         for batch in batches:
             lists = column(batch, "_tokens")
             flat, sizes = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()

@@ -185,6 +185,41 @@ def test_bpe_appends_and_edits_are_exact():
         assert state.tokens() == bpe.Prefixes(v, state.text).tokens() == v.merge(state.text)
     with pytest.raises(ValueError):
         bpe.Prefixes(bpe.Vocabulary({b"a": 0}), b"ab")
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 0}).encode_all([b"a", b"ab"])
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bpe_together_equals_merging(seed, monkeypatch):
+    """Random small vocabularies: bytes with high ranks, tokens of repeats, tokens that merging never makes."""
+    rng = random.Random(seed)
+    tokens = {bytes([c]) for c in b"abc"} | {bytes(rng.choices(b"abc", k=rng.randint(2, 6))) for _ in range(60)}
+    order = sorted(tokens, key=lambda t: (len(t) == 1 if seed % 2 else False, len(t)))
+    v = bpe.Vocabulary({t: i for i, t in enumerate(order)})
+    texts = [bytes(rng.choices(b"abc", k=rng.randint(1, 70))) for _ in range(300)]
+    row, counts = v.encode_all(texts)
+    want = [[v.ranks[t]] if t in v.ranks else v.merge(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and row.tolist() == sum(want, [])
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 20)
+    pieces = bpe.Pieces(v)
+    for at in range(0, 300, 30):
+        lot = [t.decode() for t in rng.choices(texts, k=30)]
+        row, counts = pieces.encode(lot)
+        assert row.tolist() == sum((want[texts.index(t.encode())] for t in lot), []) and len(counts) == 30
+
+
+def test_bpe_very_long_texts_go_in_blocks(monkeypatch):
+    import public_tokenizers as p
+
+    v = bpe.Vocabulary.from_file_bytes(bpe.read_vocabulary(p.path("byte_bpe_multi_50k.tiktoken")))
+    texts = ["some words, more words " * 50, None, "", "\u00e9t\u00e9 12 " * 40, "x"]
+    whole = bpe.encode_texts(v, texts, bpe.splitter(p.PATTERN))
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(bpe, "BLOCK_PIECES", 7)
+    blocks = bpe.encode_texts(v, texts, bpe.splitter(p.PATTERN))
+    assert all((a == b).all() for a, b in zip(whole, blocks, strict=True)) and whole[1].tolist()[1:3] == [0, 0]
 
 
 def test_secret_scan_equals_brute_force(spark):
