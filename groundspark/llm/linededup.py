@@ -1,11 +1,10 @@
 """Line deduplication by probing minimal perfect hashes.
 
-Lines are hashed in the tasks and counted by Spark. Hashes that reach the threshold are dealt into
-shards; a task builds a minimal perfect hash for each shard (levels of bit arrays: a key that is alone in
-its slot stays, the others go to the next level) over compact arrays of fingerprints, counts
-and keepers. Documents then probe those arrays, so their lines are never joined. While the arrays are under a
-stated size they are broadcast and probed where the text is; beyond it the documents' hashes go
-to the shards, salted so that no hot line sits in one task, and only the hits come back.
+Lines are hashed in the tasks; Spark counts the ids of every distinct hash. All distinct hashes are dealt into shards, and a
+task builds for each shard a minimal perfect hash (levels of bit arrays: a key that is alone in its slot stays, the
+others go to the next level) over compact arrays of fingerprints and counts. The documents' hashes probe the arrays, so
+lines are never joined to lines, and only hits go back to the documents. Lines so frequent that one shard would be
+probed too often have an index of their own, of bounded size, that is broadcast and probed where the text is.
 """
 
 from __future__ import annotations
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 from groundspark.llm.batches import column, column_bytes, parts, small_batches
 from groundspark.runtime import cut
 
-#: Keys in a shard, about; bytes of arrays that may be broadcast; probes that meet a shard in one task, about.
+#: Keys in a shard, about; probes from which a line is looked up beside the text, and how many such lines there can be.
 SHARD_KEYS = 50_000
-MAX_BROADCAST = 48 << 20
-PROBES = 400_000
+HOT_PROBES = 200_000
+HOT_KEYS = 200_000
 LEVELS = 24
 
 
@@ -38,9 +37,13 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 class LineIndex:
-    """Minimal perfect hash over ``h1`` with arrays of ``h2``, counts and keepers in its order."""
+    """Minimal perfect hash over ``h1`` with arrays of fingerprints and counts in its order, and the keepers of frequent keys.
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> None:
+    Every key of the corpus is in some index, so 16 bits of ``h2`` are enough to turn strangers away. Counts stop at
+    ``least``, beyond which they no longer matter.
+    """
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray, least: int) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []  # words of bits, keys before each word, slots
         left, placed, order = np.arange(len(h1)), 0, []
         for level in range(LEVELS):
@@ -50,12 +53,15 @@ class LineIndex:
             slot = (_mix(h1[left], level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(slot, minlength=size) == 1
             before = placed + np.cumsum(alone) - alone
-            self.levels.append((np.packbits(alone, bitorder="little").view("<u8"), before[::64], size))
+            self.levels.append((np.packbits(alone, bitorder="little").view("<u8"), before[::64].astype(np.uint32), size))
             mine = alone[slot]
             order.append(left[mine][np.argsort(slot[mine])])
             placed, left = placed + len(order[-1]), left[~mine]
         at = np.concatenate([*order, left])
-        self.h2, self.counts, self.keepers = h2[at], counts[at].astype(np.uint32), keepers[at]
+        self.least = least
+        self.marks, self.counts = h2[at].astype(np.uint16), np.minimum(counts[at], least).astype(np.min_scalar_type(least))
+        self.often = np.flatnonzero(self.counts >= least)
+        self.keepers = keepers[at][self.often]
         #: Keys that no level could part (equal h1) are looked up whole.
         self.spare = {(int(h1[i]), int(h2[i])): placed + j for j, i in enumerate(left)}
 
@@ -72,12 +78,17 @@ class LineIndex:
         for i in left if self.spare else ():
             place[i] = self.spare.get((int(h1[i]), int(h2[i])), -1)
         inside = place >= 0
-        inside[inside] = self.h2[place[inside]] == h2[inside]
+        inside[inside] = self.marks[place[inside]] == h2[inside].astype(np.uint16)
         return np.where(inside, place, -1)
 
-    @property
-    def nbytes(self) -> int:
-        return sum(a.nbytes + b.nbytes for a, b, _ in self.levels) + self.h2.nbytes + self.counts.nbytes + self.keepers.nbytes + 200 * len(self.spare)
+    def gone(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which lines go: their count in the index reaches the threshold and another row keeps them."""
+        if not len(h1) or not len(self.counts):
+            return np.zeros(len(h1), dtype=bool)
+        place = self.find(h1, h2)
+        out = (place >= 0) & (self.counts[place] >= self.least)
+        out[out] = self.keepers[np.searchsorted(self.often, place[out])] != ids[out]
+        return out
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -94,7 +105,7 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``(id, h1, h2)``: the distinct hashes of the lines of each row with an id."""
+    """``(id, h1, h2)``: the distinct hashes of the lines of each row."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +119,15 @@ def _line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             ids = column(batch, "id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "h1", "h2"])
 
-    return docs.where("id is not null").mapInArrow(run, f"id {id_type}, h1 long, h2 long")
+    return docs.mapInArrow(run, f"id {id_type}, h1 long, h2 long")
+
 
+def _unsigned(col: pd.Series) -> np.ndarray:
+    return col.to_numpy(dtype=np.int64).view(np.uint64)
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    u = lambda c: pdf[c].to_numpy(dtype=np.int64).view(np.uint64)
-    index = LineIndex(u("h1"), u("h2"), pdf["n"].to_numpy(), pdf["keeper"].to_numpy(dtype=np.int64))
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "bytes": [index.nbytes], "index": [pickle.dumps(index, protocol=5)]})
+
+def _index(pdf: pd.DataFrame, least: int) -> LineIndex:
+    return LineIndex(_unsigned(pdf["h1"]), _unsigned(pdf["h2"]), pdf["n"].to_numpy(), pdf["keeper"].to_numpy(), least)
 
 
 def drop_repeated_lines(
@@ -124,108 +137,90 @@ def drop_repeated_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_keys: int = SHARD_KEYS,
-    max_broadcast: int = MAX_BROADCAST,
+    hot_probes: int = HOT_PROBES,
 ) -> DataFrame:
     """``docs`` with ``text_col`` rid of repeated lines, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased. Keys of
-    ``min_chars`` code points found in ``min_docs`` rows (a repeated row counts again) lose all
-    their lines except in the rows of the largest id that holds them. A null or empty text is one empty line and
-    stays as it is. Rows with a null id don't count and stay as they are. Ids must be integers.
-    Columns named ``n_lines`` or ``n_dropped`` give way to the new ones; all others are kept.
+    ``min_chars`` code points found under ``min_docs`` different ids lose all their lines except in the rows of the
+    largest id that holds them; rows that repeat an id count once and share its fate. A null or empty text is one empty line and
+    stays as it is. Rows with a null id don't count and stay as they are. Ids may be of any type that
+    can be ordered (strings by their bytes). Columns named ``n_lines`` or ``n_dropped`` give way to the new ones; all others are kept.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = _line_hashes(slim, min_chars).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-    frequent = cut(counted.where(F.col("n") >= min_docs))
-    shards = max(1, -(-frequent.count() // shard_keys))
-    shard_of = F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int")
-    built = frequent.withColumn("shard", shard_of).groupBy("shard").applyInPandas(_build, "shard int, bytes long, index binary")
-    built = cut(built)
-    total = built.agg(F.sum("bytes")).first()[0] or 0
-    if total <= max_broadcast:
-        indexes = {r["shard"]: pickle.loads(r["index"]) for r in built.select("shard", "index").collect()}
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
-        return _probe_here(docs, keep, id_col, text_col, min_chars, shards, shared)
-    return _probe_there(docs, keep, slim, built, id_col, text_col, min_chars, shards)
-
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    lines = cut(_line_hashes(slim, min_chars))
+    repeated = cut(slim.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    if not repeated.isEmpty():
+        lines = cut(lines.join(repeated, "id", "left_anti").unionByName(lines.join(repeated, "id", "left_semi").distinct()))
+    counted = cut(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")))
+    size = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("lines")).first()
+    # At most HOT_KEYS keys can have this many of all lines.
+    hot_from = max(hot_probes, -(-(size["lines"] or 0) // HOT_KEYS))
+    hot = _index(counted.where(F.col("n") >= hot_from).toPandas(), min_docs)
+    shared = spark.sparkContext.broadcast(hot)
+    shards = max(1, -(-size["keys"] // shard_keys))
+    shard = F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int").alias("shard")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "index": [pickle.dumps(_index(pdf, min_docs), protocol=5)]})
 
-def _schema(docs: DataFrame, keep: list[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", n_lines long, n_dropped long"
+    def probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(index):
+            return pd.DataFrame({"id": pd.Series(dtype="object"), "mark": pd.Series(dtype="int64")})
+        h1, h2 = _unsigned(rows["h1"]), _unsigned(rows["h2"])
+        gone = pickle.loads(index["index"].iloc[0]).gone(h1, h2, rows["id"].to_numpy())
+        return pd.DataFrame({"id": rows["id"][gone], "mark": (h1 ^ h2).view(np.int64)[gone]})
 
+    id_type = slim.schema["id"].dataType.simpleString()
+    cold = counted.where(F.col("n") < hot_from).select(shard, "h1", "h2", "n", "keeper")
+    built = cold.groupBy("shard").applyInPandas(build, "shard int, index binary")
+    probes = lines if not len(hot.counts) else lines.mapInArrow(_without(shared), lines.schema)
+    hits = probes.select(shard, "id", "h1", "h2").groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(probe, f"id {id_type}, mark long")
+    gone = hits.groupBy("id").agg(F.collect_set("mark").alias("_gone")).withColumnRenamed("id", "_gone_id")
+    joined = docs.select(*keep, F.col(id_col).alias("_id")).join(gone, F.col("_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    return joined.mapInArrow(_remover(shared, keep, text_col, min_chars), _schema(docs, keep))
 
-def _output(batch: pa.RecordBatch, keep: list[str], text_col: str, texts: list, n_lines: list[int], n_dropped: list[int]) -> pa.RecordBatch:
-    cols = [pa.array(texts, pa.large_binary()).cast(batch.schema.field(c).type) if c == text_col else column(batch, c) for c in keep]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*keep, "n_lines", "n_dropped"])
 
+def _without(shared):
+    """Leaves out lines of the hot index, which documents look up themselves."""
 
-def _probe_here(docs: DataFrame, keep: list[str], id_col: str, text_col: str, min_chars: int, shards: int, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, text_col):
-            texts, ids = column_bytes(batch, text_col), column(batch, id_col).to_pylist()
-            lines = [(t or b"").split(b"\n") for t in texts]
-            spots, keys = [], []
-            for i, own in enumerate(lines):
-                for j, x in enumerate(own if ids[i] is not None else ()):
-                    if (key := line_key(x, min_chars)) is not None:
-                        spots.append((i, j))
-                        keys.append(key)
-            h1, h2 = _hashes(keys)
-            shard = (h1.view(np.int64) >> 20) % shards
-            gone: dict[int, list[int]] = {}
-            for s, index in shared.value.items():
-                at = np.flatnonzero(shard == s)
-                place = index.find(h1[at], h2[at])
-                for a, p in zip(at[place >= 0].tolist(), place[place >= 0].tolist(), strict=True):
-                    i, j = spots[a]
-                    if index.keepers[p] != ids[i]:
-                        gone.setdefault(i, []).append(j)
-            for i, js in gone.items():
-                out = set(js)
-                texts[i] = b"\n".join(x for j, x in enumerate(lines[i]) if j not in out)
-            yield _output(batch, keep, text_col, texts, [len(x) for x in lines], [len(gone.get(i, ())) for i in range(len(lines))])
-
-    return docs.select(*keep).mapInArrow(run, _schema(docs, keep))
-
-
-def _probe_there(docs: DataFrame, keep: list[str], slim: DataFrame, built: DataFrame, id_col: str, text_col: str, min_chars: int, shards: int) -> DataFrame:
-    probes = _line_hashes(slim, min_chars).withColumn("shard", F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int"))
-    salts = max(1, -(-probes.count() // (shards * PROBES)))
-    probes = probes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    copies = built.select("shard", "index", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    id_type = slim.schema["id"].dataType.simpleString()
+        for batch in batches:
+            h1, h2 = (column(batch, c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+            yield batch.filter(pa.array(shared.value.find(h1, h2) < 0))
 
-    def probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(index):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "h1": pd.Series(dtype="int64")})
-        table = pickle.loads(index["index"].iloc[0])
-        h1, h2, ids = (rows[c].to_numpy(dtype=np.int64) for c in ("h1", "h2", "id"))
-        place = table.find(h1.view(np.uint64), h2.view(np.uint64))
-        hit = place >= 0
-        hit[hit] = table.keepers[place[hit]] != ids[hit]
-        return pd.DataFrame({"id": ids[hit], "h1": h1[hit] ^ h2[hit]})
-
-    hits = probes.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, f"id {id_type}, h1 long")
-    gone = hits.groupBy("id").agg(F.collect_set("h1").alias("_gone"))
-    joined = docs.select(*keep).join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
+    return run
+
+
+def _schema(docs: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", n_lines long, n_dropped long"
+
+
+def _remover(shared, keep: list[str], text_col: str, min_chars: int):
+    """Takes the lines out that the shards sent back (``_gone``) or that the hot index says go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for batch in parts(batches, text_col):
             texts, n_lines, n_dropped = column_bytes(batch, text_col), [], []
-            for i, marks in enumerate(column(batch, "_gone").to_pylist()):
-                lines, out = (texts[i] or b"").split(b"\n"), set()
-                if marks:
-                    marked = set(marks)
-                    for j, x in enumerate(lines):
-                        if (key := line_key(x, min_chars)) is not None:
-                            h1, h2 = _hashes([key])
-                            if int((h1 ^ h2).view(np.int64)[0]) in marked:
-                                out.add(j)
+            for i, (own, marks) in enumerate(zip(column(batch, "_id").to_pylist(), column(batch, "_gone").to_pylist(), strict=True)):
+                lines = (texts[i] or b"").split(b"\n")
+                n_lines.append(len(lines))
+                out: set[int] = set()
+                if own is not None and (marks or len(hot.counts)):
+                    keyed = [(j, k) for j, x in enumerate(lines) if (k := line_key(x, min_chars)) is not None]
+                    h1, h2 = _hashes([k for _, k in keyed])
+                    drop = hot.gone(h1, h2, np.array([own] * len(h1), dtype=object))
+                    if marks:
+                        drop |= np.isin((h1 ^ h2).view(np.int64), marks)
+                    out = {j for (j, _), d in zip(keyed, drop.tolist(), strict=True) if d}
                 if out:
                     texts[i] = b"\n".join(x for j, x in enumerate(lines) if j not in out)
-                n_lines.append(len(lines))
                 n_dropped.append(len(out))
-            yield _output(batch, keep, text_col, texts, n_lines, n_dropped)
+            cols = [pa.array(texts, pa.large_binary()).cast(batch.schema.field(c).type) if c == text_col else column(batch, c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*keep, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(run, _schema(docs, keep))
+    return run

@@ -66,12 +66,12 @@ def components(fps: list[tuple[int | None, int]], radius: int = 3) -> list[tuple
 
 def line_dedup(rows: list[tuple], min_chars: int = 40, min_docs: int = 5) -> list[tuple]:
     """(doc_id, n_lines, n_dropped, kept_sha256) for (doc_id, text) rows."""
-    holders: dict[str, list] = defaultdict(list)
+    holders: dict[str, set] = defaultdict(set)
     key = lambda x: lower(x.strip(WS))
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if d is not None and len(k) >= min_chars:
-                holders[k].append(d)
+                holders[k].add(d)
     out = []
     for d, t in rows:
         lines = (t or "").split("\n")
