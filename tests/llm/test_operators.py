@@ -100,7 +100,7 @@ def test_line_dedup_equals_brute_force(spark, hot_probes, shard_keys):
 def test_line_dedup_counts_ids_not_rows(spark, hot_probes):
     line = "a line of over forty characters that five rows but two ids hold"
     wide = "another line of over forty characters that five different ids hold"
-    rows = [(1, f"{line}\n{wide}")] * 4 + [(2, f"{wide}\n{line}")] + [(i, wide * 1 + "\n" + "z" * 100_000) for i in (3, 4, 5)]
+    rows = [(1, f"{line}\n{wide}")] * 4 + [(2, f"{wide}\n{line}")] + [(i, wide + "\n" + "z" * 100_000) for i in (3, 4, 5)]
     frame = docs_of(spark, rows)
     for as_text in (False, True):
         own = frame.withColumn("doc_id", F.col("doc_id").cast("string")) if as_text else frame
@@ -132,12 +132,26 @@ def test_url_filter_equals_brute_force(spark):
     frame = spark.createDataFrame(rules, "host string, path string, verdict string")
     pages = spark.createDataFrame([(i, u, None, "z") for i, u in rows], "page_id long, url string, host string, rule string")
     want = brute.judge(rows, [r for r in rules if None not in r])
-    for salts in (1, 16):
-        assert got(urlfilter.judge(pages, frame, salts=salts), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=str)
+    for range_rows in (1, 40, 10_000):
+        assert got(urlfilter.judge(pages, frame, range_rows=range_rows), "page_id", "host", "path", "rule", "verdict") == sorted(want, key=str)
     assert urlfilter.judge(pages, frame.limit(0)).where("rule is null and verdict = 'allow'").count() == len(rows)
     assert urlfilter.judge(pages.limit(0), frame).count() == 0
 
 
+def test_url_ranges_split_a_hot_host(spark):
+    """Nested hosts and paths at random; most pages belong to one host, and every task gets a share of them."""
+    rng = random.Random(11)
+    name = lambda k: ".".join(rng.choices(["a", "b", "a-b", "ab"], k=k))
+    step = lambda: "".join(rng.choices(["/", "/x", "/xy", "z"], k=rng.randint(0, 4)))
+    rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in [(name(rng.randint(1, 3)), step()) for _ in range(150)]}.values())
+    rows = [(i, f"http://{name(rng.randint(1, 5)) if i % 3 else 'hot.a.b'}{step()}?q") for i in range(1500)]
+    pages, frame = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    judged = urlfilter.judge(pages, frame, range_rows=100)
+    assert got(judged, "page_id", "host", "path", "rule", "verdict") == sorted(brute.judge(rows, rules), key=str)
+    shares = judged.where("host = 'hot.a.b'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) >= 5 and max(r["count"] for r in shares) < 200
+
+
 @pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 400])
 def test_decontamination_equals_brute_force(spark, rows, block_bytes):
     rng = random.Random(4)
