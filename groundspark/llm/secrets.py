@@ -2,8 +2,9 @@
 
 Each rule's regex is turned, on the driver, into a Boolean query over the trigrams that any match must
 contain (case folded). Postings (trigram, document) are made for those trigrams only; grouping them
-by document intersects them and evaluates the queries. Rules are then run on their candidates' whole
-texts; a rule that no trigram is mandatory for has no query and scans every text.
+by document intersects them and evaluates the queries. Only ids are shuffled: the candidates of each rule come back to
+the texts as bits of a hashed set of bounded size, and rules are then run on their candidates' whole texts. Documents that
+share a bit are verified in vain, never missed. A rule that no trigram is mandatory for has no query and scans every text.
 """
 
 from __future__ import annotations
@@ -138,6 +139,22 @@ def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return flags.where(" or ".join(f"`{k}`" for k in queries))
 
 
+#: Words of 64 bits in the hashed set of candidates, at most; each is a row that is broadcast.
+SET_WORDS = 1 << 18
+
+
+def candidate_bits(chosen: DataFrame, kinds: list[str], words: int) -> DataFrame:
+    """``(slot, a word for each of kinds)``: bit ``hash(id)`` is set for the ids that are candidates; ``words`` rows at most."""
+    slot, bit = _slot(F.col("id"), words)
+    marked = chosen.select(slot.alias("slot"), bit.alias("bit"), *kinds)
+    return marked.groupBy("slot").agg(*[F.bit_or(F.when(F.col(k), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))).alias(k) for k in kinds])
+
+
+def _slot(id_col: Column, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(F.lit(5), id_col)
+    return F.pmod(F.shiftright(h, 6), F.lit(words)), h.bitwiseAND(63).cast("int")
+
+
 #: Lengths that are summed in one step when matches are placed.
 STEP = 64
 
@@ -182,7 +199,7 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text", set_words: int = SET_WORDS) -> DataFrame:
     """``(id_col, spans)`` for every row of ``docs``.
 
     ``spans`` is an array of ``(start, kind, end)``, by start, then rule: code points, end exclusive,
@@ -194,13 +211,13 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not True}
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     none = F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")
-    joined = slim
+    held, slot = slim, _slot(F.col("id"), set_words)
     if queries:
-        chosen = candidates(slim, queries).withColumnRenamed("id", "id_c")
-        joined = slim.join(chosen, F.col("id").eqNullSafe(F.col("id_c")), "left")
+        bits = candidate_bits(candidates(slim, queries), list(queries), set_words)
+        held = slim.withColumn("slot", slot[0]).join(F.broadcast(bits), "slot", "left")
     parts = []
     for k, rule in enumerate(rules):
-        worth = F.coalesce(F.col(rule.kind), F.lit(False)) if rule.kind in queries else F.lit(True)
+        worth = F.coalesce(F.getbit(F.col(rule.kind), slot[1]) == 1, F.lit(False)) if rule.kind in queries else F.lit(True)
         worth = worth & F.col("text").rlike(rule.precheck or rule.regex)
         parts.append(F.when(worth, F.coalesce(_spans(F.col("text"), rule, k), none)).otherwise(none))
-    return joined.select(F.col("id").alias(id_col), F.array_sort(F.concat(*parts)).alias("spans"))
+    return held.select(F.col("id").alias(id_col), F.array_sort(F.concat(*parts)).alias("spans"))

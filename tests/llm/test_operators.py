@@ -264,7 +264,11 @@ def test_secret_scan_equals_brute_force(spark):
     kinds = {"assign": "0", "access": "1", "hex": "2"}
     want = [(d, [":".join([kinds[x.split(":")[0]], *x.split(":")[1:]]) for x in s.split(",") if x]) for d, *_, s in brute.secrets(rows)]
     assert got(shown, "doc_id", "s") == sorted(want, key=str)
+    again = secrets.scan(frame, set_words=1).select("doc_id", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])).alias("s"))
+    assert got(again, "doc_id", "s") == sorted(want, key=str)
     assert secrets.scan(docs_of(spark, [])).count() == 0
+    plan = spans._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "Python" not in plan and "MapInArrow" not in plan
 
 
 def test_trigram_queries():
