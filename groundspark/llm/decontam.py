@@ -11,8 +11,8 @@ a passage that many documents share makes no hot key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes, gathered
+from groundspark.llm.batches import column, column_bytes, gathered, small_batches
 from groundspark.runtime import cut
 
 #: Bytes of benchmark text whose windows are broadcast at once; more is done block by block.
 BLOCK_BYTES = 8 << 20
+#: Windows that are searched at once.
+WINDOWS = 1 << 16
 #: Bytes of documents in one index, about; every eighth suffix keeps its place.
 SHARD_BYTES = 16 << 20
 SAMPLE = 8
@@ -121,32 +123,39 @@ class FMIndex:
         return out
 
 
-@dataclass(frozen=True)
 class Phrases:
-    """Windows of a block of benchmark items: word ids by word, windows by length, items by window."""
-
-    words: dict[bytes, int]
-    windows: dict[int, np.ndarray]  # length -> [windows, length] of word ids
-    first: dict[int, int]  # length -> number of its first window
-    items: list[list[str]]  # by window number
-    shortest: int
-
-
-def phrases_of(items: list[tuple[object, bytes | None]], window: int) -> Phrases:
-    words: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        ids = [words.setdefault(w, len(words) + 1) for w in words_of(text)]
-        for at in range(max(1, len(ids) - window + 1) if ids else 0):
-            own = found.setdefault(tuple(ids[at : at + window]), set())
-            if item is not None:
-                own.add(str(item))
-    windows, first, owners = {}, {}, []
-    for size in sorted({len(w) for w in found}):
-        mine = [w for w in found if len(w) == size]
-        windows[size], first[size] = np.array(mine, dtype=np.int64), len(owners)
-        owners += [sorted(found[w]) for w in mine]
-    return Phrases(words, windows, first, owners, min(windows, default=0))
+    """Windows of a block of benchmark items: word ids by word, the items' words in one array, and the windows in it by length.
+
+    A window is only a place in that array, so what is built and broadcast stays about as large as the text.
+    """
+
+    def __init__(self, items: Iterable[tuple[object, bytes | None]], window: int) -> None:
+        self.words: dict[bytes, int] = {}
+        self.items: list[str | None] = []
+        sequence, stops = array("i"), []
+        for item, text in items:
+            sequence.extend(self.words.setdefault(w, len(self.words) + 1) for w in words_of(text))
+            stops.append(len(sequence))
+            self.items.append(None if item is None else str(item))
+        self.sequence, self.stops = np.array(sequence, dtype=np.int32), np.array(stops, dtype=np.int64)
+        sizes = np.diff(self.stops, prepend=0)
+        #: Lengths of windows, rising.
+        self.lengths = np.unique(np.minimum(sizes[sizes > 0], window)).tolist()
+        self.window = window
+
+    @property
+    def shortest(self) -> int:
+        return min(self.lengths, default=0)
+
+    def lots(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of one length as rows of word ids, with the number of each one's item, in lots of bounded size."""
+        sizes = np.diff(self.stops, prepend=0)
+        item = np.flatnonzero(sizes >= length if length == self.window else sizes == length)
+        count = sizes[item] - length + 1
+        owner = np.repeat(item, count)
+        start = np.repeat(self.stops[item] - sizes[item] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        for at in range(0, len(start), WINDOWS):
+            yield self.sequence[start[at : at + WINDOWS, None] + np.arange(length)], owner[at : at + WINDOWS]
 
 
 def _runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +169,16 @@ def _runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
 def find_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     """Word counts, merged spans of hit words (start, end) and hit items of each text of a shard."""
     n_words, spans, items = [], [[] for _ in texts], [set() for _ in texts]
+    shortest = phrases.shortest
     parts, docs, starts, at = [], [], [], 0
     begins = []
     for i, text in enumerate(texts):
         words = words_of(text)
         n_words.append(len(words))
-        if not phrases.shortest or len(words) < phrases.shortest:
+        if not shortest or len(words) < shortest:
             continue
         ids = np.fromiter(map(phrases.words.get, words, repeat(0)), dtype=np.int64, count=len(words))
-        for a, b in zip(*_runs(ids, phrases.shortest), strict=True):
+        for a, b in zip(*_runs(ids, shortest), strict=True):
             parts += [ids[a:b], [0]]
             docs.append(i)
             starts.append(a)
@@ -185,25 +195,27 @@ def find_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], l
     docs, starts, begins = map(np.array, (docs, starts, begins))
     cover = np.zeros(at + 1, dtype=np.int64)
     hits = []
-    for size, windows in phrases.windows.items():
-        low, high = index.search(dense[windows])
-        count = np.maximum(high - low, 0)
-        which = np.repeat(np.arange(len(windows)), count)
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[which]
-        for lot in range(0, len(rows), 1 << 18):
-            place = index.locate(rows[lot : lot + (1 << 18)])
-            np.add.at(cover, place, 1)
-            np.add.at(cover, place + size, -1)
-            run = np.searchsorted(begins, place, side="right") - 1
-            hits.append(np.unique(np.stack([docs[run], which[lot : lot + (1 << 18)] + phrases.first[size]], axis=1), axis=0))
+    for size in phrases.lengths:
+        for windows, owner in phrases.lots(size):
+            low, high = index.search(dense[windows])
+            count = np.maximum(high - low, 0)
+            which = np.repeat(np.arange(len(windows)), count)
+            rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[which]
+            for lot in range(0, len(rows), 1 << 18):
+                place = index.locate(rows[lot : lot + (1 << 18)])
+                np.add.at(cover, place, 1)
+                np.add.at(cover, place + size, -1)
+                run = np.searchsorted(begins, place, side="right") - 1
+                hits.append(np.unique(np.stack([docs[run], owner[which[lot : lot + (1 << 18)]]], axis=1), axis=0))
     covered = (np.cumsum(cover[:-1]) > 0).astype(np.int64)
     for a, b in zip(*_runs(covered, 1), strict=True):
         r = int(np.searchsorted(begins, a, side="right")) - 1
         shift = int(starts[r] - begins[r])
         spans[int(docs[r])].append((int(a) + shift, int(b) + shift))
     for lot in hits:
-        for i, w in lot.tolist():
-            items[i].update(phrases.items[w])
+        for i, k in lot.tolist():
+            if phrases.items[k] is not None:
+                items[i].add(phrases.items[k])
     return n_words, spans, items
 
 
@@ -239,6 +251,7 @@ def decontaminate(
     words but aren't listed, and rows that repeat an item count once. Of columns with the new names, the
     old ones give way.
     """
+    small_batches(docs.sparkSession)
     new = ["n_words", "n_hit", "spans", "items", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     items = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
@@ -253,8 +266,8 @@ def decontaminate(
         dealt = sizes.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
         blocks = [dealt.where(F.col("block") == k) for k in range(n)]
     for k, block in enumerate(blocks):
-        rows = [(r["item"], r["text"].encode()) for r in block.select("item", "text").toLocalIterator()]
-        shared = docs.sparkSession.sparkContext.broadcast(phrases_of(rows, window))
+        rows = ((r["item"], r["text"].encode()) for r in block.select("item", "text").toLocalIterator())
+        shared = docs.sparkSession.sparkContext.broadcast(Phrases(rows, window))
         out = out.mapInArrow(_finder(shared, keep), f"{fields}_text string, _n_words int, _spans {_SPANS}, _items array<string>")
         if k + 1 < len(blocks):
             out = cut(out)
