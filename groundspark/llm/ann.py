@@ -1,7 +1,7 @@
 """Nearest neighbours by an int8 block matrix join.
 
 Queries and candidates are dealt into stripes by a hash of their id; each query stripe meets each
-candidate stripe in one tile. A tile multiplies int8 codes (exact in float32), turns the products into
+candidate stripe in one tile. A tile multiplies int8 codes (in floats wide enough to be exact), turns the products into
 cosines with proven quantisation error bounds, drops every pair whose upper bound is under the
 k-th best lower bound, recomputes the rest in double precision and merges them into a heap per query.
 Tiles' heaps are merged by a ranked window per query. Nothing is missed: the search is exact.
@@ -28,11 +28,13 @@ def _matrix(rows: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
     flat = rows["vec"].combine_chunks()
     flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
     x = np.asarray(flat.flatten().cast(pa.float64())).reshape(-1, dim)
-    order = np.lexsort((*x.T[::-1], ids))
-    ids, x = ids[order], x[order]
-    first = np.ones(len(ids), dtype=bool)
-    first[1:] = ids[1:] != ids[:-1]
-    return ids[first], x[first]
+    order = np.argsort(ids, kind="stable")
+    ids, starts = np.unique(ids[order], return_index=True)
+    rows = order[starts]
+    for i in np.flatnonzero(np.diff(starts, append=len(order)) > 1):
+        same = order[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(order)]
+        rows[i] = min(same.tolist(), key=lambda r: x[r].tolist())
+    return ids, x[rows]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -70,13 +72,15 @@ def tile(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, n
         keep[i] = n <= k + 1
     c_ids, c = c_ids[keep], c[keep]
     c_code, c_scale, c_lost = _codes(_unit(c))
-    c_code = c_code.astype(np.float32).T
+    # Sums of products of codes are exact in float32 up to 2 ** 24.
+    exact = np.float32 if c.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    c_code = c_code.astype(exact).T
     slack = 1e-5 + 1e-6  # float32 products of scales
     out = []
     for at in range(0, len(q_ids), QUERY_ROWS):
         ids, x = q_ids[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS]
         code, scale, lost = _codes(_unit(x))
-        near = (code.astype(np.float32) @ c_code) * scale.astype(np.float32)[:, None] * c_scale.astype(np.float32)
+        near = (code.astype(exact) @ c_code).astype(np.float32) * scale.astype(np.float32)[:, None] * c_scale.astype(np.float32)
         bound = (lost[:, None] * (1 + c_lost) + c_lost * (1 + lost[:, None]) + lost[:, None] * c_lost + slack).astype(np.float32)
         own = np.searchsorted(c_ids, ids)
         hit = own < len(c_ids)
