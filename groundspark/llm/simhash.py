@@ -91,7 +91,9 @@ def near_links(fps: DataFrame, radius: int = 3, hot_half: int = HOT_HALF) -> Dat
     """
     if not 1 <= radius <= 3:
         raise ValueError("the halves meet for a radius of 1 to 3")
-    own = fps.select(
+    # Each fingerprint becomes 66 rows, so what an earlier stage packed into few partitions is spread first.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = fps.repartition(tasks, "fp").select(
         "fp",
         F.explode(
             F.array(*[F.struct(F.lit(s).alias("side"), _half(s, F.col("fp")).alias("half"), _half(1 - s, F.col("fp")).alias("rest")) for s in (0, 1)])
