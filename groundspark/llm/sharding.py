@@ -4,8 +4,8 @@ Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
 moved by a seeded offset of the source, over the source's row count. Sorting by fractional rank
 interleaves the sources in proportion, so any cut of that order matches the mixture. Both rankings
 are two-level: an order-preserving bucket of the sort key is counted, a running sum over the small
-table of buckets gives each its offset, and only rows of one bucket are ranked together. A hot
-source is thus spread over as many tasks as it has buckets.
+table of buckets gives each its offset, and only rows of one bucket are ranked together. A source
+has buckets in proportion to its rows, so a hot one is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 
 from groundspark.runtime import cut
 
-#: Rows that are ranked together in a task, about.
-BUCKET_ROWS = 20_000
+#: Rows that are ranked together in a task, about; buckets of a ranking are summed up in one sorted run.
+BUCKET_ROWS = 4000
 SEED = "interleave-1"
 
 
-def _buckets(n: int, bucket_rows: int) -> int:
-    return max(1, -(-n // bucket_rows))
-
-
 def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
     """Row number from 0 within ``group`` by (bucket, order), where bucket never falls along order."""
     counts = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_in_bucket"))
@@ -48,9 +44,9 @@ def interleave(
 
     ``size`` is the text's UTF-8 bytes plus 1, ``slot`` counts from 0 without gaps in each shard, and shard
     sizes in rows differ by one at most. A null source is a source of its own, a null text has no
-    bytes (crc32 0). Rows are shuffled by the MD5 of seed and id, so the result depends on ids,
-    not on the order or partitioning of the input; rows with equal ids are ordered by text
-    checksum and size, and whole repeats are interchangeable. An empty table gives no rows.
+    bytes (crc32 0). Rows are shuffled by the MD5 of seed, id, text checksum and size, so the result does not depend
+    on the order or partitioning of the input; a null id counts as an empty one, and whole repeats are
+    interchangeable. An empty table gives no rows.
     """
     word = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
     slim = docs.select(
@@ -58,19 +54,17 @@ def interleave(
         F.col(source_col).alias("source"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text_col), F.lit(0)).cast("long").alias("crc"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("mix"),
     )
-    slim = cut(slim)
-    totals = slim.groupBy("source").agg(F.count(F.lit(1)).alias("in_source"))
+    mixed = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("crc").cast("string"), F.col("size").cast("string"))
+    slim = cut(slim.withColumn("mix", F.md5(mixed)))
+    totals = slim.groupBy(F.col("source").alias("source_t")).agg(F.count(F.lit(1)).alias("in_source"))
     n = slim.count()
-    parts = _buckets(n, bucket_rows)
-    first = _ranked(
-        slim.withColumn("part", F.floor(word("mix") * parts / F.lit(float(1 << 32))).cast("int")), ["source"], "part", ["mix", "id", "crc", "size"], "rank"
-    )
+    known = slim.join(totals, slim["source"].eqNullSafe(F.col("source_t"))).drop("source_t")
+    own_parts = F.ceil(F.col("in_source") / bucket_rows)
+    first = _ranked(known.withColumn("part", F.floor(word("mix") * own_parts / F.lit(float(1 << 32))).cast("int")), ["source"], "part", ["mix", "id", "crc", "size"], "rank")
     offset = word(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit(""))))) / F.lit(float(1 << 32))
-    spread = first.join(totals.withColumnRenamed("source", "source_t"), first["source"].eqNullSafe(F.col("source_t"))).select(
-        "id", "source", "size", "crc", "mix", ((F.col("rank") + offset) / F.col("in_source")).alias("fraction")
-    )
+    spread = first.select("id", "source", "size", "crc", "mix", ((F.col("rank") + offset) / F.col("in_source")).alias("fraction"))
+    parts = max(1, -(-n // bucket_rows))
     spread = spread.withColumn("part", F.least(F.floor(F.col("fraction") * parts), F.lit(parts - 1)).cast("int"))
     placed = _ranked(spread, [], "part", ["fraction", "source", "mix", "id", "crc", "size"], "place")
     shard = F.expr(f"cast(place * {shards} div {max(n, 1)} as int)")
