@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.batches import column, column_bytes, parts
+from groundspark.llm.batches import column, column_bytes, parts, small_batches
 from groundspark.runtime import cut
 
 FEATURES = [
@@ -143,10 +143,11 @@ def classify(
     """``(id_col, score, predicted)`` for every row of ``docs``.
 
     ``labels`` holds 0 or 1 in ``label_col`` by ``id_col``; other values, nulls and ids without a document
-    teach nothing, repeated label rows count once each distinct. ``train_on`` maps the column of ids
+    teach nothing, repeated label rows count once each distinct, repeated documents each time. ``train_on`` maps the column of ids
     to a condition on what may be learned from. Null texts score like empty ones; repeated rows
     are all scored; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     marked = cut(featurise(docs, id_col, text_col))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).distinct()
     if train_on is not None:

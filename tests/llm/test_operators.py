@@ -286,13 +286,15 @@ def test_sharding_equals_brute_force(spark):
     frame = spark.createDataFrame([(i, s, None if i % 9 == 0 else "é" * i, "clash") for i, s in rows], "doc_id long, source string, text string, shard string")
     for bucket_rows in (7, 20_000):
         placed = sharding.interleave(frame, 16, bucket_rows=bucket_rows)
-        assert set(map(tuple, placed.select("doc_id", "shard", "slot").collect())) == brute.interleave(rows, 16, sharding.SEED)
-    sizes = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in placed.collect()}
-    assert sizes[9] == (1, 0) and sizes[10][0] == 21
+        out = placed.select("doc_id", "size", "text_crc32", "shard", "slot").collect()
+        assert sorted(map(tuple, out)) == sorted(brute.interleave([(i, s, None if i % 9 == 0 else "é" * i) for i, s in rows], 16, sharding.SEED))
     mixed = placed.where("source = 'a'").groupBy("shard").count().toPandas()["count"]
     assert mixed.max() - mixed.min() <= 6
     same = spark.createDataFrame([(1, "a", "x", "")] * 40, frame.schema)
     assert sorted(r["count"] for r in sharding.interleave(same, 16, bucket_rows=7).groupBy("shard").count().collect()) == [2] * 8 + [3] * 8
+    odd = [(None, "a", "x"), (None, "a", None), (3, "a", "x"), (3, "a", "y"), (3, "b", "y"), (4, None, "")]
+    held = sharding.interleave(spark.createDataFrame(odd, "doc_id long, source string, text string"), 4, bucket_rows=1)
+    assert got(held, "doc_id", "size", "text_crc32", "shard", "slot") == sorted(brute.interleave(odd, 4, sharding.SEED), key=str)
     assert sharding.interleave(frame.limit(0)).count() == 0
 
 
@@ -313,6 +315,11 @@ def test_nearest_equals_brute_force(spark):
             assert abs(r["score"] - near[r["query_id"]][r["rank"] - 1]) < 1e-9
         hot = [(r["query_id"], r["rank"], r["vec_id"]) for r in found if r["query_id"] in (50, 100, 150)]
         assert set(hot) == {x for x in want if x[0] in (50, 100, 150)}
+    tied = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 2.0]) for i in range(40)] + [(7, [5.0, 5.0]), (7, [0.5, 9.0]), (7, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    top = [(r["rank"], r["vec_id"]) for r in ann.nearest(tied, F.col("vec_id") == 0, k=4).collect()]
+    assert sorted(top) == [(1, 2), (2, 4), (3, 6), (4, 8)]  # ties to the smaller id
+    seven = {r["vec_id"]: r["score"] for r in ann.nearest(tied, F.col("vec_id") == 0, k=30).collect()}[7]
+    assert abs(seven - 1 / 1.25**0.5) < 1e-12  # of a repeated id the least vector counts
     few = frame.where("vec_id in (0, 1, 2)")
     assert sorted((r["rank"], r["vec_id"]) for r in ann.nearest(few, F.col("vec_id") == 0).collect()) in ([(1, 1), (2, 2)], [(1, 2), (2, 1)])
     assert ann.nearest(frame.limit(0), F.col("vec_id") == 0).count() == 0
@@ -344,9 +351,33 @@ def test_language_id(spark):
     assert langid.predict(frame.limit(0), model).count() == 0
 
 
+def test_language_id_equals_dictionaries(spark):
+    """Ties, repeated rows and ids, one language a slice."""
+    rng = random.Random(5)
+    rows = [(i % 90, " ".join(rng.choices(["le", "été", "der", "und", "the", "of", "x1"], k=rng.randint(1, 80))), rng.choice(["fr", "de", "en", "it"])) for i in range(120)]
+    rows += [(7, "twice", "en")] * 3 + [(200, None, "en"), (201, "", "fr"), (202, "12", "de"), (203, "no label", None), (None, "Ünd", "de"), (204, "a" * 3000, "it")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute.languages([(d, t) for d, t, _ in rows], [(t, x) for _, t, x in rows])
+    model = langid.train(frame)
+    rounded = lambda out: sorted([(d, x, round(s, 5)) for d, x, s in out], key=str)
+    for size in (langid.MAX_MATRIX_BYTES, 4 << 16):
+        out = [tuple(r) for r in langid.predict(frame, model, max_bytes=size).select("doc_id", "lang_pred", "score").collect()]
+        assert rounded(out) == rounded(want)
+    # The bound on the sample holds where one id fills it.
+    many = spark.createDataFrame([(1, f"text {i}", "en") for i in range(40)] + [(2, "texte", "fr")], frame.schema)
+    assert round(float(np.exp(langid.train(many, max_rows=10).log_prior).sum()), 6) == 1.0
+    few = langid.train(many, max_rows=10)
+    assert len(few.langs) <= 2 and few.langs[0] == "en"
+
+
 def test_language_blocks_count_each_gram_once(monkeypatch):
     codes = langid._codes("some words in a row, été " * 40)
     whole = [np.sort(np.concatenate(x)) for x in [list(langid.gram_blocks(codes, 12))]][0]
+    table = np.random.default_rng(2).random((1 << 12, 3)).astype(np.float32)
+    texts = [codes, codes[:1], codes[:2], codes[5:9], codes[3:80]]
+    together = langid.totals(texts, table, 12)
+    alone = [langid.totals([t], table, 12) for t in texts]
+    assert np.allclose(together[0], np.concatenate([a for a, _ in alone])) and (together[1] == np.concatenate([b for _, b in alone])).all()
     monkeypatch.setattr(langid, "BLOCK", 37)
     assert (np.sort(np.concatenate(list(langid.gram_blocks(codes, 12)))) == whole).all()
 
@@ -366,5 +397,11 @@ def test_quality(spark):
     held = [out[i]["predicted"] == q for i, _, q in rows if i % 3 != 1]
     assert sum(held) / len(held) > 0.98
     assert len(out) == 404 and out[800]["score"] == out[801]["score"]
+    want = dict(brute.quality([(r["doc_id"], r["text"]) for r in frame.collect()], [(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] is not None and r["doc_id"] % 3 == 1]))
+    assert all(abs(out[d]["score"] - s) < 1e-6 for d, s in want.items())
+    again = frame.unionByName(frame.where("doc_id in (4, 5)"))  # repeated rows teach again and are scored again
+    twice = quality.classify(again, labels, train_on=lambda c: c % 3 == 1)
+    want = dict(brute.quality([(r["doc_id"], r["text"]) for r in again.collect()], [(r["doc_id"], r["quality"]) for r in labels.collect() if r["doc_id"] is not None and r["doc_id"] % 3 == 1]))
+    assert twice.count() == 406 and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in twice.collect())
     assert quality.classify(frame.limit(0), labels).count() == 0
     assert {r["score"] for r in quality.classify(frame, labels.limit(0)).collect()} == {0.5}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from groundspark.llm import langid, queries, sharding
+from groundspark.llm import queries, sharding
 from groundspark.llm.sql import ORACLES
 from tests.conftest import TINY
 from tests.llm import brute
@@ -40,6 +40,21 @@ def test_language_accuracy_on_held_out(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) / len(rows) > 0.97
 
 
+def test_languages_equal_dictionaries(spark):
+    rows = columns("documents", "doc_id", "text", "lang")
+    want = {d: (x, s) for d, x, s in brute.languages([(d, t) for d, t, _ in rows], [(t, x) for d, t, x in rows if brute.fold(d)])}
+    for r in queries.op1_language_id(spark, TINY).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4 and r["held_out"] == (brute.fold(r["doc_id"]) == 0)
+
+
+def test_quality_equals_refit(spark):
+    rows, labels = columns("documents", "doc_id", "text"), columns("labels", "doc_id", "quality")
+    want = dict(brute.quality(rows, [(d, q) for d, q in labels if brute.fold(d)]))
+    for r in queries.op4_quality(spark, TINY).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-6 and r["held_out"] == (brute.fold(r["doc_id"]) == 0) and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_quality_accuracy_on_held_out(spark):
     truth = dict(columns("labels", "doc_id", "quality"))
     rows = [r for r in queries.op4_quality(spark, TINY).collect() if r["held_out"] and r["doc_id"] in truth]
@@ -57,8 +72,10 @@ def test_simhash(spark):
 
 
 def test_sharding(spark):
-    want = brute.interleave(columns("documents", "doc_id", "source"), 16, sharding.SEED)
-    assert set(got(queries.op5_sharding(spark, TINY), "doc_id", "shard", "slot")) == want
+    want = brute.interleave(columns("documents", "doc_id", "source", "text"), 16, sharding.SEED)
+    out = queries.op5_sharding(spark, TINY)
+    assert got(out, "doc_id", "size", "text_crc32", "shard", "slot") == sorted(want, key=str)
+    assert {(r["law"], r["grown_shard"]) for r in out.collect()} == {("rows", None)}
 
 
 def test_bpe(spark):
@@ -66,12 +83,10 @@ def test_bpe(spark):
     assert got(queries.op9_byte_bpe(spark, TINY), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
 
 
-def pipeline_by_hand(spark, rows, bench):
-    """The stages one after another in memory; the language model is the operator's own."""
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = langid.train(frame.where(queries.learnable("doc_id")))
-    langs, scores = langid.score_texts([t for _, t, _ in rows], model)
-    docs = [(d, t) for (d, t, _), lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+def pipeline_by_hand(rows, bench):
+    """The stages one after another in memory."""
+    scored = brute.languages([(d, t) for d, t, _ in rows], [(t, x) for d, t, x in rows if brute.fold(d)])
+    docs = [(d, t) for (d, t, _), (_, lang, s) in zip(rows, scored, strict=True) if lang != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE]
     lost = {}
     for d, t in docs:
         for x in {brute.lower(x.strip(brute.WS)) for x in (t or "").split("\n")}:
@@ -85,7 +100,7 @@ def pipeline_by_hand(spark, rows, bench):
 
 
 def test_pipeline(spark):
-    want = pipeline_by_hand(spark, columns("documents", "doc_id", "text", "lang"), columns("benchmark", "item_id", "text"))
+    want = pipeline_by_hand(columns("documents", "doc_id", "text", "lang"), columns("benchmark", "item_id", "text"))
     out = corpus_pipeline.run(spark, TINY)
     assert got(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
     assert 0 < len(want) < len(columns("documents", "doc_id"))
