@@ -110,13 +110,28 @@ def test_stages_keep_columns_and_survive_hostile_rows(spark):
     schema = spark.read.parquet(f"{TINY}/documents.parquet").schema
     text = "a text with enough words to be told apart from all others in here"
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, text, "en", None, 3), (3, text, None, "s", 3), (3, text, None, "s", 3), (4, "12 34", "en", "s", 5)]
+    rows += [(5, "long " * 200_000, "en", "s", 1), (6, "tie of two", "en", "s", 1), (6, "another text under the same id", "en", "s", 1)]
     docs = spark.createDataFrame(rows, schema)
-    for frame in (docs, docs.limit(0)):
+    clash = docs.drop("n_chars")
+    for k, c in enumerate(["score", "lang_pred", "n_lines", "n_dropped", "spans", "items", "n_words", "n_hit", "contaminated", "fp", "component_id", "tokens", "_text", "id"]):
+        clash = clash.withColumn(c, F.lit(-7 - k))
+    for frame in (docs, docs.limit(0), clash):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, TINY)
-            assert out.columns == docs.columns, name
-            out.count()
+            assert out.columns == frame.columns, name
+            for r in out.collect():
+                assert "score" not in frame.columns or [r[c] for c in frame.columns[4:]] == [-7 - k for k in range(14)]
         assert corpus_pipeline.STAGES[-1][1](spark, frame, TINY).count() == frame.count()
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, TINY)
-    assert sorted(r["doc_id"] or -1 for r in kept.select("doc_id").collect()) == [-1, 1, 2, 4]
+    assert sorted(r["doc_id"] or -1 for r in kept.select("doc_id").collect()) == [-1, 1, 2, 4, 5, 6, 6]
     assert got(corpus_pipeline.language_stage(spark, docs.where("lang is null"), TINY).select(F.count("*").alias("n")), "n") == [(3,)]
+
+
+def test_stages_leave_one_folder(spark):
+    import glob
+
+    out = corpus_pipeline.run(spark, TINY)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert out.count() > 0
+    newest = max(glob.glob(f"{root}/pipeline-*"), key=lambda p: __import__("os").path.getmtime(p))
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{newest}/*")] == ["3-decontamination"]
