@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import ahocorasick
@@ -33,13 +33,14 @@ from groundspark.llm.batches import column, parts, slices, small_batches
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pieces whose tokens a task remembers, pairs whose check it does, and tokens that are decoded at once.
-CACHE_PIECES = 240_000
+CACHE_PIECES = 200_000
 CACHE_PAIRS = 50_000
 DECODE_TOKENS = 1 << 19
-#: Pieces that are encoded at once, characters of text that are split at once, and bytes of a piece that goes the vector way.
-BLOCK_PIECES = 240_000
+#: Pieces that are looked up at once, characters of text that are split at once, bytes of a piece that goes the vector way and of pieces that do so together.
+BLOCK_PIECES = 160_000
 BLOCK_CHARS = 1 << 20
 SHORT_BYTES = 48
+LOT_BYTES = 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -105,10 +106,6 @@ class Vocabulary:
         self.left, self.right, self.made = [-1] * self.size, [-1] * self.size, [-1] * self.size
         self.pair = lru_cache(CACHE_PAIRS)(self._pair)
         reached = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if self._split(t)]
-        self.endings = ahocorasick.Automaton()
-        for token in reached:
-            self.endings.add_word(token.decode("latin-1"), (len(token), ranks[token]))
-        self.endings.make_automaton()
         self._arrays(reached)
         self.pieces = Pieces(self)
 
@@ -116,6 +113,15 @@ class Vocabulary:
     def from_file_bytes(cls, data: bytes) -> Vocabulary:
         return cls(read_ranks(data))
 
+    @cached_property
+    def endings(self) -> ahocorasick.Automaton:
+        """Finds the tokens that end at each byte, for texts that go byte by byte."""
+        found = ahocorasick.Automaton()
+        for i in np.flatnonzero(self._sizes).tolist():
+            found.add_word(self.by_id[i].decode("latin-1"), (len(self.by_id[i]), i))
+        found.make_automaton()
+        return found
+
     def _split(self, token: bytes) -> bool:
         """Note the parts of a token, those of lower rank being known; False if merging never makes it.
 
@@ -217,11 +223,12 @@ class Vocabulary:
             node = self._child.find(node * 256 + data[at + depth])
             at, node = at[node >= 0], node[node >= 0]
             token = self._token[node]
-            found.append((at[token >= 0] + depth, token[token >= 0], np.full(int((token >= 0).sum()), depth + 1)))
+            some = np.flatnonzero(token >= 0)
+            found.append(((at[some] + depth).astype(np.int32), token[some].astype(np.int32), np.full(len(some), depth + 1, dtype=np.int32)))
             depth += 1
             more = at + depth < stop_of[at]
             at, node = at[more], node[more]
-        end, token, size = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 3))
+        end, token, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int32),) * 3
         place = (end - np.repeat(starts, sizes)[end]).astype(np.int16)
         order = np.argsort(place, kind="stable")
         end, token, size = end[order], token[order], size[order]
@@ -233,7 +240,7 @@ class Vocabulary:
             inner = np.flatnonzero(~valid)
             before = last[e[inner] - n[inner]]
             inner, before = inner[before >= 0], before[before >= 0]
-            valid[inner] = self.pairs(before, t[inner])
+            valid[inner] = self.pairs(before, t[inner].astype(np.int64))
             last[e[valid]] = t[valid]
         if (last < 0).any():
             raise ValueError("the vocabulary lacks a byte")
@@ -263,7 +270,9 @@ class Vocabulary:
                 tokens[i] = Prefixes(self, text).tokens()
             else:
                 short.append(i)
-        row, counts = self.encode_together([texts[i] for i in short])
+        lots = [self.encode_together([texts[i] for i in short[a:b]]) for a, b in slices([len(texts[i]) for i in short], LOT_BYTES)]
+        row = np.concatenate([x for x, _ in lots] or [np.zeros(0, dtype=np.int32)])
+        counts = np.concatenate([x for _, x in lots] or [np.zeros(0, dtype=np.int64)])
         n = np.fromiter((0 if t is None else len(t) for t in tokens), dtype=np.int64, count=len(texts))
         n[short] = counts
         starts = np.cumsum(n) - n
@@ -437,19 +446,30 @@ def expand(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray) ->
     return data[at], n
 
 
+def decoded(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, pa.Array]]:
+    """Bytes of rows of ``sizes`` ids each, as binary arrays for runs of rows (first, end) of bounded size."""
+    ends = np.cumsum(sizes)
+    for start, stop in slices(sizes.tolist(), DECODE_TOKENS):
+        first = int(ends[start] - sizes[start])
+        data, lengths = expand(table, ids[first : ends[stop - 1]])
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        offsets = before[np.concatenate([[0], ends[start:stop] - first])].astype(np.int32)
+        yield start, stop, pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _fields(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, tokens_col: str = "tokens") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, tokens_col: str = "tokens", bytes_col: str | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (by default all) with ``tokens_col``, an array of ids.
 
     Each match of ``pattern`` is encoded separately by the ranks in the file at ``path``; text between matches, if
-    the pattern leaves any, has no tokens. Null and empty texts have an empty array. An existing
-    ``tokens_col`` gives way.
+    the pattern leaves any, has no tokens. Null and empty texts have an empty array. With ``bytes_col`` the ids are also
+    decoded in the same task, as ``decode`` does in a later one. Existing columns of the new names give way.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c != tokens_col]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (tokens_col, bytes_col)]
     shared = _shared(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,9 +478,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
             values, sizes = encode_texts(vocabulary, column(batch, "_text").to_pylist(), split)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, pa.array(values))], [*keep, tokens_col])
+            made, names = [pa.ListArray.from_arrays(offsets, pa.array(values))], [*keep, tokens_col]
+            if bytes_col is not None:
+                back = [x for _, _, x in decoded(_table(shared.value), values, sizes)]
+                made.append(pa.concat_arrays(back) if back else pa.array([], pa.binary()))
+                names.append(bytes_col)
+            yield pa.RecordBatch.from_arrays([*kept, *made], names)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}`{tokens_col}` array<int>")
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{_fields(docs, keep)}`{tokens_col}` array<int>" + (f", `{bytes_col}` binary" if bytes_col is not None else ""))
 
 
 def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list[str] | None = None, bytes_col: str = "decoded") -> DataFrame:
@@ -476,14 +501,7 @@ def decode(encoded: DataFrame, path: str, tokens_col: str = "tokens", keep: list
         table = _table(shared.value)
         for batch in batches:
             lists = column(batch, "_tokens")
-            flat, sizes = lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()
-            ends = np.cumsum(sizes)
-            for start, stop in slices(sizes.tolist(), DECODE_TOKENS):
-                first = int(ends[start] - sizes[start])
-                data, lengths = expand(table, flat[first : ends[stop - 1]])
-                before = np.concatenate([[0], np.cumsum(lengths)])
-                offsets = before[np.concatenate([[0], ends[start:stop] - first])].astype(np.int32)
-                made = pa.Array.from_buffers(pa.binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            for start, stop, made in decoded(table, lists.flatten().to_numpy(), pc.fill_null(lists.value_lengths(), 0).to_numpy()):
                 kept = [batch.column(i).slice(start, stop - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, made], [*keep, bytes_col])
 

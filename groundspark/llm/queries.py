@@ -87,8 +87,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
-    return token_digests(bpe.decode(encoded, path))
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"], bytes_col="decoded"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,8 @@ def test_bpe_equals_library(spark, rows):
     both = bpe.decode(bpe.encode(frame, path, p.PATTERN), path)
     assert got(queries.token_digests(both), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(brute.tiktoken_rows(rows + more), key=str)
     assert both.where("decode(decoded, 'UTF-8') <> coalesce(text, '')").count() == 0
+    at_once = bpe.encode(frame, path, p.PATTERN, bytes_col="decoded").withColumnRenamed("decoded", "d")
+    assert at_once.count() == at_once.where("decode(d, 'UTF-8') = coalesce(text, '')").count() == len(rows + more)
     assert bpe.encode(docs_of(spark, []), path, p.PATTERN).count() == 0
 
 
