@@ -91,8 +91,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A row for each row; null and empty texts have no token. Other columns end here.
     """
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
-    return queries.token_digests(bpe.decode(encoded, path), "tokens")
+    return queries.token_digests(bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"], bytes_col="decoded"), "tokens")
 
 
 STAGES = [
