@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from groundspark.functions.text import PLAIN_SENTENCE, matches, strip, title_case, uni
 
+# Texts of prompts and answers.
+PROMPT_QUERY, PROMPT_CONTEXT = "User Query: ", "\n\n=== VERIFIED SOURCE CONTEXT ==="
+PROMPT_RELATIONS, PROMPT_EXCERPTS = "\n[Knowledge Graph Relationships]:", "\n[Document Excerpts]:"
+PROMPT_INSTRUCTIONS = (
+    "\n\n=== INSTRUCTIONS ===\nSynthesize a clear, direct, and factual answer based ONLY on the evidence above. "
+    "Organize your thoughts into distinct declarative statements so they can be verified."
+)
+NOTHING_BEFORE, NOTHING_AFTER = "No verified information regarding '", "' was found in the indexed corpus. Please ingest relevant documents to query this topic."
+
 _WORDS = r"(?U)\b\w+\b"
 _FOLD = "struct<kept: array<string>, context: int, stopped: boolean>"
 
@@ -54,7 +63,7 @@ def synthesize(queries: DataFrame, contexts: DataFrame, facts: DataFrame | None
     first = F.when(F.col("fact").isNotNull(), F.array("fact")).otherwise(F.expr("cast(array() as array<string>)"))
     found = salient(F.col("query"), F.col("contexts"), first)
     fallback = F.concat(strip(F.substring(F.element_at("contexts", 1), 1, 400)), F.lit("..."))
-    nothing = F.concat(F.lit("No verified information regarding '"), "query", F.lit("' was found in the indexed corpus. Please ingest relevant documents to query this topic."))
+    nothing = F.concat(F.lit(NOTHING_BEFORE), "query", F.lit(NOTHING_AFTER))
     made = joined.withColumn("_s", F.when(F.col("contexts").isNotNull(), found))
     answer = F.when(F.col("contexts").isNull(), nothing).when(F.size("_s") == 0, fallback).otherwise(F.array_join("_s", " "))
     return made.select(id_col, "query", answer.alias("answer"))
@@ -73,18 +82,8 @@ def context_prompt(queries: DataFrame, contexts: DataFrame, edges: DataFrame | N
         one = F.concat(F.lit("• ("), "source_id", F.lit(") -["), "relation", F.lit("]-> ("), "target_id", F.lit(")"))
         lines = edges.groupBy(id_col).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("triple_id", one.alias("s")))), 1, max_edges), lambda x: x["s"]).alias("relations"))
         joined = joined.join(lines, id_col, "left")
-    head = F.array(F.concat(F.lit("User Query: "), "query", F.lit("\n\n=== VERIFIED SOURCE CONTEXT ===")))
+    head = F.array(F.concat(F.lit(PROMPT_QUERY), "query", F.lit(PROMPT_CONTEXT)))
     listed = lambda c, title: F.when(F.size(F.coalesce(c, none)) > 0, F.concat(F.array(F.lit(title)), F.col(c))).otherwise(none)
-    tail = F.array(
-        F.lit(
-            "\n\n=== INSTRUCTIONS ===\nSynthesize a clear, direct, and factual answer based ONLY on the evidence above. "
-            "Organize your thoughts into distinct declarative statements so they can be verified."
-        )
-    )
-    body = F.concat(head, listed("relations", "\n[Knowledge Graph Relationships]:"), listed("excerpts", "\n[Document Excerpts]:"), tail)
+    body = F.concat(head, listed("relations", PROMPT_RELATIONS), listed("excerpts", PROMPT_EXCERPTS), F.array(F.lit(PROMPT_INSTRUCTIONS)))
     return joined.select(id_col, F.array_join(body, "\n").alias("prompt"))
 
-
-def token_events(answers: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """``(id_col, seq, token)``: the words of an answer in order."""
-    return answers.select(id_col, F.posexplode(F.split("answer", " ")).alias("seq", "token"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundspark.runtime import cut
+
 #: Bytes of query vectors that are broadcast at once; more queries are searched block by block.
 MAX_QUERY_BYTES = 32 << 20
 
@@ -37,6 +39,7 @@ def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
+        best_ids, best = None, np.zeros((len(names), 0))
         for batch in batches:
             found = batch.column(0).to_numpy(zero_copy_only=False)
             x = np.asarray(batch.column(1).flatten().cast(pa.float64())).reshape(len(found), -1)
@@ -44,10 +47,12 @@ def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_col: s
                 continue
             norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
             scores = np.round(q @ (x / np.where(norm > 0, norm, 1)).T, 12)
-            order = np.lexsort((np.broadcast_to(found, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, order.shape[1])), pa.array(found[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", id_col, "score"]
-            )
+            held = np.broadcast_to(found, scores.shape)
+            held, scores = (held, scores) if best_ids is None else (np.concatenate([best_ids, held], axis=1), np.concatenate([best, scores], axis=1))
+            order = np.lexsort((held, -scores), axis=1)[:, :k]
+            best_ids, best = np.take_along_axis(held, order, 1), np.take_along_axis(scores, order, 1)
+        if best_ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.ravel()), pa.array(best.ravel())], ["query_id", id_col, "score"])
 
     id_type = vectors.schema[id_col].dataType.simpleString()
     return vectors.select(id_col, vec_col).mapInArrow(run, f"query_id long, `{id_col}` {id_type}, score double")
@@ -57,7 +62,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
     """Exact cosine top ``k`` of ``vectors`` for each row of ``queries (query_id, embedding)``: adds ``score`` and ``rank``.
 
     ``where`` filters before the limit. Ties go to the smaller id. Each task keeps its own best ``k`` per query, so
-    what is shuffled is k rows per query and Arrow batch.
+    what is shuffled is k rows per query and task. Blocks of queries are searched one after the other.
     """
     rows = vectors if where is None else vectors.where(where)
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
@@ -67,6 +72,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", unit(F.col("embedding")).alias("u")).orderBy("query_id").toPandas()
         if len(block):
             one = _search(rows, block["query_id"].tolist(), np.array(block["u"].tolist()), k, id_col, vec_col)
+            one = cut(one) if blocks > 1 else one
             parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         id_type = vectors.schema[id_col].dataType.simpleString()

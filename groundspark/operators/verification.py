@@ -11,6 +11,8 @@ from groundspark.config import Config
 from groundspark.functions.text import NEGATED, claims, numbers, stem_tokens
 from groundspark.operators.embedding import dot, embed
 
+# Texts in answers.
+UNKNOWN, BADGE_ENTAILED, BADGE_CONTRADICTION = "Unknown Document", " ✓", " ⚠️ [Contradiction Detected]"
 ENTAILED, NEUTRAL, CONTRADICTION = "ENTAILED", "NEUTRAL", "CONTRADICTION"
 
 
@@ -87,13 +89,13 @@ def source_records(numbered: DataFrame, contexts: DataFrame, id_col: str = "quer
     """A record for each citation number; chunks that aren't among the contexts have an unknown document."""
     known = contexts.select(id_col, F.col("chunk_id").alias("cited_chunk_id"), "title", F.array_join("breadcrumbs", " > ").alias("crumbs"), F.concat(F.substring("content", 1, 200), F.lit("...")).alias("excerpt"))
     joined = numbered.join(known, [id_col, "cited_chunk_id"], "left")
-    return joined.select(id_col, "number", "cited_chunk_id", F.coalesce("title", F.lit("Unknown Document")).alias("document_title"), F.coalesce("crumbs", F.lit("")).alias("breadcrumbs"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+    return joined.select(id_col, "number", "cited_chunk_id", F.coalesce("title", F.lit(UNKNOWN)).alias("document_title"), F.coalesce("crumbs", F.lit("")).alias("breadcrumbs"), F.coalesce("excerpt", F.lit("")).alias("excerpt"))
 
 
 def attributed_answer(answers: DataFrame, verified: DataFrame, id_col: str = "query_id") -> DataFrame:
     """``(id_col, response)``: claims with citation numbers and badges, joined by spaces; without claims empty."""
     marked = verified.join(citation_numbers(verified, id_col), [id_col, "cited_chunk_id"], "left")
-    badge = F.when(F.col("status") == ENTAILED, " ✓").when(F.col("status") == CONTRADICTION, " ⚠️ [Contradiction Detected]").otherwise("")
+    badge = F.when(F.col("status") == ENTAILED, BADGE_ENTAILED).when(F.col("status") == CONTRADICTION, BADGE_CONTRADICTION).otherwise("")
     shown = F.concat("claim", F.coalesce(F.concat(F.lit(" ["), F.col("number").cast("string"), F.lit("]")), F.lit("")), badge)
     parts = marked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("claim_ord", shown.alias("s")))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["s"]), " ")

@@ -52,7 +52,7 @@ def pdf_sections(pages: DataFrame) -> DataFrame:
     """Paragraphs of ``pages (doc_id, page_no, text)``: split at blank lines, crumb ``Page n``; a null page is empty."""
     parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
     return pages.select("doc_id", "page_no", F.posexplode(parts).alias("k", "text")).select(
-        "doc_id", (F.col("page_no") * 100000 + F.col("k")).alias("section_index"), "text", F.array(F.concat(F.lit("Page "), F.col("page_no").cast("string"))).alias("breadcrumbs"), F.col("page_no").alias("page_number")
+        "doc_id", (F.col("page_no").cast("long") * 100000 + F.col("k")).alias("section_index"), "text", F.array(F.concat(F.lit("Page "), F.col("page_no").cast("string"))).alias("breadcrumbs"), F.col("page_no").alias("page_number")
     )
 
 
@@ -67,7 +67,7 @@ def parse(files: DataFrame, pdf_pages: Callable | None = None) -> tuple[DataFram
     plain = usable.where(~is_pdf(F.col("path")))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     found = plain.select("doc_id", F.posexplode(section_array(text)).alias("section_index", "s")).select(
-        "doc_id", "section_index", F.col("s.text").alias("text"), F.col("s.crumbs").alias("breadcrumbs"), F.lit(1).alias("page_number")
+        "doc_id", F.col("section_index").cast("long").alias("section_index"), F.col("s.text").alias("text"), F.col("s.crumbs").alias("breadcrumbs"), F.lit(1).alias("page_number")
     )
     bad = keyed.where("content is null").select("path", F.lit("unreadable").alias("reason"))
     pdfs = usable.where(is_pdf(F.col("path")))

@@ -10,10 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of ``(path, content, title, checksum_sha256)`` of new files, each checksum once."""
+    """Stream of ``(path, content, title, checksum_sha256)`` of new files.
+
+    Equal contents are told apart by the sink, which knows the checksums of all that was ingested, so the stream keeps no state.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).load(path)
-    return files.select("path", "content", F.lit(None).cast("string").alias("title"), F.sha2("content", 256).alias("checksum_sha256")).dropDuplicates(["checksum_sha256"])
+    return files.select("path", "content", F.lit(None).cast("string").alias("title"), F.sha2("content", 256).alias("checksum_sha256"))
 
 
 def ingest_stream(stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:

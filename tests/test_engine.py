@@ -345,3 +345,33 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     (src / "b.md").write_text("Paxos is another one of those protocols.")
     ingest_stream(file_stream(spark, str(src)), eng.ingest, str(tmp_path / "ckpt")).awaitTermination(120)
     assert eng.documents().count() == 2
+
+
+def test_samples_and_report_as_json(spark, tmp_path):
+    import json
+
+    from groundspark.engine import gains
+    from groundspark.sources.samples import read_samples, write_report
+
+    given = [{"id": "a", "query": "Who?", "type": "fact", "ground_truth_entities": ["x_y"], "ground_truth_claim": "c"}, {"id": "b", "query": "What?"}, {"id": "c"}]
+    (tmp_path / "s.json").write_text(json.dumps(given))
+    rows = {r["sample_id"]: r for r in read_samples(spark, str(tmp_path / "s.json")).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"]["truth"] == ["x_y"] and rows["b"]["truth"] == [] and rows["b"]["claim"] is None
+    summary = spark.createDataFrame([("naive", 0.5, 0.6, 0.0), ("full", 0.75, 0.7, 0.5)], "arm string, faithfulness double, relevance double, entity_recall double")
+    write_report(gains(summary), str(tmp_path / "out"))
+    write_report(gains(summary), str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("faithfulness_gain_percent", "entity_recall_gain_percent").collect()] == [(50.0, 5000.0)]
+
+
+def test_dense_search_in_blocks_and_pages_of_any_number(spark, monkeypatch):
+    from groundspark.operators import vectors
+    from groundspark.sources.files import pdf_sections
+
+    rows = spark.createDataFrame([(f"c{i}", [float(i % 7), 1.0]) for i in range(60)], "chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "query_id long, embedding array<double>")
+    get = lambda: sorted(tuple(r) for r in vectors.dense_topk(rows, asked, 4).select("query_id", "rank", "chunk_id").collect())
+    whole = get()
+    monkeypatch.setattr(vectors, "MAX_QUERY_BYTES", 50)
+    assert get() == whole and len(whole) == 36
+    pages = spark.createDataFrame([("d", 30000, "a\n\nb")], "doc_id string, page_no int, text string")
+    assert [r["section_index"] for r in pdf_sections(pages).collect()] == [3000000000, 3000000001]
