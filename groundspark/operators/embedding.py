@@ -1,15 +1,24 @@
-"""Hashed feature embeddings as joins and sums."""
+"""Hashed feature embeddings, row by row."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import md5
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import STOP_WORDS, word_tokens
 from groundspark.operators.vectors import unit
 
+_STOP = frozenset(STOP_WORDS)
+#: Words, and numbers of vectors, that a task works on at once, about.
+PART_WORDS, PART_CELLS = 1 << 18, 1 << 20
+
 
 def bucket_sign(feature: Column, salt: int | Column, dim: int) -> tuple[Column, Column]:
     """Bucket (128-bit MD5 of ``feature:salt`` modulo ``dim``) and sign (+1 if bit 31 is set, else -1)."""
@@ -22,50 +31,72 @@ def bucket_sign(feature: Column, salt: int | Column, dim: int) -> tuple[Column,
     return rest.cast("int"), F.when(F.substring(digest, 25, 1) >= "8", 1.0).otherwise(-1.0)
 
 
-def features(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, feature, salt, weight)``: words, character 3- and 4-grams and word pairs, summed per text."""
-    words = texts.select(id_col, F.posexplode(word_tokens(F.col(text_col))).alias("i", "w")).withColumn("stop", F.col("w").isin(STOP_WORDS))
-    base = F.when(F.col("stop"), 0.2).otherwise(1.0) * (1 + 1 / (F.col("i") + 1))
-    by_word = words.groupBy(id_col, "w").agg(F.sum(base).alias("weight"), F.count(F.lit(1)).alias("n"), F.first("stop").alias("stop"))
-    grams = by_word.where(~F.col("stop") & (F.length("w") >= 3))
-    pieces = []
-    for n in (3, 4):
-        each = F.expr(f"transform(sequence(1, length(w) - {n - 1}), k -> substring(w, k, {n}))")
-        pieces.append(grams.where(F.length("w") >= n).select(id_col, F.explode(each).alias("feature"), F.lit(n).alias("salt"), (F.col("n") * 0.35).alias("weight")))
-    # Neighbours come from the token array itself, so pairs need no window.
-    listed = texts.select(id_col, word_tokens(F.col(text_col)).alias("ws")).where("size(ws) > 1")
-    pairs = (
-        listed.select(id_col, F.explode(F.expr("transform(sequence(1, size(ws) - 1), i -> struct(ws[i - 1] as a, ws[i] as b))")).alias("p"))
-        .where(~(F.col("p.a").isin(STOP_WORDS) & F.col("p.b").isin(STOP_WORDS)))
-        .select(id_col, F.concat_ws("_", "p.a", "p.b").alias("feature"), F.lit(7).alias("salt"), F.lit(0.75).alias("weight"))
-    )
-    out = by_word.select(id_col, F.col("w").alias("feature"), F.lit(1).alias("salt"), "weight")
-    for part in (*pieces, pairs):
-        out = out.unionByName(part)
-    return out
-
-
-def _packed(texts: DataFrame, dim: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a text: ``cells``, an array of (bucket, value) of unit length."""
-    bucket, sign = bucket_sign(F.col("feature"), F.col("salt"), dim)
-    cells = features(texts, id_col, text_col).select(id_col, bucket.alias("bucket"), (sign * F.col("weight")).alias("v"))
-    # A zero in the first bucket keeps texts without tokens.
-    cells = cells.unionByName(texts.select(id_col, F.lit(0).alias("bucket"), F.lit(0.0).alias("v"))).groupBy(id_col, "bucket").agg(F.sum("v").alias("v"))
-    packed = cells.groupBy(id_col).agg(F.collect_list(F.struct("bucket", "v")).alias("c"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    scaled = F.transform("c", lambda x: F.struct(x["bucket"].alias("bucket"), (x["v"] / F.col("norm")).alias("value")))
-    flat = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.struct(k.alias("bucket"), F.lit(dim**-0.5).alias("value")))
-    return packed.select(id_col, F.when(F.col("norm") > 1e-9, scaled).otherwise(flat).alias("cells"))
+def _hashed(features: list[str], salt: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs of strings, as ``bucket_sign`` has them."""
+    values = [int.from_bytes(md5(f"{f}:{salt}".encode(), usedforsecurity=False).digest(), "big") for f in features]
+    return np.array([v % dim for v in values], np.int64), np.array([1.0 if v >> 31 & 1 else -1.0 for v in values])
+
+
+def _vectors(words: pa.ListArray, dim: int) -> np.ndarray:
+    """A row of unit length for each list of words: words, character 3- and 4-grams and word pairs, hashed and summed.
+
+    Each distinct word and pair of the batch is hashed once. Rows without words, or whose features cancel, are uniform.
+    """
+    rows, lengths = len(words), pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    vocab, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    doc = np.repeat(np.arange(rows), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    stop, n = np.array([w in _STOP for w in vocab], bool), max(1, len(vocab))
+    out = np.zeros(rows * dim)
+
+    def add(where: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> None:
+        np.add(out, np.bincount(where * dim + bucket, value, rows * dim), out=out)
+
+    bucket, sign = _hashed(vocab, 1, dim)
+    add(doc, bucket[codes], sign[codes] * np.where(stop[codes], 0.2, 1.0) * (1 + 1 / (place + 1)))
+
+    held, times = np.unique(doc * n + codes, return_counts=True)
+    for size in (3, 4):
+        grams = [[] if s else [w[k : k + size] for k in range(len(w) - size + 1)] for w, s in zip(vocab, stop)]
+        counts = np.array([len(g) for g in grams], np.int64)
+        bucket, sign = _hashed(list(chain.from_iterable(grams)), size, dim)
+        many = counts[held % n]
+        at = np.arange(many.sum()) + np.repeat((np.cumsum(counts) - counts)[held % n] - (np.cumsum(many) - many), many)
+        add(np.repeat(held // n, many), bucket[at], sign[at] * np.repeat(times * 0.35, many))
+
+    paired = (doc[1:] == doc[:-1]) & ~(stop[codes[1:]] & stop[codes[:-1]])
+    pairs, inverse = np.unique(codes[:-1][paired].astype(np.int64) * n + codes[1:][paired], return_inverse=True)
+    bucket, sign = _hashed([f"{vocab[p // n]}_{vocab[p % n]}" for p in pairs.tolist()], 7, dim)
+    add(doc[1:][paired], bucket[inverse], sign[inverse] * 0.75)
+
+    made = out.reshape(rows, dim)
+    norm = np.sqrt((made * made).sum(axis=1, keepdims=True))
+    return np.where(norm > 1e-9, made / np.where(norm > 1e-9, norm, 1), dim**-0.5)
+
+
+def _embed_batches(batches: Iterator[pa.RecordBatch], id_col: str, dim: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+        # A part ends where its words, or its vectors, fill their share; a long text is a part of its own.
+        share = np.cumsum(sizes / PART_WORDS + dim / PART_CELLS).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(sizes)]
+        for start, stop in zip(cuts, cuts[1:]):
+            part = batch.slice(start, stop - start)
+            made = _vectors(part.column(1), dim)
+            offsets = pa.array(np.arange(0, made.size + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], [id_col, "embedding"])
 
 
 def sparse_embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id_col, bucket, value)`` of unit length without zeros; texts without tokens, or whose features cancel, are uniform."""
-    return _packed(texts, dim, id_col, text_col).select(id_col, F.explode("cells").alias("x")).select(id_col, "x.bucket", "x.value").where("value <> 0")
+    return embed(texts, dim, id_col, text_col).select(id_col, F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
 
 
 def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text", provider: Callable | None = None) -> DataFrame:
-    """``(id_col, embedding array<double>)``.
+    """``(id_col, embedding array<double>)``, a row for each row of ``texts`` (null texts have no words).
 
-    ``provider``, a ``mapInPandas`` function over (id, text) batches that yields (id, embedding), takes
+    Every vector comes from its own row, so nothing is shuffled. ``provider``, a ``mapInPandas`` function over (id, text) batches that yields (id, embedding), takes
     the place of the hashed features; its vectors are scaled to unit length, and such of another length than ``dim`` are an error.
     """
     if provider is not None:
@@ -73,9 +104,8 @@ def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text"
         made = texts.select(id_col, text_col).mapInPandas(provider, f"`{id_col}` {id_type}, embedding array<double>")
         wrong = F.raise_error(F.concat(F.lit("embedding length is not "), F.lit(str(dim))))
         return made.withColumn("embedding", F.when(F.size("embedding") == dim, unit(F.col("embedding"))).otherwise(wrong))
-    cells = _packed(texts, dim, id_col, text_col).select(id_col, F.map_from_entries("cells").alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-    return cells.select(id_col, dense.alias("embedding"))
+    listed = texts.select(id_col, word_tokens(F.col(text_col)).alias("words"))
+    return listed.mapInArrow(lambda batches: _embed_batches(batches, id_col, dim), f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
