@@ -15,7 +15,7 @@ from groundspark.functions import text as T
 from groundspark.operators import graph, lexical, retrieval, synthesis, vectors, verification
 from groundspark.operators.chunking import chunks, sections
 from groundspark.operators.embedding import bucket_sign, sparse_embed
-from groundspark.runtime import cut, table
+from groundspark.runtime import cut, spread, table
 from groundspark.sources import files
 
 #: Short vectors keep the SQL equivalents quick; the operator's own default is 384.
@@ -50,7 +50,7 @@ AS_SQL, WHOLE = Job(), Job(Config(), _original, graph=True, rounds=100, toleranc
 
 
 def _docs(spark: SparkSession, d: str, job: Job) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang", "source", job.text("text").alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text")).withColumn("text", job.text("text"))
 
 
 def _bench(spark: SparkSession, d: str, job: Job) -> DataFrame:
@@ -306,7 +306,7 @@ def hybrid_search(spark, d, job=AS_SQL):
 
 
 def _turns(spark, d, job):
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", job.text("text").alias("text"))
+    return spread(table(spark, d, "conversations").select("conv_id", "turn", "role", "text")).withColumn("text", job.text("text"))
 
 
 def route_strategy(spark, d, job=AS_SQL):

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows are dealt over all cores if it has tasks for half of them at most, as with one large row group; else as it is.
+
+    Splits are bounded, so what is shuffled is small for the cluster; tables of many files never are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if 2 * scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
