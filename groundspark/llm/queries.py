@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.llm import ann, bpe, decontam, langid, linededup, quality, secrets, sharding, simhash, urlfilter
-from groundspark.runtime import table
+from groundspark.runtime import spread, table
 
 #: Fixed values of the contract: URL rules as (host, path, verdict).
 URL_RULES = [
@@ -29,13 +29,18 @@ def learnable(id_col: str | Column) -> Column:
     return _fold(id_col) > 0
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For operators that work long on each text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _hex(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; rows with a null id are neither learned from nor held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = langid.train(docs.where(learnable("doc_id")))
     scored = langid.predict(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
@@ -46,12 +51,12 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     scored = quality.classify(docs, table(spark, sf_dir, "labels"), train_on=learnable)
     return scored.select("doc_id", (_fold("doc_id") == 0).alias("held_out"), "score", "predicted")
 
@@ -87,11 +92,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return token_digests(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"], bytes_col="decoded"))
+    return token_digests(bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"], bytes_col="decoded"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(_documents(spark, sf_dir))
     kinds = F.array(*[F.lit(r.kind) for r in secrets.RULES])
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secrets.RULES[k].kind}")
