@@ -45,10 +45,11 @@ class Engine:
         triples = graph.relation_triples(titled, mentions)
         counts = titled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
         rows = new.join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        both = lambda name, df: df if (old := self.store.read(name)) is None else old.unionByName(df)
         held = self.store.read("quarantine")
         waiting = bad if held is None else held.join(given.select("path").distinct(), "path", "left_anti").unionByName(bad)
-        self.store.publish(quarantine=waiting, chunks=both("chunks", titled), vectors=both("vectors", vectors), mentions=both("mentions", mentions), triples=both("triples", triples), documents=both("documents", rows))
+        # Without new documents no batch is added, but for the first, which every reader needs.
+        batch = {} if known is not None and new.isEmpty() else {"chunks": titled, "vectors": vectors, "mentions": mentions, "triples": triples, "documents": rows}
+        self.store.publish(quarantine=waiting, **batch)
         return rows
 
     def documents(self) -> DataFrame:
@@ -62,14 +63,15 @@ class Engine:
         return self.store.read("chunks").where(F.col("doc_id") == doc_id).orderBy("chunk_index")
 
     def delete_document(self, doc_id: str) -> bool:
-        """Delete a document and all that came from it; False if there is none."""
-        docs, chunks = self.store.read("documents"), self.store.read("chunks")
-        if docs is None or docs.where(F.col("doc_id") == doc_id).isEmpty():
+        """Delete a document and all that came from it, which is in its batch; False if there is none."""
+        batch = self.store.batch_of("documents", F.col("doc_id") == doc_id)
+        if batch is None:
             return False
+        docs, chunks, vectors, mentions, triples = (self.store.read(name, batch) for name in ("documents", "chunks", "vectors", "mentions", "triples"))
         gone = chunks.where(F.col("doc_id") == doc_id).select("chunk_id")
-        mentions, triples = graph.delete_chunks(self.store.read("mentions"), self.store.read("triples"), gone)
-        vectors = self.store.read("vectors").join(gone, "chunk_id", "left_anti")
-        self.store.publish(chunks=chunks.where(F.col("doc_id") != doc_id), vectors=vectors, mentions=mentions, triples=triples, documents=docs.where(F.col("doc_id") != doc_id))
+        mentions, triples = graph.delete_chunks(mentions, triples, gone)
+        kept = {"chunks": chunks.where(F.col("doc_id") != doc_id), "vectors": vectors.join(gone, "chunk_id", "left_anti"), "documents": docs.where(F.col("doc_id") != doc_id)}
+        self.store.publish(batch, mentions=mentions, triples=triples, **kept)
         return True
 
     def _graph(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

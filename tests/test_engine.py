@@ -333,6 +333,28 @@ def test_engine_delete_cascades(spark, tmp_path):
     assert "raft" not in {r["node"] for r in eng._nodes().collect()}
 
 
+def test_changes_write_only_their_batch(spark, tmp_path):
+    import os
+
+    eng = Engine(spark, str(tmp_path / "s"), Config(embedding_dim=16, chunk_target=40, chunk_min=5))
+    give = lambda *rows: eng.ingest(texts_as_files(spark.createDataFrame(rows, "title string, content string"))).count()
+    folders = lambda: {(t, v) for t in ("documents", "chunks", "vectors", "mentions", "triples") for v in os.listdir(tmp_path / "s" / t)}
+    give(("A", NOTES))
+    first = folders()
+    assert give(("B", "Paxos is a family of protocols for it."), ("C", "Zab is a protocol as well, and older.")) == 2
+    second = folders() - first
+    assert first < folders() and len(second) == 5 and eng.documents().count() == 3
+    assert give(("A again", NOTES)) == 0 and folders() == first | second
+    ids = {r["title"]: r["doc_id"] for r in eng.documents().collect()}
+    before = sorted(map(str, eng.chunks(ids["A"]).collect()))
+    assert eng.delete_document(ids["B"]) and len(folders()) == 15
+    assert sorted(r["title"] for r in eng.documents().collect()) == ["A", "C"] and sorted(map(str, eng.chunks(ids["A"]).collect())) == before
+    assert give(("B", "Paxos is a family of protocols for it.")) == 1 and eng.chunks(ids["B"]).count() == 1
+    held = eng.store.read("vectors").count()
+    assert held == eng.store.read("chunks").count()
+    assert eng.store.vacuum() >= 5 and not second & folders() and eng.store.read("vectors").count() == held
+
+
 def test_streaming_ingest_is_idempotent(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
