@@ -126,8 +126,8 @@ tri AS (
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF', 'nation' FROM nation)),
 ends AS (SELECT source_id AS node FROM tri UNION SELECT target_id FROM tri)"""
 
-SUBGRAPH = f"""{TRIPLES},
-sym AS (SELECT source_id AS a, target_id AS b FROM tri UNION SELECT target_id, source_id FROM tri),
+SYMMETRIC = "sym AS (SELECT source_id AS a, target_id AS b FROM tri UNION SELECT target_id, source_id FROM tri)"
+SUBGRAPH = f"""{TRIPLES}, {SYMMETRIC},
 d0 AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'n' || n_nationkey AS node, 0 AS depth FROM nation),
 d1 AS (SELECT DISTINCT query_id, b AS node, 1 AS depth FROM d0 JOIN sym ON node = a WHERE (query_id, b) NOT IN (SELECT (query_id, node) FROM d0)),
 d2 AS (SELECT DISTINCT query_id, b AS node, 2 AS depth FROM d1 JOIN sym ON node = a
@@ -235,6 +235,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) D
 SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(s, 6) AS score FROM r WHERE rank <= 8"""
 
 
+_FITS = r"(NOT (a.stopped AND a.context = x.context) AND length(x.s) >= 25 AND NOT list_contains(a.kept, x.s) AND (list_has_any(ws, regexp_extract_all(lower(x.s), '\b\w+\b')) OR len(a.kept) < 3))"
+SALIENT = rf"""{bm25_head(5)},
+cx AS (SELECT query_id, list(text ORDER BY rank) AS cs FROM bm JOIN docs USING (doc_id) GROUP BY query_id),
+fl AS (SELECT query_id, cs, flatten(list_transform(range(1, least(len(cs), 3) + 1), lambda i: list_transform({plain_sents('cs[i]')}, lambda s: {{'kept': []::VARCHAR[], 'context': i, 'stopped': false, 's': {strip('s')}}}))) AS xs FROM cx),
+qw AS (SELECT query_id, query, list_filter(list_distinct(regexp_extract_all(lower(query), '\b\w+\b')), lambda w: length(w) > 2) AS ws FROM bench),
+fo AS (SELECT query_id, query, cs, list_reduce(xs, lambda a, x: {{
+         'kept': CASE WHEN {_FITS} THEN list_append(a.kept, x.s) ELSE a.kept END, 'context': x.context,
+         'stopped': (a.stopped AND a.context = x.context) OR ({_FITS} AND len(a.kept) >= 4), 's': ''}}, {{'kept': []::VARCHAR[], 'context': 0::BIGINT, 'stopped': false, 's': ''}}).kept AS kept
+       FROM qw LEFT JOIN fl USING (query_id))
+SELECT query_id, CASE WHEN cs IS NULL THEN 'No verified information regarding ' || chr(39) || query || chr(39) || ' was found in the indexed corpus. Please ingest relevant documents to query this topic.'
+       WHEN len(kept) = 0 THEN {strip('substr(cs[1], 1, 400)')} || '...' ELSE array_to_string(kept, ' ') END AS answer FROM fo"""
+
+
 CHUNKS = rf"""
 WITH RECURSIVE {DOCS},
 s AS (SELECT doc_id, {sents(strip('text'))} AS ss FROM docs WHERE {strip('text')} <> ''),
@@ -253,6 +266,7 @@ e AS (
 SELECT e.doc_id, CAST(row_number() OVER (PARTITION BY e.doc_id ORDER BY a, b) - 1 AS BIGINT) AS chunk_index, CAST(t AS BIGINT) AS token_count, sha256(array_to_string(ss[a:b], ' ')) AS content_sha256
 FROM e JOIN p USING (doc_id)"""
 
+_KINDS = "WITH k AS (SELECT p_partkey, lower(p_brand) AS a, ['bft', 'grpc', 'postgres', 'attack', 'leaders', 'plain'][p_partkey % 6 + 1] || ' ' || lower(p_type) AS b FROM part)"
 _BODY = "replace(text, '#', ' ')"
 _FILE = "coalesce(source, 'x') || '_' || doc_id || '.md'"
 
@@ -287,6 +301,10 @@ ORACLES: dict[str, str] = {
         be AS (SELECT doc_id, sentence, relation, canonical_id AS source_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence, relation ORDER BY p DESC, canonical_id) AS rn FROM pl WHERE p > 0 AND p < pos) WHERE rn = 1),
         af AS (SELECT doc_id, sentence, relation, canonical_id AS target_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sentence, relation ORDER BY p, canonical_id) AS rn FROM pl WHERE p > pos) WHERE rn = 1)
         SELECT doc_id, CAST(sentence AS BIGINT) AS sentence, relation, source_id, target_id FROM be JOIN af USING (doc_id, sentence, relation) WHERE source_id <> target_id""",
+    "entity_kinds": f"""{_KINDS} SELECT p_partkey, {canon('a')} AS canonical_id, 'CONCEPT' AS entity_type FROM k
+        UNION ALL SELECT p_partkey, {canon('b')}, ['ALGORITHM', 'PROTOCOL', 'SYSTEM', 'VULNERABILITY', 'ROLE', 'CONCEPT'][p_partkey % 6 + 1] FROM k""",
+    "relation_kinds": f"""{_KINDS} SELECT p_partkey, ['PREVENTS', 'IMPLEMENTS', 'REQUIRES', 'ELECTS', 'REPLICATES_TO', 'ENFORCES', 'CONTAINS', 'LEADS_TO', 'IS_A', 'COMMUNICATES_WITH'][p_partkey % 10 + 1] AS relation,
+        {canon('a')} AS source_id, {canon('b')} AS target_id FROM k""",
     "seed_match": rf"""WITH {DOCS}, {BENCH}, {MENTIONS},
         en AS (SELECT canonical_id, lower(arg_min(name, doc_id)) AS name FROM ment GROUP BY 1),
         q AS (SELECT query_id, ts, array_to_string(ts, ' ') AS t FROM (SELECT query_id, list_filter(string_split_regex(lower(query), '\s+'), lambda x: x <> '') AS ts FROM bench))
@@ -300,12 +318,21 @@ ORACLES: dict[str, str] = {
     "graph_fact_sentence": f"""WITH {SUBGRAPH}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY triple_id) AS rn FROM edg)
         SELECT query_id, 'According to the knowledge graph, ' || string_agg(upper(substr(source_id, 1, 1)) || substr(source_id, 2) || ' ' || lower(replace(relation, '_', ' ')) || ' ' || upper(substr(target_id, 1, 1)) || substr(target_id, 2), ', while ' ORDER BY rn) || '.' AS fact
         FROM f WHERE rn <= 5 GROUP BY query_id""",
-    "shortest_path": """WITH p AS (SELECT 'n' || a.n_nationkey AS source, 'n' || b.n_nationkey AS target, 'r' || a.n_regionkey AS mid FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND 'n' || a.n_nationkey < 'n' || b.n_nationkey)
-        SELECT source, target, 0::BIGINT AS hop, source AS from_id, mid AS to_id, 'PART_OF' AS relation FROM p UNION ALL SELECT source, target, 1::BIGINT, mid, target, 'PART_OF' FROM p""",
+    "shortest_path": f"""{TRIPLES.replace('tri AS', 'WITH RECURSIVE tri AS', 1)}, {SYMMETRIC},
+        walk AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, ['n' || n_nationkey] AS path FROM nation
+                 UNION ALL SELECT source, b, list_append(path, b) FROM walk JOIN sym ON node = a WHERE NOT list_contains(path, b)),
+        best AS (SELECT source, node AS target, path FROM (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) AS rn FROM walk)
+                 WHERE rn = 1 AND source < node AND node IN (SELECT 'n' || n_nationkey FROM nation)),
+        st AS (SELECT source, target, i - 1 AS hop, path[i] AS from_id, path[i + 1] AS to_id FROM (SELECT *, unnest(range(1, len(path))) AS i FROM best)),
+        nm AS (SELECT source_id, target_id, arg_min(relation, triple_id) AS r FROM tri GROUP BY ALL)
+        SELECT source, target, CAST(hop AS BIGINT) AS hop, from_id, to_id, coalesce(x.r, y.r, 'CONNECTS') AS relation FROM st
+        LEFT JOIN nm x ON x.source_id = from_id AND x.target_id = to_id LEFT JOIN nm y ON y.source_id = to_id AND y.target_id = from_id""",
     "pagerank": _pagerank(10),
     "degree_centrality": f"WITH {TRIPLES}, d AS (SELECT node, count(*) AS d FROM (SELECT source_id AS node FROM tri UNION ALL SELECT target_id FROM tri) GROUP BY 1) SELECT node, round(d::DOUBLE / (SELECT count(*) - 1 FROM ends), 9) AS centrality FROM ends JOIN d USING (node)",
-    "graph_stats": f"""WITH {TRIPLES}, c AS (SELECT count(*) AS n FROM ends), m AS (SELECT count(*) AS m FROM tri)
-        SELECT n AS n_nodes, m AS n_edges, round(m::DOUBLE / (n * (n - 1)), 4) AS density, (SELECT count(DISTINCT n_regionkey) FROM nation) AS n_components FROM c, m""",
+    "graph_stats": f"""{TRIPLES.replace('tri AS', 'WITH RECURSIVE tri AS', 1)}, {SYMMETRIC}, c AS (SELECT count(*) AS n FROM ends), m AS (SELECT count(*) AS m FROM tri),
+        reach AS (SELECT node AS root, node FROM ends UNION SELECT root, b FROM reach JOIN sym ON node = a),
+        least AS (SELECT root, min(node) AS first FROM reach GROUP BY root)
+        SELECT n AS n_nodes, m AS n_edges, round(m::DOUBLE / (n * (n - 1)), 4) AS density, (SELECT count(*) FROM least WHERE root = first) AS n_components FROM c, m""",
     "graph_delete_document": f"WITH {TRIPLES}, k AS (SELECT * FROM tri WHERE chunk_id <> 'supplier') SELECT source_id AS canonical_id FROM k UNION SELECT target_id FROM k",
     "rrf_fuse": f"{FUSE} SELECT query_id, doc_id, round(rrf_score, 9) AS rrf_score, CAST(coalesce(dense_rank, 0) AS BIGINT) AS dense_rank, CAST(coalesce(bm25_rank, 0) AS BIGINT) AS bm25_rank FROM fu",
     "rerank": f"{FUSE}, {rerank('fu', 5)}",
@@ -327,6 +354,7 @@ ORACLES: dict[str, str] = {
                || chr(10) || chr(10) || chr(10) || '=== INSTRUCTIONS ===' || chr(10) || 'Synthesize a clear, direct, and factual answer based ONLY on the evidence above. Organize your thoughts into distinct declarative statements so they can be verified.' AS prompt
                FROM bench LEFT JOIN ex USING (query_id))
         SELECT query_id, sha256(prompt) AS prompt_sha256, CAST(length(prompt) AS BIGINT) AS n_chars FROM pr""",
+    "salient_sentences": SALIENT,
     "claim_split": f"WITH {CONV}, {ANSWERS}, {_claims()} SELECT query_id, claim_ord, claim FROM claims",
     "contradiction": f"{ALIGN} SELECT query_id, claim_ord, chunk_id, shared, contradicts FROM alg",
     "claim_alignment": f"{ALIGN} SELECT query_id, claim_ord, chunk_id, round(recall, 6) AS recall, round(cosine, 6) + 0.0::DOUBLE AS cosine, round(score, 6) + 0.0::DOUBLE AS score FROM alg",

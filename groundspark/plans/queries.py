@@ -184,6 +184,30 @@ def relation_triples(spark, d, job=AS_SQL):
     return made.select("doc_id", F.col("sentence").cast("long").alias("sentence"), "relation", "source_id", "target_id")
 
 
+#: Words that stand for the kinds of entities and relations.
+ENTITY_WORDS = ("bft", "grpc", "postgres", "attack", "leaders", "plain")
+RELATION_WORDS = ("prevents", "implements", "depends on", "elects", "replicates", "validates", "consists of", "leads to", "is a", "communicates with")
+
+
+def _statements(spark, d):
+    """A sentence for each part: its brand, a relation and its type with a word for a kind of entity, both by the key."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    tick = F.lit("`")
+    text = F.concat(tick, F.lower("p_brand"), tick, F.lit(" "), pick(RELATION_WORDS), F.lit(" "), tick, pick(ENTITY_WORDS), F.lit(" "), F.lower("p_type"), tick, F.lit("."))
+    return table(spark, d, "part").select("p_partkey", text.alias("text"))
+
+
+def entity_kinds(spark, d):
+    """All types of entities, named in backticks."""
+    return graph.entity_candidates(_statements(spark, d), "p_partkey", "text").select("p_partkey", "canonical_id", "entity_type")
+
+
+def relation_kinds(spark, d):
+    """All relations."""
+    said = _statements(spark, d)
+    return graph.relation_triples(said, graph.entity_candidates(said, "p_partkey", "text"), "p_partkey", "text").select("p_partkey", "relation", "source_id", "target_id")
+
+
 def seed_match(spark, d, job=AS_SQL):
     return graph.seed_match(_bench(spark, d, job), graph.entity_merge(_mentions(spark, d, job), "doc_id"))
 
