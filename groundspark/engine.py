@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
+from groundspark.functions.providers import guarded
 from groundspark.functions.text import canonicalize, strategy, subqueries
 from groundspark.operators import graph, retrieval, synthesis, verification
 from groundspark.operators.chunking import chunks as make_chunks
@@ -94,11 +95,14 @@ class Engine:
 
     def _answer(self, queries: DataFrame, contexts: DataFrame, edges: DataFrame, enable_graph: bool) -> DataFrame:
         facts = synthesis.graph_fact_sentence(edges, "triple_id") if enable_graph else None
+        answers = synthesis.synthesize(queries, contexts, facts)
         if self.generator is not None:
+            # Queries that the generator fails on, or leaves out, keep the deterministic answer.
             prompts = synthesis.context_prompt(queries, contexts, edges if enable_graph else None)
-            answers = prompts.mapInPandas(self.generator, "query_id long, answer string").join(queries, "query_id")
-        else:
-            answers = synthesis.synthesize(queries, contexts, facts)
+            generator = self.generator
+            nothing = lambda batch: batch[["query_id"]].assign(said=None)
+            ask = guarded(lambda batches: (b.rename(columns={"answer": "said"}) for b in generator(batches)), nothing, ["query_id", "prompt"])
+            answers = answers.join(prompts.mapInPandas(ask, "query_id long, said string"), "query_id", "left").withColumn("answer", F.coalesce("said", "answer")).drop("said")
         answers, verified = self._verify(answers, contexts)
         listed = verified.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_ord", "claim", "status", "confidence", "cited_chunk_id"))).alias("claims"))
         records = verification.source_records(verification.citation_numbers(verified), contexts)

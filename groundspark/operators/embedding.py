@@ -7,11 +7,13 @@ from hashlib import md5
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundspark.functions.providers import guarded
 from groundspark.functions.text import STOP_WORDS, word_tokens
 from groundspark.operators.vectors import unit
 
@@ -98,10 +100,16 @@ def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text"
 
     Every vector comes from its own row, so nothing is shuffled. ``provider``, a ``mapInPandas`` function over (id, text) batches that yields (id, embedding), takes
     the place of the hashed features; its vectors are scaled to unit length, and such of another length than ``dim`` are an error.
+    Batches on which it raises get hashed features, so an outage leaves vectors of both kinds in a store.
     """
     if provider is not None:
         id_type = texts.schema[id_col].dataType.simpleString()
-        made = texts.select(id_col, text_col).mapInPandas(provider, f"`{id_col}` {id_type}, embedding array<double>")
+
+        def local(batch: pd.DataFrame) -> pd.DataFrame:
+            return batch[[id_col]].assign(embedding=list(_vectors(pa.array(batch["words"], pa.list_(pa.string())), dim)))
+
+        listed = texts.select(id_col, text_col, word_tokens(F.col(text_col)).alias("words"))
+        made = listed.mapInPandas(guarded(provider, local, [id_col, text_col]), f"`{id_col}` {id_type}, embedding array<double>")
         wrong = F.raise_error(F.concat(F.lit("embedding length is not "), F.lit(str(dim))))
         return made.withColumn("embedding", F.when(F.size("embedding") == dim, unit(F.col("embedding"))).otherwise(wrong))
     listed = texts.select(id_col, word_tokens(F.col(text_col)).alias("words"))

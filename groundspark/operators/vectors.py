@@ -34,6 +34,11 @@ def delete(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return store.join(gone.select(key).distinct(), key, "left_anti").select(*store.columns)
 
 
+def get(store: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``store`` whose ``key`` is in ``wanted``, each once however often it is asked for."""
+    return store.join(wanted.select(key).distinct(), key, "left_semi").select(*store.columns)
+
+
 def _search(vectors: DataFrame, ids: list, matrix: np.ndarray, k: int, id_col: str, vec_col: str) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 

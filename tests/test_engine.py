@@ -151,6 +151,7 @@ def test_bm25_and_dense_find_the_chunk(spark):
 def test_upsert_last_wins(spark):
     store = spark.createDataFrame([("a", [1.0], 0), ("b", [2.0], 0)], "id string, v array<double>, o int")
     new = spark.createDataFrame([("b", [3.0], 1), ("b", [4.0], 2), ("c", [5.0], 1)], store.schema)
+    assert [r["v"] for r in vectors.get(store, new, "id").collect()] == [[2.0]]
     assert sorted((r["id"], r["v"][0]) for r in vectors.upsert(store, new, "id", "o").collect()) == [("a", 1.0), ("b", 4.0), ("c", 5.0)]
 
 
@@ -333,6 +334,29 @@ def test_engine_delete_cascades(spark, tmp_path):
     assert "raft" not in {r["node"] for r in eng._nodes().collect()}
 
 
+def test_failing_providers_fall_back(spark, engine):
+    def broken(batches):
+        for pdf in batches:
+            if pdf["text" if "text" in pdf else "prompt"].str.contains("bananas").any():
+                raise OSError("no route")
+            yield pdf.iloc[:, :1].assign(**({"embedding": [[0.0, 3.0, 4.0, 0.0]] * len(pdf)} if "text" in pdf else {"answer": "Said remotely, and at some length."}))
+
+    texts = spark.createDataFrame([(1, "bananas grow"), (2, None), (3, "other")], "id long, text string").repartition(3, "id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        made = {r["id"]: r["embedding"] for r in embed(texts, 4, provider=broken).collect()}
+        asked = spark.createDataFrame([(1, "How does Raft prevent split brain?"), (2, "Where do bananas grow?")], "query_id long, query string")
+        local = {r["query_id"]: r["answer"] for r in engine.answer(asked).collect()}
+        engine.generator = broken
+        said = {r["query_id"]: r["answer"] for r in engine.answer(asked).collect()}
+    finally:
+        engine.generator = None
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {r["id"]: r["embedding"] for r in embed(texts, 4).collect()}
+    assert made[3] == [0.0, 0.6, 0.8, 0.0] and made[1] == pytest.approx(want[1], abs=1e-12) and made[2] is not None
+    assert said == {1: "Said remotely, and at some length.", 2: local[2]}
+
+
 def test_changes_write_only_their_batch(spark, tmp_path):
     import os
 
