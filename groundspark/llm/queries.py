@@ -1,11 +1,11 @@
-"""The ten registered queries: each applies its operator to whole tables and derives the digest columns."""
+"""The registered queries: each applies its operator to whole tables and derives the digest columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import ann, bpe, decontam, langid, linededup, quality, secrets, sharding, simhash, urlfilter
+from groundspark.llm import ann, bpe, decontam, filteraudit, importance, langid, linededup, minhash, quality, secrets, sharding, simhash, urlfilter
 from groundspark.runtime import spread, table
 
 #: Fixed values of the contract: URL rules as (host, path, verdict).
@@ -103,7 +103,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, range(3)), shown.alias("spans")).withColumn("base_sha256", _hex(F.col("spans")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_nearest_neighbours, op3_simhash, op4_quality, op5_sharding, op6_line_dedup, op7_url_filter, op8_decontamination, op9_byte_bpe, op10_secret_scan)
-}
+    for f in (
+        op1_language_id, op2_nearest_neighbours, op3_simhash, op4_quality, op5_sharding, op6_line_dedup, op7_url_filter, op8_decontamination, op9_byte_bpe, op10_secret_scan,
+        op11_filter_audit, op12_importance, op13_minhash,
+    )
+}

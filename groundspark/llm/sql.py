@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the registered queries that SQL can express."""
 
 from __future__ import annotations
 
@@ -93,9 +93,104 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 )
 
+_OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+f AS (
+  SELECT t.doc_id, part,
+         [len(w) < 100,
+          100 * len(list_distinct(w)) < 80 * len(w),
+          100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x),
+          regexp_matches(x, '[#$%&*|]'),
+          coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY x), false)] AS bad,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND l.quality = 1) AS good,
+         EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = t.doc_id AND l.toxic = 1) AS toxic
+  FROM t),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order
+  FROM letters a, letters b, letters d, letters e, letters g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, instr('ABCDE', filter_order[step]) AS own,
+         list_transform(range(1, step), lambda k: instr('ABCDE', filter_order[k])) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) s),
+patterns AS (
+  SELECT part, bad, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM f GROUP BY part, bad),
+e AS (
+  SELECT part, filter_order, step, own, n, g, x, bad[own] AS fails, list_bool_or(list_transform(before, lambda k: bad[k])) IS TRUE AS earlier,
+         len(list_filter(bad, lambda b: b)) AS k
+  FROM patterns, steps),
+r AS (
+  SELECT part, filter_order, step, any_value(own) AS own,
+         sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails AND k = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails AND NOT earlier THEN g ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails AND NOT earlier THEN x ELSE 0 END) AS toxic_lost
+  FROM e GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+_OP12 = rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tbl),
+w AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, {_WORDS} FROM benchmark),
+f AS (
+  SELECT kind, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM w),
+known AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda k: CAST('0x' || substr(hex(encode(f)), CAST(2 * k - 1 AS BIGINT), 2) AS BIGINT)),
+                            lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM f) x, crc),
+o AS (SELECT kind, r, bucket FROM f JOIN known USING (f)),
+c AS (
+  SELECT bucket, CAST(count(*) FILTER (WHERE kind = 'd') AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE kind = 'b') AS DOUBLE) AS t FROM o GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000)))) AS gain FROM c),
+weights AS (SELECT r, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight FROM o JOIN g USING (bucket) WHERE kind = 'd' GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (r) WHERE kind = 'd'),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+_OP13 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                             lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) END) AS sh
+  FROM t),
+x AS (SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS h FROM s),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b USING (h)
+  WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id <= coalesce(m, s.doc_id) AS kept
+FROM s LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) q ON s.doc_id = q.u
+"""
+
 ORACLES = {
     "op6_line_dedup": _OP6,
     "op7_url_filter": _OP7,
     "op8_decontamination": _OP8,
     "op10_secret_scan": _OP10,
+    "op11_filter_audit": _OP11,
+    "op12_importance": _OP12,
+    "op13_minhash": _OP13,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -257,3 +258,80 @@ def languages(rows: list[tuple], learn: list[tuple], alpha: float = 0.1, sharpne
         scaled = {x: prior[x] + total[x] * min(1.0, sharpness / len(grams)) for x in counts}
         out.append((d, best, 1 / sum(math.exp(scaled[x] - scaled[best]) for x in counts)))
     return out
+
+
+def filter_audit(rows: list[tuple], labels: list[tuple]) -> list[tuple]:
+    """Every order played through on (doc_id, text, lang) rows; labels are (doc_id, quality, toxic)."""
+    least: dict[str, object] = {}
+    for d, t, _ in rows:
+        if d is not None:
+            least[t or ""] = min(least.get(t or "", d), d)
+    docs = []
+    for d, t, lang in rows:
+        t = t or ""
+        words = t.encode().split()
+        bad = {
+            "A": len(words) < 100,
+            "B": 100 * len(set(words)) < 80 * len(words),
+            "C": 100 * sum("A" <= c <= "Z" for c in t) > 10 * len(t),
+            "D": any(c in "#$%&*|" for c in t),
+            "E": d is not None and d > least[t],
+        }
+        good, toxic = (any(x[0] == d and x[k] == 1 for x in labels) and d is not None for k in (1, 2))
+        docs.append((lang or "", {f for f, b in bad.items() if b}, good, toxic))
+    out, shapley = [], defaultdict(int)
+    for part in sorted({p for p, *_ in docs}):
+        own = [x[1:] for x in docs if x[0] == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            for step, f in enumerate(order, 1):
+                left = [x for x in own if not x[0] & set(order[: step - 1])]
+                gone = [x for x in left if f in x[0]]
+                shapley[part, f] += len(gone)
+                redundant = sum(f in x[0] and bool(x[0] & set(order[: step - 1])) for x in own)
+                out.append((part, order, step, len(left) - len(gone), len(gone), redundant, sum(x[0] == {f} for x in own), sum(x[1] for x in gone), sum(x[2] for x in gone)))
+    return [(*r, shapley[r[0], r[1][r[2] - 1]]) for r in out]
+
+
+def importance(rows: list[tuple], target: list, percent: int = 25, least: int = 20) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank) of (doc_id, text) rows; ids differ."""
+    word = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
+    def features(text):
+        w = word.findall(lower(text or ""))
+        return w, [zlib.crc32(f.encode()) % 10000 for f in w + [" ".join(p) for p in zip(w, w[1:], strict=False)]]
+
+    source, wanted = (Counter(b for t in texts for b in features(t)[1]) for texts in ([t for _, t in rows], target))
+    s_all, t_all = source.total(), wanted.total()
+    gain = lambda b: math.floor(1000 * math.log((wanted[b] + 1) * (s_all + 10000) / ((source[b] + 1) * (t_all + 10000))))
+    out, able = {}, []
+    for d, t in rows:
+        w, f = features(t)
+        h = int(hashlib.sha256(f"7:{d}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[d] = (d, len(f), weight, score)
+        able += [(-score, d)] * (len(w) >= least)
+    rank = {d: k for k, (_, d) in enumerate(sorted(able)[: percent * len(able) // 100], 1)}
+    return [(*r, rank.get(d)) for d, r in out.items()]
+
+
+def shingle_components(rows: list[tuple], percent: int = 85, size: int = 3) -> list[tuple]:
+    """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows; all pairs are compared."""
+    sets = []
+    for _, t in rows:
+        w = lower(t or "").encode().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    least: dict[int, list] = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] += [d] * (d is not None)
+    return [(d, len(sets[i]), c := min(least[find(i)], default=None), d == c) for i, (d, _) in enumerate(rows)]

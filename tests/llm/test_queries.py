@@ -25,7 +25,7 @@ def got(df, *cols):
 
 
 def test_all_are_registered():
-    assert {n for q in entry.queries() for n in [q.split("_")[0]] if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n for q in entry.queries() for n in [q.split("_")[0]] if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in entry.queries()
 
 
