@@ -5,9 +5,9 @@ differ in a symbol with probability 1 - J at most. A pair is a candidate if at m
 the similarity exceeds once in ten million. By the pigeonhole principle one of ``distance // 2 + 1`` chunks then differs in one symbol
 at most, so every document emits for each chunk all its variants with one symbol left out, and candidates meet in a shuffle on the variants.
 
-Documents with equal sets are one node. A variant's members first meet its least node alone; what full sets confirm is contracted
-to components, and only members of other components than a variant's largest meet all its members. That leaves out no pair
-that could join two components.
+Documents with equal sets are one node. A variant's members first meet its least node, their pivot, alone; what full sets confirm is
+contracted to components. Then members of a pivot that are outside its largest component meet all members of that pivot in blocks of bounded
+size, on full sets. That leaves out no pair that could join two components.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,9 @@ from groundspark.runtime import cut
 SYMBOLS, LANE = 128, 8
 #: Chance that a pair just at the similarity is no candidate.
 MISS = 1e-7
+#: Bits of the broadcast set of keys that several nodes share; shingles of all sets of a block, about.
+SHARED_BITS = 1 << 26
+BLOCK_SHINGLES = 2 << 20
 _LANES = [f"s{k}" for k in range(SYMBOLS // LANE)]
 _SIGNATURE = f"struct<{', '.join(f'{c}: long' for c in _LANES)}>"
 _ODD = np.random.default_rng(1).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,11 +99,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, mark long, n_shingles long, digest string, sig {_SIGNATURE}")
 
 
-def variants(nodes: DataFrame, distance: int) -> DataFrame:
-    """``(key, node)``: hashes of every chunk with each of its symbols left out."""
+def variants(nodes: DataFrame, distance: int, shared: np.ndarray | None = None) -> DataFrame:
+    """``(key, node)``: hashes of every chunk with each of its symbols left out; only such whose bit is in ``shared`` (see ``_bits``) if given."""
     places = chunks(distance)
     coefficient = np.random.default_rng(2).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     tag = np.random.default_rng(3).integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+    given = None if shared is None else nodes.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,13 +116,27 @@ def variants(nodes: DataFrame, distance: int) -> DataFrame:
                 whole = terms[:, chunk.start : chunk.stop].sum(axis=1, dtype=np.uint64)
                 keys[:, chunk.start : chunk.stop] = whole[:, None] - terms[:, chunk.start : chunk.stop]
             keys = (keys ^ tag) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(32)
+            keys = (keys ^ (keys >> np.uint64(32))).reshape(-1)
             node = np.repeat(column(batch, "node").to_numpy(), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(node)], ["key", "node"])
+            if given is not None:
+                at = keys & np.uint64(64 * len(given.value) - 1)
+                held = (given.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                keys, node = keys[held], node[held]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(node)], ["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
+def _bits(shared: DataFrame) -> np.ndarray:
+    """A set of bits, ``SHARED_BITS`` at most, that holds every key of ``shared`` (and some others)."""
+    words = 1 << max(8, min(SHARED_BITS, 16 * shared.count()).bit_length() - 7)
+    at = F.col("key").bitwiseAND(F.lit(64 * words - 1))
+    rows = shared.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(words, dtype=np.uint64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
 def _differing(a: str, b: str) -> Column:
     """Symbols in which two signatures differ: a differing byte's bits are gathered in its lowest."""
 
@@ -159,6 +178,54 @@ def node_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def _links_across(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between members of a block that join two components: rows with ``one`` set against rows with ``two`` set, on full sets.
+
+    Of links that would join the same components again one is enough.
+    """
+    if not rows["node"].is_unique:  # a block against itself
+        rows = rows.groupby("node", as_index=False).agg({"one": "any", "two": "any", "component": "first", "shingles": "first"})
+    sets, sizes = rows["shingles"].tolist(), np.array([len(s) for s in rows["shingles"]])
+    component, node, two = rows["component"].to_numpy().copy(), rows["node"].to_numpy(), rows["two"].to_numpy()
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    holders, begins = owner[order], np.searchsorted(code[order], np.arange(int(code.max()) + 2))
+    ends = np.cumsum(sizes)
+    found = []
+    for i in np.flatnonzero(rows["one"].to_numpy()).tolist():
+        own = code[ends[i] - sizes[i] : ends[i]]
+        count = begins[own + 1] - begins[own]
+        places = np.repeat(begins[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        shared = np.bincount(holders[places], minlength=len(sets))
+        near = np.flatnonzero(two & (component != component[i]) & (100 * shared >= percent * (sizes + sizes[i] - shared)))
+        for j in near.tolist():
+            if component[j] != component[i]:
+                found.append((node[i], node[j]))
+                component[component == component[j]] = component[i]
+    return pd.DataFrame({"src": [a for a, _ in found], "dst": [b for _, b in found]}, dtype=np.int64)
+
+
+def _across(met: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside their pivot's largest component with any member of that pivot, in blocks of about ``BLOCK_SHINGLES``."""
+    own = met.select("src", F.col("dst").alias("node")).unionByName(met.select("src", F.col("src").alias("node")).distinct())
+    known = own.join(found, "node", "left").select("src", "node", F.coalesce("component", "node").alias("component"))
+    held = cut(known.join(nodes.select("node", "n_shingles"), "node"))
+    per = held.groupBy("src", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    mixed = per.groupBy("src").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("largest"), F.sum("size").alias("size")).where("parts > 1")
+    blocks = F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    rows = held.join(mixed.select("src", "largest", blocks), "src").withColumn("other", F.col("component") != F.col("largest"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    place = lambda i, j, one, two: F.struct(i.alias("i"), j.alias("j"), one.alias("one"), two.alias("two"))
+    no, yes, all_ = F.lit(False), F.lit(True), F.sequence(F.lit(0), F.col("blocks") - 1)
+    ones = F.when(F.col("other"), F.transform(all_, lambda j: place(F.col("at"), j, yes, no))).otherwise(F.array().cast("array<struct<i: int, j: int, one: boolean, two: boolean>>"))
+    spread = F.concat(ones, F.transform(all_, lambda i: place(i, F.col("at"), no, yes)))
+    dealt = F.when(F.col("blocks") == 1, F.array(place(F.lit(0), F.lit(0), F.col("other"), yes))).otherwise(spread)
+    placed = rows.select("src", "node", "component", F.explode(dealt).alias("p")).join(sets, "node")
+    tasks = placed.select(F.col("src").alias("pivot"), "p.i", "p.j", "p.one", "p.two", "node", "component", "shingles").groupBy("pivot", "i", "j")
+    return tasks.applyInPandas(lambda pdf: _links_across(pdf, percent), "src long, dst long")
+
+
 def near_duplicates(
     docs: DataFrame,
     percent: int = 85,
@@ -181,31 +248,22 @@ def near_duplicates(
     first = F.min_by(F.struct("id", "mark", "n_shingles", "sig"), F.struct(F.col("id").isNull(), "id", "mark"))
     grouped = marked.where("n_shingles > 0").groupBy("digest").agg(first.alias("f"))
     nodes = cut(grouped.select("digest", "f.*", F.monotonically_increasing_id().alias("node")))
-    keys = variants(nodes, distance)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
-    members = cut(keys.join(shared, "key"))
-    facts = nodes.select("node", "n_shingles", "sig")
+    # Keys are shuffled once to be counted; only those that may be shared are made again.
+    counted = variants(nodes, distance).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+    shared = cut(counted.where("n > 1").select("key", "least"))
+    members = variants(nodes, distance, _bits(shared)).join(shared, "key")
+    met = cut(members.where("node <> least").select(F.col("least").alias("src"), F.col("node").alias("dst")).distinct())
 
-    # Each member and the least of its variant.
-    met = members.where("node <> least").select(F.col("node").alias("dst"), F.col("least").alias("src")).distinct()
+    facts = nodes.select("node", "n_shingles", "sig")
     stars = met.join(facts.alias("a"), F.col("src") == F.col("a.node")).join(facts.alias("b"), F.col("dst") == F.col("b.node"))
-    stars = cut(stars.where(_could_link("a", "b", percent, distance)).select("src", "dst"))
-    of_members = members.select("node").distinct()
+    stars = stars.where(_could_link("a", "b", percent, distance)).select("src", "dst")
+    of_members = met.select(F.col("src").alias("node")).unionByName(met.select(F.col("dst").alias("node"))).distinct()
     sets = cut(node_sets(slim, nodes.join(of_members, "node"), shingle))
     links = cut(confirmed(stars, sets, percent))
     found = connected_components(links)
-
-    # Variants that hold several components: members outside the largest meet all of the others.
-    held = cut(members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-    mixed = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("largest"))
-    open_ = held.join(mixed.where("parts > 1").select("key", "largest"), "key").join(facts, "node")
-    one, two = open_.where("component <> largest").alias("a"), open_.alias("b")
-    other = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.largest")) | (F.col("a.node") < F.col("b.node")))
-    across = one.join(two, (F.col("a.key") == F.col("b.key")) & other & _could_link("a", "b", percent, distance))
-    pairs = across.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
-    rest = cut(confirmed(pairs.join(stars, ["src", "dst"], "left_anti"), sets, percent))
-
+    rest = cut(_across(met, found, nodes, sets, percent))
     component = found if rest.isEmpty() else connected_components(links.unionByName(rest))
+
     linked = nodes.select("digest", F.col("id").alias("least"), "node").join(component, "node")
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     # Written first, so that the last join shuffles both its sides and a set of very many copies can be split.
