@@ -3,8 +3,11 @@
 Lines are hashed in the tasks; Spark counts the ids of every distinct hash. All distinct hashes are dealt into shards, and a
 task builds for each shard a minimal perfect hash (levels of bit arrays: a key that is alone in its slot stays, the
 others go to the next level) over compact arrays of fingerprints and counts. The documents' hashes probe the arrays, so
-lines are never joined to lines, and only hits go back to the documents. Lines so frequent that one shard would be
-probed too often have an index of their own, of bounded size, that is broadcast and probed where the text is.
+lines are never joined to lines, and only hits go back to the documents. A shard's probes are dealt into groups of bounded size,
+each with a copy of the shard's arrays, so a line that most documents hold is no hot key.
+
+Where the repeated lines of the corpus are few enough to be broadcast (their number is counted first), one index of them with whole
+hashes is probed beside the texts instead, and neither probes nor texts are shuffled. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 from groundspark.llm.batches import column, column_bytes, parts, small_batches
 from groundspark.runtime import cut
 
-#: Keys in a shard, about; probes from which a line is looked up beside the text, and how many such lines there can be.
+#: Keys in a shard, and probes in a group, about; repeated lines that are broadcast at most.
 SHARD_KEYS = 50_000
-HOT_PROBES = 200_000
-HOT_KEYS = 200_000
+GROUP_PROBES = 500_000
+BROADCAST_KEYS = 300_000
 LEVELS = 24
 
 
@@ -39,11 +42,11 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
 class LineIndex:
     """Minimal perfect hash over ``h1`` with arrays of fingerprints and counts in its order, and the keepers of frequent keys.
 
-    Every key of the corpus is in some index, so 16 bits of ``h2`` are enough to turn strangers away. Counts stop at
-    ``least``, beyond which they no longer matter.
+    In a shard every key that probes is in the index, so 16 bits of ``h2`` are kept. With ``whole`` strangers may probe too, and
+    all 128 bits are kept and compared. Counts stop at ``least``, beyond which they no longer matter.
     """
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray, least: int) -> None:
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, keepers: np.ndarray, least: int, whole: bool = False) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []  # words of bits, keys before each word, slots
         left, placed, order = np.arange(len(h1)), 0, []
         for level in range(LEVELS):
@@ -59,14 +62,15 @@ class LineIndex:
             placed, left = placed + len(order[-1]), left[~mine]
         at = np.concatenate([*order, left])
         self.least = least
-        self.marks, self.counts = h2[at].astype(np.uint16), np.minimum(counts[at], least).astype(np.min_scalar_type(least))
+        self.marks, self.keys = (h2[at], h1[at]) if whole else (h2[at].astype(np.uint16), None)
+        self.counts = np.minimum(counts[at], least).astype(np.min_scalar_type(least))
         self.often = np.flatnonzero(self.counts >= least)
         self.keepers = keepers[at][self.often]
         #: Keys that no level could part (equal h1) are looked up whole.
         self.spare = {(int(h1[i]), int(h2[i])): placed + j for j, i in enumerate(left)}
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Place of each key in the arrays, -1 where the fingerprint says it isn't in the index."""
+        """Place of each key in the arrays, -1 where the fingerprint, or the whole hash, says it isn't in the index."""
         place, left = np.full(len(h1), -1, dtype=np.int64), np.arange(len(h1))
         for level, (words, before, size) in enumerate(self.levels):
             slot = (_mix(h1[left], level) % np.uint64(size)).astype(np.int64)
@@ -78,7 +82,9 @@ class LineIndex:
         for i in left if self.spare else ():
             place[i] = self.spare.get((int(h1[i]), int(h2[i])), -1)
         inside = place >= 0
-        inside[inside] = self.marks[place[inside]] == h2[inside].astype(np.uint16)
+        at = place[inside]
+        same = self.marks[at] == h2[inside].astype(self.marks.dtype)
+        inside[inside] = same if self.keys is None else same & (self.keys[at] == h1[inside])
         return np.where(inside, place, -1)
 
     def gone(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -126,8 +132,8 @@ def _unsigned(col: pd.Series) -> np.ndarray:
     return col.to_numpy(dtype=np.int64).view(np.uint64)
 
 
-def _index(pdf: pd.DataFrame, least: int) -> LineIndex:
-    return LineIndex(_unsigned(pdf["h1"]), _unsigned(pdf["h2"]), pdf["n"].to_numpy(), pdf["keeper"].to_numpy(), least)
+def _index(pdf: pd.DataFrame, least: int, whole: bool = False) -> LineIndex:
+    return LineIndex(_unsigned(pdf["h1"]), _unsigned(pdf["h2"]), pdf["n"].to_numpy(), pdf["keeper"].to_numpy(), least, whole)
 
 
 def drop_repeated_lines(
@@ -137,7 +143,8 @@ def drop_repeated_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     shard_keys: int = SHARD_KEYS,
-    hot_probes: int = HOT_PROBES,
+    group_probes: int = GROUP_PROBES,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """``docs`` with ``text_col`` rid of repeated lines, plus ``n_lines`` (before) and ``n_dropped``.
 
@@ -156,71 +163,67 @@ def drop_repeated_lines(
     if not repeated.isEmpty():
         lines = cut(lines.join(repeated, "id", "left_anti").unionByName(lines.join(repeated, "id", "left_semi").distinct()))
     counted = cut(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")))
-    size = counted.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("lines")).first()
-    # At most HOT_KEYS keys can have this many of all lines.
-    hot_from = max(hot_probes, -(-(size["lines"] or 0) // HOT_KEYS))
-    hot = _index(counted.where(F.col("n") >= hot_from).toPandas(), min_docs)
-    shared = spark.sparkContext.broadcast(hot)
-    shards = max(1, -(-size["keys"] // shard_keys))
-    shard = F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int").alias("shard")
+    frequent = F.col("n") >= min_docs
+    size = counted.agg(F.count(F.lit(1)).alias("keys"), F.count_if(frequent).alias("frequent")).first()
+    own = docs.select(*keep, F.col(id_col).alias("_id"))
+    if size["frequent"] <= broadcast_keys:
+        shared = spark.sparkContext.broadcast(_index(counted.where(frequent).toPandas(), min_docs, whole=True))
+        return own.mapInArrow(_remover(keep, text_col, min_chars, shared), _schema(docs, keep))
+
+    shards = -(-size["keys"] // shard_keys)
+    keyed = F.pmod(F.shiftright("h1", 20), F.lit(shards)).cast("int").alias("shard")
+    groups = cut(counted.groupBy(keyed).agg(F.ceil(F.sum("n") / group_probes).cast("int").alias("groups")))
+    id_type = slim.schema["id"].dataType.simpleString()
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "index": [pickle.dumps(_index(pdf, min_docs), protocol=5)]})
 
     def probe(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(index):
+        if not len(rows):
             return pd.DataFrame({"id": pd.Series(dtype="object"), "mark": pd.Series(dtype="int64")})
         h1, h2 = _unsigned(rows["h1"]), _unsigned(rows["h2"])
         gone = pickle.loads(index["index"].iloc[0]).gone(h1, h2, rows["id"].to_numpy())
         return pd.DataFrame({"id": rows["id"][gone], "mark": (h1 ^ h2).view(np.int64)[gone]})
 
-    id_type = slim.schema["id"].dataType.simpleString()
-    cold = counted.where(F.col("n") < hot_from).select(shard, "h1", "h2", "n", "keeper")
-    built = cold.groupBy("shard").applyInPandas(build, "shard int, index binary")
-    probes = lines if not len(hot.counts) else lines.mapInArrow(_without(shared), lines.schema)
-    hits = probes.select(shard, "id", "h1", "h2").groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(probe, f"id {id_type}, mark long")
+    built = counted.select(keyed, "h1", "h2", "n", "keeper").groupBy("shard").applyInPandas(build, "shard int, index binary")
+    copies = built.join(groups, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "index")
+    dealt = lines.select(keyed, "id", "h1", "h2").join(groups, "shard").withColumn("group", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int"))
+    probes = dealt.select("shard", "group", "id", "h1", "h2").groupBy("shard", "group")
+    hits = probes.cogroup(copies.groupBy("shard", "group")).applyInPandas(probe, f"id {id_type}, mark long")
     gone = hits.groupBy("id").agg(F.collect_set("mark").alias("_gone")).withColumnRenamed("id", "_gone_id")
-    joined = docs.select(*keep, F.col(id_col).alias("_id")).join(gone, F.col("_id") == F.col("_gone_id"), "left").drop("_gone_id")
-    return joined.mapInArrow(_remover(shared, keep, text_col, min_chars), _schema(docs, keep))
-
-
-def _without(shared):
-    """Leaves out lines of the hot index, which documents look up themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2 = (column(batch, c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            yield batch.filter(pa.array(shared.value.find(h1, h2) < 0))
-
-    return run
+    joined = own.join(gone, F.col("_id") == F.col("_gone_id"), "left").drop("_gone_id")
+    return joined.mapInArrow(_remover(keep, text_col, min_chars), _schema(docs, keep))
 
 
 def _schema(docs: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", n_lines long, n_dropped long"
 
 
-def _remover(shared, keep: list[str], text_col: str, min_chars: int):
-    """Takes the lines out that the shards sent back (``_gone``) or that the hot index says go."""
+def _remover(keep: list[str], text_col: str, min_chars: int, shared=None):
+    """Takes out the lines that a broadcast index says go or, without one, those that the shards sent back (``_gone``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for batch in parts(batches, text_col):
-            texts, n_lines, n_dropped = column_bytes(batch, text_col), [], []
-            for i, (own, marks) in enumerate(zip(column(batch, "_id").to_pylist(), column(batch, "_gone").to_pylist(), strict=True)):
-                lines = (texts[i] or b"").split(b"\n")
-                n_lines.append(len(lines))
-                out: set[int] = set()
-                if own is not None and (marks or len(hot.counts)):
-                    keyed = [(j, k) for j, x in enumerate(lines) if (k := line_key(x, min_chars)) is not None]
-                    h1, h2 = _hashes([k for _, k in keyed])
-                    drop = hot.gone(h1, h2, np.array([own] * len(h1), dtype=object))
-                    if marks:
-                        drop |= np.isin((h1 ^ h2).view(np.int64), marks)
-                    out = {j for (j, _), d in zip(keyed, drop.tolist(), strict=True) if d}
-                if out:
-                    texts[i] = b"\n".join(x for j, x in enumerate(lines) if j not in out)
-                n_dropped.append(len(out))
-            cols = [pa.array(texts, pa.large_binary()).cast(batch.schema.field(c).type) if c == text_col else column(batch, c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*keep, "n_lines", "n_dropped"])
+            texts = [(t or b"").split(b"\n") for t in column_bytes(batch, text_col)]
+            ids = column(batch, "_id").to_pylist()
+            gone = column(batch, "_gone").to_pylist() if shared is None else ids
+            keyed = [(i, j, k) for i, lines in enumerate(texts) if gone[i] is not None for j, x in enumerate(lines) if (k := line_key(x, min_chars)) is not None]
+            h1, h2 = _hashes([k for *_, k in keyed])
+            if shared is None:
+                marks = (h1 ^ h2).view(np.int64).tolist()
+                sets = {i: set(gone[i]) for i in {i for i, *_ in keyed}}
+                drop = [m in sets[i] for m, (i, *_) in zip(marks, keyed, strict=True)]
+            else:
+                drop = shared.value.gone(h1, h2, np.array([ids[i] for i, *_ in keyed], dtype=object)).tolist()
+            out: dict[int, set[int]] = {}
+            for (i, j, _), d in zip(keyed, drop, strict=True):
+                if d:
+                    out.setdefault(i, set()).add(j)
+            made, n_dropped = column_bytes(batch, text_col), [len(out.get(i, ())) for i in range(len(texts))]
+            for i, lost in out.items():
+                made[i] = b"\n".join([x for j, x in enumerate(texts[i]) if j not in lost])
+            cols = [pa.array(made, pa.large_binary()).cast(batch.schema.field(c).type) if c == text_col else column(batch, c) for c in keep]
+            counts = [pa.array([len(lines) for lines in texts], pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *counts], [*keep, "n_lines", "n_dropped"])
 
     return run

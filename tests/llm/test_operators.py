@@ -82,29 +82,42 @@ def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("hot_probes", [linededup.HOT_PROBES, 12, 1])
+WAYS = [{}, {"broadcast_keys": 0}, {"broadcast_keys": 0, "group_probes": 7}]
+
+
+@pytest.mark.parametrize("way", WAYS)
 @pytest.mark.parametrize("shard_keys", [2, 50_000])
-def test_line_dedup_equals_brute_force(spark, hot_probes, shard_keys):
+def test_line_dedup_equals_brute_force(spark, way, shard_keys):
     rng = random.Random(9)
     lines = [f"{k} a line that is surely long enough to be counted é {k * k}" for k in range(30)] + ["short", "", "x" * 39, "y" * 40, "é" * 39, "é" * 40]
     texts = [None, ""] + ["\n".join(rng.choice([" ", "\t", ""]) + rng.choice([s, s.upper(), s]) + rng.choice(["", "\r", "\x0b "]) for s in rng.choices(lines, k=rng.randint(1, 12))) for _ in range(80)]
     rows = [(i % 70 if i != 17 else None, t) for i, t in enumerate(texts)]
-    kept = linededup.drop_repeated_lines(docs_of(spark, rows), shard_keys=shard_keys, hot_probes=hot_probes)
+    kept = linededup.drop_repeated_lines(docs_of(spark, rows), shard_keys=shard_keys, **way)
     assert "lang" in kept.columns and kept.columns.count("text") == 1
     assert got(kept.withColumn("sha", queries._hex(F.col("text"))), "doc_id", "n_lines", "n_dropped", "sha") == sorted(brute.line_dedup(rows), key=str)
     assert kept.where("text is null").count() == 1
-    assert linededup.drop_repeated_lines(docs_of(spark, []), hot_probes=hot_probes).count() == 0
+    assert linededup.drop_repeated_lines(docs_of(spark, []), **way).count() == 0
+
+
+def test_line_dedup_keeps_lines_of_one_document(spark):
+    """Of 600,000 distinct lines beside a hundred repeated ones none goes, whichever way the lines are looked up."""
+    shared = [f"{k} a line that all of the documents share with each other" for k in range(100)]
+    own = F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(49_999)), lambda k: F.concat(k.cast("string"), F.lit(" of "), F.col("id").cast("string"), F.lit(", a line that only one document has"))))
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.concat(F.lit("\n".join(shared) + "\n"), own).alias("text"))
+    for way in ({}, {"broadcast_keys": 0, "group_probes": 20_000}):
+        kept = linededup.drop_repeated_lines(docs, **way)
+        assert got(kept, "doc_id", "n_dropped") == sorted([(i, 100 if i < 11 else 0) for i in range(12)], key=str)
 
 
-@pytest.mark.parametrize("hot_probes", [linededup.HOT_PROBES, 1])
-def test_line_dedup_counts_ids_not_rows(spark, hot_probes):
+@pytest.mark.parametrize("way", WAYS)
+def test_line_dedup_counts_ids_not_rows(spark, way):
     line = "a line of over forty characters that five rows but two ids hold"
     wide = "another line of over forty characters that five different ids hold"
     rows = [(1, f"{line}\n{wide}")] * 4 + [(2, f"{wide}\n{line}")] + [(i, wide + "\n" + "z" * 100_000) for i in (3, 4, 5)]
     frame = docs_of(spark, rows)
     for as_text in (False, True):
         own = frame.withColumn("doc_id", F.col("doc_id").cast("string")) if as_text else frame
-        kept = linededup.drop_repeated_lines(own, hot_probes=hot_probes)
+        kept = linededup.drop_repeated_lines(own, **way)
         out = got(kept.withColumn("sha", queries._hex(F.col("text"))), "doc_id", "n_lines", "n_dropped", "sha")
         assert out == sorted([(str(d) if as_text else d, *x) for d, *x in brute.line_dedup(rows)], key=str)
         assert sum(n for _, _, n, _ in out) == 7
@@ -120,7 +133,12 @@ def test_minimal_hash_finds_members_only():
     assert sorted(place.tolist()) == list(range(5000)) and (index.counts[place] == np.minimum(counts, 5)).all()
     assert (index.gone(h1, h2, np.full(5000, -1)) == (counts >= 5)).all() and not index.gone(h1, h2, np.arange(5000)).any()
     assert (index.find(h1, h2 + np.uint64(1)) == -1).all()
-    assert (index.find(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), h2 + np.uint64(1)) == -1).sum() >= 4990
+    whole = linededup.LineIndex(h1, h2, counts, np.arange(5000), 5, whole=True)
+    assert sorted(whole.find(h1, h2).tolist()) == list(range(5000))
+    for _ in range(20):
+        strangers = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)
+        assert (whole.find(strangers, rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)) == -1).all()
+    assert (whole.find(rng.permutation(h1), h2) >= 0).sum() <= 2
 
 
 def test_url_filter_equals_brute_force(spark):
