@@ -3,7 +3,7 @@
 The benchmark's windows of words are the phrases to find. A shard is a run of documents in a task.
 A word that no benchmark item holds ends every match, so a shard's text is cut to the runs
 of benchmark words that are as long as the shortest window, with a separator between them. Its suffixes are
-sorted by prefix doubling, a wavelet matrix over the Burrows-Wheeler transform gives ranks, all windows are
+sorted by prefix doubling, a wavelet matrix over the Burrows-Wheeler transform gives ranks, all distinct windows are
 searched backwards together, their occurrences are located by walking to sampled suffixes, and
 the hit words of each document are merged into removal spans. Documents never leave their task, so
 a passage that many documents share makes no hot key.
@@ -25,8 +25,9 @@ from groundspark.runtime import cut
 
 #: Bytes of benchmark text whose windows are broadcast at once; more is done block by block.
 BLOCK_BYTES = 8 << 20
-#: Windows that are searched at once.
+#: Windows that are searched, and occurrences that are located, at once.
 WINDOWS = 1 << 16
+OCCURRENCES = 1 << 18
 #: Bytes of documents in one index, about; every eighth suffix keeps its place.
 SHARD_BYTES = 16 << 20
 SAMPLE = 8
@@ -142,20 +143,39 @@ class Phrases:
         #: Lengths of windows, rising.
         self.lengths = np.unique(np.minimum(sizes[sizes > 0], window)).tolist()
         self.window = window
+        self._distinct: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     @property
     def shortest(self) -> int:
         return min(self.lengths, default=0)
 
-    def lots(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Windows of one length as rows of word ids, with the number of each one's item, in lots of bounded size."""
-        sizes = np.diff(self.stops, prepend=0)
-        item = np.flatnonzero(sizes >= length if length == self.window else sizes == length)
-        count = sizes[item] - length + 1
-        owner = np.repeat(item, count)
-        start = np.repeat(self.stops[item] - sizes[item] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        for at in range(0, len(start), WINDOWS):
-            yield self.sequence[start[at : at + WINDOWS, None] + np.arange(length)], owner[at : at + WINDOWS]
+    def distinct(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct windows of one length: where each begins, and as ``owners[offsets[k]:offsets[k + 1]]`` its items. Made once in a process."""
+        if length not in self._distinct:
+            sizes = np.diff(self.stops, prepend=0)
+            item = np.flatnonzero(sizes >= length if length == self.window else sizes == length)
+            count = sizes[item] - length + 1
+            owner = np.repeat(item, count)
+            start = np.repeat(self.stops[item] - sizes[item] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            _, first, name = np.unique(_names(self.sequence, length)[start], return_index=True, return_inverse=True)
+            pairs = np.unique(name.astype(np.int64) * len(sizes) + owner)
+            offsets = np.searchsorted(pairs, np.arange(len(first) + 1) * len(sizes))
+            self._distinct[length] = start[first], offsets, pairs % len(sizes)
+        return self._distinct[length]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_distinct": {}}
+
+
+def _names(sequence: np.ndarray, length: int) -> np.ndarray:
+    """A number for the ``length`` symbols from each place on, equal where they are equal (places near the end have none of worth)."""
+    name, size = sequence.astype(np.int64), 1
+    while size < length:
+        step = min(size, length - size)
+        after = np.concatenate([name[step:], np.zeros(min(step, len(name)), dtype=np.int64)])
+        name = np.unique(name * (int(name.max(initial=0)) + 1) + after, return_inverse=True)[1]
+        size += step
+    return name
 
 
 def _runs(ids: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,26 +216,34 @@ def find_hits(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], l
     cover = np.zeros(at + 1, dtype=np.int64)
     hits = []
     for size in phrases.lengths:
-        for windows, owner in phrases.lots(size):
-            low, high = index.search(dense[windows])
+        begin, offsets, owners = phrases.distinct(size)
+        for lot in range(0, len(begin), WINDOWS):
+            low, high = index.search(dense[phrases.sequence[begin[lot : lot + WINDOWS, None] + np.arange(size)]])
             count = np.maximum(high - low, 0)
-            which = np.repeat(np.arange(len(windows)), count)
-            rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[which]
-            for lot in range(0, len(rows), 1 << 18):
-                place = index.locate(rows[lot : lot + (1 << 18)])
-                np.add.at(cover, place, 1)
-                np.add.at(cover, place + size, -1)
+            # Distinct windows of one length have disjoint ranges, so all their occurrences are no more than the text has places.
+            ends = np.cumsum(count)
+            for at in range(0, int(ends[-1]), OCCURRENCES):
+                rows = np.arange(at, min(at + OCCURRENCES, int(ends[-1])))
+                which = np.searchsorted(ends, rows, side="right")
+                place = index.locate(rows - (ends[which] - count[which]) + low[which])
+                cover[place] += 1
+                np.subtract.at(cover, place + size, 1)
                 run = np.searchsorted(begins, place, side="right") - 1
-                hits.append(np.unique(np.stack([docs[run], owner[which[lot : lot + (1 << 18)]]], axis=1), axis=0))
+                pairs = np.unique(docs[run] * len(begin) + which + lot)
+                doc, window = pairs // len(begin), pairs % len(begin)
+                own = offsets[window + 1] - offsets[window]
+                nth = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                item = owners[np.repeat(offsets[window], own) + nth]
+                hits.append(np.unique(np.repeat(doc, own) * len(phrases.items) + item))
     covered = (np.cumsum(cover[:-1]) > 0).astype(np.int64)
     for a, b in zip(*_runs(covered, 1), strict=True):
         r = int(np.searchsorted(begins, a, side="right")) - 1
         shift = int(starts[r] - begins[r])
         spans[int(docs[r])].append((int(a) + shift, int(b) + shift))
-    for lot in hits:
-        for i, k in lot.tolist():
-            if phrases.items[k] is not None:
-                items[i].add(phrases.items[k])
+    for pair in np.unique(np.concatenate(hits)).tolist() if hits else ():
+        i, k = divmod(pair, len(phrases.items))
+        if phrases.items[k] is not None:
+            items[i].add(phrases.items[k])
     return n_words, spans, items
 
 
