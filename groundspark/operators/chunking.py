@@ -8,33 +8,59 @@ from pyspark.sql import functions as F
 from groundspark.config import Config
 from groundspark.functions.text import bind, sentences, strip, token_estimate, uni, word_count
 
-_STATE = "struct<stack: array<struct<level: int, title: string>>, lines: array<string>, out: array<struct<text: string, crumbs: array<string>>>>"
+_STACK = "array<struct<level: int, title: string>>"
+_CRUMBS = "array<array<string>>"
+#: Headings whose breadcrumbs are gathered in one array before the next is begun, so that no array is copied for every heading of a text.
+BLOCK = 64
 
 
-def section_array(content: Column) -> Column:
-    """Sections of Markdown text as an array of (text, breadcrumbs); null text has none."""
-    heading = uni(r"^(#{1,6})\s+(.+)$")
-    marked = F.transform(
-        F.split(content, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"),
-        lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(strip(x), heading, 1)).alias("level"), strip(F.regexp_extract(strip(x), heading, 2)).alias("title")),
-    )
+def _breadcrumbs(headings: Column) -> Column:
+    """For each heading the titles above it and its own, outermost first."""
+
+    def push(st: Column, h: Column) -> Column:
+        above = F.filter(st["stack"], lambda x: x["level"] < h["level"])
+        stack = F.concat(above, F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))
+        return bind(stack, lambda s: F.struct(s.alias("stack"), F.concat(st["out"], F.array(F.transform(s, lambda x: x["title"]))).alias("out")))
+
+    def step(st: Column, block: Column) -> Column:
+        opened = F.struct(st["stack"].alias("stack"), F.expr(f"cast(array() as {_CRUMBS})").alias("out"))
+        return bind(F.aggregate(block, opened, push), lambda x: F.struct(x["stack"].alias("stack"), F.concat(st["out"], F.array(x["out"])).alias("out")))
 
-    def flush(st: Column) -> Column:
-        text = strip(F.array_join(st["lines"], "\n"))
-        new = F.array(F.struct(text.alias("text"), F.transform(st["stack"], lambda h: h["title"]).alias("crumbs")))
-        return F.when(text != "", F.concat(st["out"], new)).otherwise(st["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(headings) / BLOCK).cast("int") - 1), lambda b: F.slice(headings, b * BLOCK + 1, BLOCK))
+    start = F.expr(f"cast(struct(array(), array()) as struct<stack: {_STACK}, out: array<{_CRUMBS}>>)")
+    made = F.aggregate(blocks, start, step, lambda st: F.flatten(st["out"]))
+    return F.when(F.size(headings) > 0, made).otherwise(F.expr(f"cast(array() as {_CRUMBS})"))
 
-    def step(st: Column, x: Column) -> Column:
-        kept = F.filter(st["stack"], lambda h: h["level"] < x["level"])
-        pushed = F.concat(kept, F.array(F.struct(x["level"].alias("level"), x["title"].alias("title"))))
-        opened = F.struct(pushed.alias("stack"), F.expr("cast(array() as array<string>)").alias("lines"), flush(st).alias("out"))
-        more = F.struct(st["stack"].alias("stack"), F.concat(st["lines"], F.array(x["line"])).alias("lines"), st["out"].alias("out"))
-        return F.when(x["level"] > 0, opened).otherwise(more)
 
-    start = F.expr(f"cast(struct(array(), array(), array()) as {_STATE})")
-    found = F.aggregate(marked, start, step, flush)
+def section_array(content: Column) -> Column:
+    """Sections of Markdown text as an array of (text, breadcrumbs); null text has none.
+
+    Headings are located first, and each section's text is one slice of the lines between two of them.
+    """
+    heading = uni(r"^(#{1,6})\s+(.+)$")
+
+    def cut_up(lines: Column) -> Column:
+        marked = F.transform(
+            lines,
+            lambda x, i: F.struct(
+                i.alias("at"), F.length(F.regexp_extract(strip(x), heading, 1)).alias("level"), strip(F.regexp_extract(strip(x), heading, 2)).alias("title")
+            ),
+        )
+        return bind(F.filter(marked, lambda h: h["level"] > 0), lambda headings: bind(_breadcrumbs(headings), lambda crumbs: texts(lines, headings, crumbs)))
+
+    def texts(lines: Column, headings: Column, crumbs: Column) -> Column:
+        def one(k: Column) -> Column:
+            first = F.when(k == 0, 0).otherwise(F.get(headings, k - 1)["at"] + 1)
+            stop = F.when(k == F.size(headings), F.size(lines)).otherwise(F.get(headings, k)["at"])
+            text = strip(F.array_join(F.slice(lines, first + 1, stop - first), "\n"))
+            return F.struct(text.alias("text"), F.when(k == 0, F.expr("cast(array() as array<string>)")).otherwise(F.get(crumbs, k - 1)).alias("crumbs"))
+
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(headings)), one), lambda s: s["text"] != "")
+
+    found = bind(F.split(content, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), cut_up)
     fallback = F.array(F.struct(strip(content).alias("text"), F.array(F.lit("Document Root")).alias("crumbs")))
-    return bind(found, lambda s: F.when((F.size(s) == 0) & (strip(content) != ""), fallback).otherwise(s))
+    made = bind(found, lambda s: F.when((F.size(s) == 0) & (strip(content) != ""), fallback).otherwise(s))
+    return F.when(content.isNotNull(), made)
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
