@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +15,14 @@ from groundspark.functions.text import canonicalize, strategy, subqueries
 from groundspark.operators import graph, retrieval, synthesis, verification
 from groundspark.operators.chunking import chunks as make_chunks
 from groundspark.operators.embedding import embed
+from groundspark.operators.lexical_index import IndexSearch, build_postings, in_term_order, number_texts
+from groundspark.operators.vectors import dense_topk
 from groundspark.runtime import cut
-from groundspark.sources.files import dedupe, is_pdf, parse, registry
-from groundspark.sources.store import Store
+from groundspark.sources.files import dedupe, parse, registry
+from groundspark.sources.store import Conflict, State, Store
+
+#: Attempts at a change while other writers commit first.
+COMMIT_TRIES = 8
 
 
 class Engine:
@@ -26,32 +33,47 @@ class Engine:
         #: Providers for remote embedding and generation (``mapInPandas`` functions); both default to the deterministic ones.
         self.embedder, self.generator, self.pdf_pages = embedder, generator, pdf_pages
 
-    def ingest(self, files: DataFrame) -> DataFrame:
+    def ingest(self, files: DataFrame, done: tuple[str, int] | None = None) -> DataFrame:
         """Ingest ``(path, content, title)``; returns the new registry rows. Known contents are skipped.
 
-        Files that cannot be read are not registered, so a later ingest takes them; until then they are in ``quarantine()``.
+        Files that cannot be read are not registered, so a later ingest takes them; until then they are in ``quarantine()``. ``done``, a
+        writer's name and the number of its batch, is settled by the same commit: when the batch is given again, nothing happens. If another writer
+        commits first, all is done again on what the store then holds.
         """
+        for _ in range(COMMIT_TRIES):
+            state = self.store.state()
+            if self.store.settled(state, done):
+                return self.store.read("documents", state, [])
+            try:
+                return self._ingest(files, state, done)
+            except Conflict:
+                continue
+        raise Conflict("other writers kept coming first")
+
+    def _ingest(self, files: DataFrame, state: State, done: tuple[str, int] | None) -> DataFrame:
         given = files.select("path", "content", "title")
-        bad = cut(parse(given, self.pdf_pages)[1].distinct())
-        files = given.where("content is not null")
-        if self.pdf_pages is None:
-            files = files.where(~is_pdf(F.col("path")))
-        known = self.store.read("documents")
-        new = cut(dedupe(registry(files), known))
-        parts, _ = parse(files.dropDuplicates(["content"]), self.pdf_pages)
+        parts, bad = parse(given, self.pdf_pages)
+        bad = cut(bad.distinct())
+        new = cut(dedupe(registry(given.where("content is not null").join(bad, "path", "left_anti")), self.store.read("documents", state)))
         made = make_chunks(parts.join(new.select("doc_id"), "doc_id", "left_semi"), self.cfg)
         titled = cut(made.join(new.select("doc_id", "title"), "doc_id").select("chunk_id", "doc_id", "title", "chunk_index", "content", "token_count", "breadcrumbs"))
+        counts = titled.groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("chunk_count"))
+        rows = new.join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0).cast("long")))
+        tables = {} if new.isEmpty() else {"documents": rows} | self._derived(titled, state.version + 1)
+        held = self.store.read("quarantine", state)
+        waiting = held.join(given.select("path").distinct(), "path", "left_anti").unionByName(bad)
+        single = {} if bad.isEmpty() and held.isEmpty() else {"quarantine": waiting}
+        if tables or single or done is not None:
+            self.store.compact(self.store.publish(state, titled.count(), done, single, **tables))
+        return rows
+
+    def _derived(self, titled: DataFrame, number: int) -> dict[str, DataFrame]:
+        """Chunks and all that is made from them, for a batch with a number of its own."""
         vectors = embed(titled.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), self.cfg.embedding_dim, "chunk_id", provider=self.embedder)
         mentions = cut(graph.entity_candidates(titled))
+        numbered = cut(number_texts(titled.select("chunk_id", retrieval.lexical_text().alias("text")), number))
         triples = graph.relation_triples(titled, mentions)
-        counts = titled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-        rows = new.join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
-        held = self.store.read("quarantine")
-        waiting = bad if held is None else held.join(given.select("path").distinct(), "path", "left_anti").unionByName(bad)
-        # Without new documents no batch is added, but for the first, which every reader needs.
-        batch = {} if known is not None and new.isEmpty() else {"chunks": titled, "vectors": vectors, "mentions": mentions, "triples": triples, "documents": rows}
-        self.store.publish(quarantine=waiting, **batch)
-        return rows
+        return {"chunks": titled, "vectors": vectors, "mentions": mentions, "triples": triples, "numbers": numbered, "postings": in_term_order(build_postings(numbered), 1 + titled.count() // 100_000)}
 
     def documents(self) -> DataFrame:
         return self.store.read("documents")
@@ -64,24 +86,45 @@ class Engine:
         return self.store.read("chunks").where(F.col("doc_id") == doc_id).orderBy("chunk_index")
 
     def delete_document(self, doc_id: str) -> bool:
-        """Delete a document and all that came from it, which is in its batch; False if there is none."""
-        batch = self.store.batch_of("documents", F.col("doc_id") == doc_id)
-        if batch is None:
-            return False
-        docs, chunks, vectors, mentions, triples = (self.store.read(name, batch) for name in ("documents", "chunks", "vectors", "mentions", "triples"))
-        gone = chunks.where(F.col("doc_id") == doc_id).select("chunk_id")
-        mentions, triples = graph.delete_chunks(mentions, triples, gone)
-        kept = {"chunks": chunks.where(F.col("doc_id") != doc_id), "vectors": vectors.join(gone, "chunk_id", "left_anti"), "documents": docs.where(F.col("doc_id") != doc_id)}
-        self.store.publish(batch, mentions=mentions, triples=triples, **kept)
-        return True
+        """Delete a document and all that came from it by one small commit; False if there is none."""
+        for _ in range(COMMIT_TRIES):
+            state = self.store.state()
+            batch = self.store.batch_of(doc_id, state)
+            if batch is None:
+                return False
+            try:
+                self.store.compact(self.store.commit(state, gone=[[batch, doc_id]]))
+                return True
+            except Conflict:
+                continue
+        raise Conflict("other writers kept coming first")
+
+    def lexical_topk(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(query_id, chunk_id, score, rank)`` from the stored index, whose statistics are those of the live chunks."""
+        state = self.store.state()
+        numbers = self.store.read("numbers", state)
+        worn = [name for name, b in state.batches.items() if b.gone]
+        dead = cut(self.store.read("numbers", state, worn, gone=True).join(numbers, "number", "left_anti").select("number")) if worn else None
+        return IndexSearch(self.store.read("postings", state), numbers, queries, k, self.cfg, dead).topk()
 
     def _graph(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return graph.search(queries, self.store.read("mentions"), self.store.read("triples"), self.cfg)
+        mentions, triples = self.store.read("mentions"), self.store.read("triples")
+        try:
+            nodes, edges, scores = graph.search(queries, mentions, triples, self.cfg)
+            return nodes, edges, cut(scores)
+        except Exception as error:
+            logging.getLogger(__name__).warning("graph channel failed: %s", error)
+            none = graph.search(queries.limit(0), mentions.limit(0), triples.limit(0), self.cfg)
+            return none
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None, channels: tuple[str, ...] = retrieval.CHANNELS) -> tuple[DataFrame, DataFrame]:
-        """Contexts ``(query_id, rank, chunk_id, title, content, ...)`` and subgraph edges of ``queries (query_id, query)``."""
+        """Contexts ``(query_id, rank, chunk_id, title, content, ...)`` and subgraph edges of ``queries (query_id, query)``.
+
+        A channel that fails counts as one that finds nothing, with a warning in the log; so does a failing graph, which has no edges then.
+        """
         _, edges, scores = self._graph(queries)
-        found = retrieval.hybrid_search(self.store.read("chunks"), queries, self.cfg, scores, top_k, self.store.read("vectors"), channels, self.embedder)
+        chunks, lexical = self.store.read("chunks"), lambda q, k: self.lexical_topk(q, k)
+        found = retrieval.hybrid_search(chunks, queries, self.cfg, scores, top_k, self.store.read("vectors"), channels, self.embedder, lexical, guard=True)
         # Answers, prompts and checks all start from these few rows a query, so they are made once.
         return cut(found), edges
 
@@ -101,10 +144,11 @@ class Engine:
             prompts = synthesis.context_prompt(queries, contexts, edges if enable_graph else None)
             generator = self.generator
             nothing = lambda batch: batch[["query_id"]].assign(said=None)
+            id_type = queries.schema["query_id"].dataType.simpleString()
             ask = guarded(lambda batches: (b.rename(columns={"answer": "said"}) for b in generator(batches)), nothing, ["query_id", "prompt"])
-            answers = answers.join(prompts.mapInPandas(ask, "query_id long, said string"), "query_id", "left").withColumn("answer", F.coalesce("said", "answer")).drop("said")
+            answers = answers.join(prompts.mapInPandas(ask, f"query_id {id_type}, said string"), "query_id", "left").withColumn("answer", F.coalesce("said", "answer")).drop("said")
         answers, verified = self._verify(answers, contexts)
-        listed = verified.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_ord", "claim", "status", "confidence", "cited_chunk_id"))).alias("claims"))
+        listed = verified.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("claim_ord", "claim", "status", "confidence", "cited_chunk_id", "reasoning", "citation_badge"))).alias("claims"))
         records = verification.source_records(verification.citation_numbers(verified), contexts)
         cited = records.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "cited_chunk_id", "document_title", "breadcrumbs", "excerpt"))).alias("sources"))
         shown = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "title", "score"))).alias("chunks"))
@@ -124,7 +168,7 @@ class Engine:
         answers = cut(answers)
         claim_rows = verification.claim_table(answers, cfg=self.cfg)
         aligned = cut(verification.align(claim_rows, contexts, self.cfg, provider=self.embedder))
-        return answers, cut(verification.claim_status(claim_rows, aligned, self.cfg))
+        return answers, cut(verification.explained(verification.claim_status(claim_rows, aligned, self.cfg), aligned, contexts))
 
     def answer_events(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """``(query_id, seq, event, data)``: routing, subgraph, sources, tokens, verification, done."""
@@ -146,23 +190,34 @@ class Engine:
         )
         return rows.select("query_id", F.posexplode(events).alias("seq", "e")).select("query_id", "seq", "e.event", "e.data")
 
+    def _entities(self) -> DataFrame:
+        """``(canonical_id, name, entity_type)`` of all entities and ends of triples."""
+        return graph.add_endpoints(graph.entity_merge(self.store.read("mentions")), self.store.read("triples"))
+
     def _nodes(self) -> DataFrame:
-        entities = graph.add_endpoints(graph.entity_merge(self.store.read("mentions")), self.store.read("triples"))
-        return entities.select(F.col("canonical_id").alias("node"))
+        return self._entities().select(F.col("canonical_id").alias("node"))
 
-    def graph_stats(self) -> DataFrame:
-        return graph.graph_stats(self._nodes(), self.store.read("triples"))
+    def graph_stats(self, top_k: int = 10) -> DataFrame:
+        """One row: counts, density, components and the most central entities ``(canonical_id, name, type, score)``, best first."""
+        best = graph.central(self._entities(), self.store.read("triples"), top_k)
+        listed = F.array_sort(F.collect_list(F.struct("place", "canonical_id", "name", "type", "score")))
+        central = best.agg(F.transform(listed, lambda x: x.dropFields("place")).alias("central_entities"))
+        return graph.graph_stats(self._nodes(), self.store.read("triples")).join(central)
 
     def central_entities(self, top_k: int = 8) -> DataFrame:
-        ranked = graph.pagerank(self._nodes(), self.store.read("triples"))
-        return ranked.select("node", F.round("score", 4).alias("score")).orderBy(F.desc("score"), "node").limit(top_k)
+        """``(canonical_id, name, type, score)`` by PageRank, best first, ties to the smaller id."""
+        return graph.central(self._entities(), self.store.read("triples"), top_k).orderBy("place").drop("place")
 
     def subgraph(self, max_nodes: int = 35) -> tuple[DataFrame, DataFrame]:
-        """Nodes with degrees and edges around the eight most central entities."""
-        seeds = self.central_entities(8).select(F.lit(0).alias("query_id"), "node")
-        nodes = graph.k_hop_nodes(seeds, self.store.read("triples"), 2, max(5, min(100, max_nodes)))
-        edges = graph.induced_edges(nodes, self.store.read("triples"))
-        return graph.subgraph_degrees(nodes, edges), edges
+        """Nodes ``(query_id, node, depth, is_seed, degree, name, type, chunk_ids)`` and edges around the eight most central entities; without such, around the first five."""
+        entities, triples = self._entities(), self.store.read("triples")
+        central = self.central_entities(8).select("canonical_id")
+        if central.isEmpty():
+            central = entities.select("canonical_id").orderBy("canonical_id").limit(5)
+        seeds = central.select(F.lit(0).alias("query_id"), F.col("canonical_id").alias("node"))
+        nodes = graph.k_hop_nodes(seeds, triples, 2, max(5, min(100, max_nodes)))
+        edges = graph.induced_edges(nodes, triples)
+        return graph.described(graph.subgraph_degrees(nodes, edges), entities, self.store.read("mentions")), edges
 
     def path(self, source: str, target: str, canonical: bool = True) -> DataFrame:
         """Steps between two entities; without a path no rows."""
@@ -170,46 +225,58 @@ class Engine:
         if canonical:
             pair = pair.select(canonicalize(F.col("source")).alias("source"), canonicalize(F.col("target")).alias("target"))
         triples = self.store.read("triples")
-        return graph.label_paths(graph.shortest_paths(pair, triples), triples)
+        steps = graph.label_paths(graph.shortest_paths(pair, triples), triples)
+        return graph.named_steps(steps, self._entities())
 
     def health(self) -> DataFrame:
+        """One row ``(status, documents, entities, triples)``; an empty store has zeros."""
         docs = self.documents().agg(F.count(F.lit(1)).alias("documents"))
         nodes = self._nodes().agg(F.countDistinct("node").alias("entities"))
         edges = self.store.read("triples").agg(F.count(F.lit(1)).alias("triples"))
-        return docs.join(nodes).join(edges)
+        return docs.join(nodes).join(edges).select(F.lit("healthy").alias("status"), "documents", "entities", "triples")
 
     def evaluate(self, samples: DataFrame) -> DataFrame:
-        """Raw metrics of ``samples (query_id, query, truth array<string>)`` by arm: dense only, dense then BM25, full."""
-        queries = samples.select("query_id", "query")
-        arms = {"naive": ("dense",), "hybrid": ("dense", "bm25"), "full": retrieval.CHANNELS}
+        """Raw metrics of ``samples (query_id, query, truth array<string>)`` by arm: dense only, dense then BM25, full.
+
+        ``latency_ms`` is the time that the arm took for all queries together, over their number.
+        """
+        queries = cut(samples.select("query_id", "query"))
+        n = max(1, queries.count())
+        arms = {"naive": (("dense",), 3), "hybrid": (("dense", "bm25"), 5), "full": (retrieval.CHANNELS, 5)}
         parts = None
-        for arm, channels in arms.items():
-            k = 3 if arm == "naive" else 5
-            if arm == "full":
-                rows = self.answer(queries)
-                measured = rows.select("query_id", "answer", "faithfulness", "relevance")
-            else:
-                contexts = self._arm(queries, channels, k)
-                answers, verified = self._verify(synthesis.synthesize(queries, contexts), contexts)
-                measured = answers.join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id").join(verification.relevance(answers, self.cfg, provider=self.embedder), "query_id").select("query_id", "answer", "faithfulness", "relevance")
-            one = measured.join(samples, "query_id").select(F.lit(arm).alias("arm"), "query_id", "faithfulness", "relevance", entity_recall(F.col("truth"), F.col("answer")).alias("entity_recall"))
+        for arm, (channels, k) in arms.items():
+            began = time.perf_counter()
+            measured = cut(self._measured(queries, arm, channels, k))
+            took = F.lit((time.perf_counter() - began) * 1000 / n)
+            one = measured.join(samples.select("query_id", "truth"), "query_id").select(
+                F.lit(arm).alias("arm"), "query_id", "faithfulness", "relevance", entity_recall(F.col("truth"), F.col("answer")).alias("entity_recall"), took.alias("latency_ms")
+            )
             parts = one if parts is None else parts.unionByName(one)
         return parts
 
+    def benchmark(self, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Means of the arms with their latency, and the full arm's gains over the naive one."""
+        summary = cut(benchmark_summary(self.evaluate(samples)))
+        return summary, gains(summary)
+
+    def _measured(self, queries: DataFrame, arm: str, channels: tuple[str, ...], k: int) -> DataFrame:
+        """``(query_id, answer, faithfulness, relevance)`` of an arm."""
+        if arm == "full":
+            return self.answer(queries).select("query_id", "answer", "faithfulness", "relevance")
+        contexts = self._arm(queries, channels, k)
+        answers, verified = self._verify(synthesis.synthesize(queries, contexts), contexts)
+        scored = answers.join(verification.faithfulness(answers, verified).drop("n_claims"), "query_id")
+        return scored.join(verification.relevance(answers, self.cfg, provider=self.embedder), "query_id").select("query_id", "answer", "faithfulness", "relevance")
+
     def _arm(self, queries: DataFrame, channels: tuple[str, ...], k: int) -> DataFrame:
         """First ``k`` distinct chunks of the channels in turn, each channel's best ``k`` in order."""
-        from groundspark.operators.lexical import bm25_topk
-        from groundspark.operators.vectors import dense_topk
-
-        chunks = self.store.read("chunks")
         asked = embed(queries.select("query_id", F.col("query").alias("text")), self.cfg.embedding_dim, "query_id", provider=self.embedder)
         ranked = dense_topk(self.store.read("vectors"), asked, k).select("query_id", "chunk_id", F.col("rank").alias("o"))
         if "bm25" in channels:
-            indexed = chunks.select("chunk_id", F.concat_ws(" ", "title", F.array_join("breadcrumbs", " "), "content").alias("text"))
-            ranked = ranked.unionByName(bm25_topk(indexed, queries, k, self.cfg).select("query_id", "chunk_id", (F.col("rank") + k).alias("o")))
+            ranked = ranked.unionByName(self.lexical_topk(queries, k).select("query_id", "chunk_id", (F.col("rank") + k).alias("o")))
         first = ranked.groupBy("query_id", "chunk_id").agg(F.min("o").alias("o"))
         order = Window.partitionBy("query_id").orderBy("o")
-        return cut(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(chunks, "chunk_id"))
+        return cut(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(self.store.read("chunks"), "chunk_id"))
 
 
 def entity_recall(truth, answer):
@@ -219,8 +286,9 @@ def entity_recall(truth, answer):
 
 
 def benchmark_summary(measured: DataFrame) -> DataFrame:
-    """Mean of each metric by arm, to three places."""
-    return measured.groupBy("arm").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("faithfulness", "relevance", "entity_recall")])
+    """Mean of each metric by arm, to three places, and of the latency in whole milliseconds where it was measured."""
+    timed = [F.avg("latency_ms").cast("int").alias("avg_latency_ms")] if "latency_ms" in measured.columns else []
+    return measured.groupBy("arm").agg(*[F.round(F.avg(c), 3).alias(c) for c in ("faithfulness", "relevance", "entity_recall")], *timed)
 
 
 def gains(summary: DataFrame, base: str = "naive", arm: str = "full") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
@@ -12,6 +13,7 @@ from groundspark.functions.text import content_tokens
 from groundspark.operators.embedding import embed
 from groundspark.operators.lexical import bm25_topk
 from groundspark.operators.vectors import dense_topk
+from groundspark.runtime import cut
 
 CHANNELS = ("dense", "bm25", "graph")
 
@@ -38,34 +40,69 @@ def rerank(candidates: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("q", "c")
 
 
+def lexical_text() -> Column:
+    """What BM25 indexes of a chunk: title, breadcrumbs and content."""
+    return F.concat_ws(" ", "title", F.array_join("breadcrumbs", " "), "content")
+
+
 def rankings(
-    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS, provider: Callable | None = None
+    chunks: DataFrame,
+    queries: DataFrame,
+    cfg: Config = Config(),
+    graph: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    channels: tuple[str, ...] = CHANNELS,
+    provider: Callable | None = None,
+    lexical: Callable[[DataFrame, int], DataFrame] | None = None,
+    guard: bool = False,
 ) -> DataFrame:
     """``(query_id, chunk_id, modality, rank)`` of the dense and BM25 channels, and of ``graph`` rankings if given.
 
     ``chunks`` has ``chunk_id``, ``title``, ``content`` and ``breadcrumbs``; ``queries`` has ``query_id`` and ``query``;
-    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks, made by the same ``provider``.
+    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks, made by the same ``provider``; ``lexical`` may
+    search a stored index instead of the texts. With ``guard`` each channel is worked out at once, and one that fails is empty.
     """
-    parts = []
-    if "dense" in channels:
-        if vectors is None:
-            vectors = embed(chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), cfg.embedding_dim, "chunk_id", provider=provider)
+
+    def dense() -> DataFrame:
+        held = vectors
+        if held is None:
+            held = embed(chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), cfg.embedding_dim, "chunk_id", provider=provider)
         asked = embed(queries.select("query_id", F.col("query").alias("text")), cfg.embedding_dim, "query_id", provider=provider)
-        parts.append(dense_topk(vectors, asked, cfg.dense_top_k).select("query_id", "chunk_id", F.lit("dense").alias("modality"), "rank"))
-    if "bm25" in channels:
-        indexed = chunks.select("chunk_id", F.concat_ws(" ", "title", F.array_join("breadcrumbs", " "), "content").alias("text"))
-        parts.append(bm25_topk(indexed, queries, cfg.bm25_top_k, cfg).select("query_id", "chunk_id", F.lit("bm25").alias("modality"), "rank"))
-    if graph is not None and "graph" in channels:
-        parts.append(graph.where(F.col("rank") <= cfg.graph_top_k).select("query_id", "chunk_id", F.lit("graph").alias("modality"), "rank"))
-    made = parts[0]
-    for p in parts[1:]:
-        made = made.unionByName(p)
-    return made
+        return dense_topk(held, asked, cfg.dense_top_k)
+
+    def bm25() -> DataFrame:
+        if lexical is not None:
+            return lexical(queries, cfg.bm25_top_k)
+        return bm25_topk(chunks.select("chunk_id", lexical_text().alias("text")), queries, cfg.bm25_top_k, cfg)
+
+    made = {"dense": dense, "bm25": bm25, "graph": lambda: graph.where(F.col("rank") <= cfg.graph_top_k)}
+    out = None
+    for name in (n for n in CHANNELS if n in channels and (n != "graph" or graph is not None)):
+        try:
+            part = made[name]().select("query_id", "chunk_id", F.lit(name).alias("modality"), F.col("rank").cast("int").alias("rank"))
+            part = cut(part) if guard else part
+        except Exception as error:
+            if not guard:
+                raise
+            logging.getLogger(__name__).warning("channel %s failed and counts as empty: %s", name, error)
+            part = queries.join(chunks.limit(0).select("chunk_id")).select("query_id", "chunk_id", F.lit(name).alias("modality"), F.lit(0).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, cfg: Config = Config(), graph: DataFrame | None = None, k: int | None = None, vectors: DataFrame | None = None, channels: tuple[str, ...] = CHANNELS, provider: Callable | None = None
+    chunks: DataFrame,
+    queries: DataFrame,
+    cfg: Config = Config(),
+    graph: DataFrame | None = None,
+    k: int | None = None,
+    vectors: DataFrame | None = None,
+    channels: tuple[str, ...] = CHANNELS,
+    provider: Callable | None = None,
+    lexical: Callable[[DataFrame, int], DataFrame] | None = None,
+    guard: bool = False,
 ) -> DataFrame:
     """The channels of ``rankings``, fused and reranked."""
-    fused = rrf_fuse(rankings(chunks, queries, cfg, graph, vectors, channels, provider), cfg).join(chunks, "chunk_id").join(queries, "query_id")
+    found = rankings(chunks, queries, cfg, graph, vectors, channels, provider, lexical, guard)
+    fused = rrf_fuse(found, cfg).join(chunks, "chunk_id").join(queries, "query_id")
     return rerank(fused, k or cfg.final_top_k)

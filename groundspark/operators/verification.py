@@ -14,6 +14,13 @@ from groundspark.operators.embedding import dot, embed
 # Texts in answers.
 UNKNOWN, BADGE_ENTAILED, BADGE_CONTRADICTION = "Unknown Document", " ✓", " ⚠️ [Contradiction Detected]"
 ENTAILED, NEUTRAL, CONTRADICTION = "ENTAILED", "NEUTRAL", "CONTRADICTION"
+# Reasons and badges of single claims.
+REASON_NOTHING = "No context passages available for verification."
+REASON_NEUTRAL = "Claim contains facts not fully corroborated by retrieved context."
+REASON_POLARITY = "Polarity conflict: claim negates a fact affirmed in the context"
+REASON_NUMBERS, REASON_VERSUS = "Numerical discrepancy: Claim cites ", " vs Context "
+REASON_ALIGNED, REASON_CHUNK, REASON_COSINE, REASON_RECALL = "Aligned with '", "' (Chunk ", ") [Cosine: ", ", Token Recall: "
+CLAIM_CONTRADICTED, CLAIM_VERIFIED, CLAIM_UNVERIFIED = "❌ CONTRADICTION", "✅ Verified [", "⚠️ UNVERIFIED"
 
 
 def claim_table(answers: DataFrame, id_col: str = "query_id", text_col: str = "answer", cfg: Config = Config(), strict: bool = False) -> DataFrame:
@@ -73,6 +80,36 @@ def claim_status(claim_rows: DataFrame, aligned: DataFrame, cfg: Config = Config
     return all_rows.select(id_col, "claim_ord", "claim", status.alias("status"), conf.alias("confidence"), cited.alias("cited_chunk_id"))
 
 
+def explained(verified: DataFrame, aligned: DataFrame, contexts: DataFrame, id_col: str = "query_id") -> DataFrame:
+    """``verified`` with ``reasoning`` and ``citation_badge``.
+
+    A contradiction names the numbers that clash (sorted), or the negation, with the first contradicting context; an entailed claim the
+    title, the first eight characters of the chunk's id, cosine and recall of its best one.
+    """
+    told = contexts.select(id_col, "rank", "title", numbers(F.col("content")).alias("x_nums"))
+    against = aligned.where("contradicts").groupBy(id_col, "claim_ord").agg(F.min("rank").alias("rank")).join(told, [id_col, "rank"]).select(id_col, "claim_ord", F.col("x_nums").alias("against_nums"))
+    best = best_evidence(aligned, id_col).join(told.drop("x_nums"), [id_col, "rank"], "left").select(id_col, "claim_ord", F.col("chunk_id").alias("best_chunk"), "title", "cosine", "recall")
+    seen = aligned.groupBy(id_col, "claim_ord").agg(F.count(F.lit(1)).alias("n_contexts"))
+    keys = [id_col, "claim_ord"]
+    rows = verified.join(against, keys, "left").join(best, keys, "left").join(seen, keys, "left")
+    own = numbers(F.col("claim"))
+    shown = lambda c: F.concat(F.lit("{"), F.array_join(F.array_sort(c), ", "), F.lit("}"))
+    places = lambda c: F.format_string("%.2f", F.bround(c, 2))
+    clash = (F.size(own) > 0) & (F.size("against_nums") > 0) & ~F.arrays_overlap(own, "against_nums")
+    fact = F.concat(
+        F.lit(REASON_ALIGNED), F.coalesce("title", F.lit(UNKNOWN)), F.lit(REASON_CHUNK), F.substring(F.col("best_chunk").cast("string"), 1, 8),
+        F.lit(REASON_COSINE), places("cosine"), F.lit(REASON_RECALL), places("recall"), F.lit("]"),
+    )
+    reason = (
+        F.when(F.col("n_contexts").isNull(), REASON_NOTHING)
+        .when(F.col("status") == CONTRADICTION, F.when(clash, F.concat(F.lit(REASON_NUMBERS), shown(own), F.lit(REASON_VERSUS), shown(F.col("against_nums")))).otherwise(REASON_POLARITY))
+        .when(F.col("status") == ENTAILED, fact)
+        .otherwise(REASON_NEUTRAL)
+    )
+    badge = F.when(F.col("status") == CONTRADICTION, CLAIM_CONTRADICTED).when(F.col("status") == ENTAILED, F.concat(F.lit(CLAIM_VERIFIED), F.coalesce("title", F.lit(UNKNOWN)), F.lit("]"))).otherwise(CLAIM_UNVERIFIED)
+    return rows.select(*verified.columns, reason.alias("reasoning"), badge.alias("citation_badge"))
+
+
 def faithfulness(answers: DataFrame, verified: DataFrame, id_col: str = "query_id") -> DataFrame:
     """``(id_col, faithfulness, n_claims)``: entailed share; answers without claims are faithful."""
     share = verified.groupBy(id_col).agg(F.avg((F.col("status") == ENTAILED).cast("double")).alias("f"), F.count(F.lit(1)).alias("n"))

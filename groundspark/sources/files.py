@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import strip, title_case
 from groundspark.operators.chunking import section_array
+from groundspark.runtime import cut
 
 
 def registry(files: DataFrame) -> DataFrame:
@@ -56,15 +58,32 @@ def pdf_sections(pages: DataFrame) -> DataFrame:
     )
 
 
+def _each_file(pdf_pages: Callable) -> Callable:
+    """The extractor on one file at a time: a file on which it raises gives one row with the reason."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.iloc[[i]]
+                try:
+                    found = [p[["doc_id", "page_no", "text"]].assign(reason=None) for p in pdf_pages(iter([one[["doc_id", "content"]]]))]
+                except Exception as error:  # whatever an extractor makes of a broken file
+                    found = [pd.DataFrame({"doc_id": one["doc_id"], "page_no": None, "text": None, "reason": f"PDF extractor: {error}"[:500]})]
+                yield from (p.assign(path=one["path"].iloc[0]) for p in found)
+
+    return run
+
+
 def parse(files: DataFrame, pdf_pages: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Sections and quarantine of ``(path, content, title)``.
 
     Text is UTF-8 with bad bytes replaced. PDFs need ``pdf_pages``, a ``mapInPandas`` function from (doc_id, content) to
-    (doc_id, page_no, text); without it they are quarantined with a reason, and so are null contents.
+    (doc_id, page_no, text); it is called for one file at a time, and a file on which it raises goes to quarantine with the reason, alone.
+    So do all PDFs without an extractor, and null contents. Of files with equal contents the first by path is read.
     """
     keyed = files.withColumn("doc_id", F.sha2("content", 256))
     usable = keyed.where("content is not null")
-    plain = usable.where(~is_pdf(F.col("path")))
+    plain = usable.where(~is_pdf(F.col("path"))).dropDuplicates(["doc_id"])
     text = F.make_valid_utf8(F.col("content").cast("string"))
     found = plain.select("doc_id", F.posexplode(section_array(text)).alias("section_index", "s")).select(
         "doc_id", F.col("section_index").cast("long").alias("section_index"), F.col("s.text").alias("text"), F.col("s.crumbs").alias("breadcrumbs"), F.lit(1).alias("page_number")
@@ -74,6 +93,9 @@ def parse(files: DataFrame, pdf_pages: Callable | None = None) -> tuple[DataFram
     if pdf_pages is None:
         bad = bad.unionByName(pdfs.select("path", F.lit("no PDF extractor").alias("reason")))
     else:
-        pages = pdfs.select("doc_id", "content").mapInPandas(pdf_pages, "doc_id string, page_no int, text string")
-        found = found.unionByName(pdf_sections(pages))
+        once = pdfs.groupBy("doc_id").agg(F.min("path").alias("path"), F.first("content").alias("content"))
+        pages = cut(once.mapInPandas(_each_file(pdf_pages), "path string, doc_id string, page_no int, text string, reason string"))
+        found = found.unionByName(pdf_sections(pages.where("reason is null")))
+        failed = pages.where("reason is not null").select("doc_id", "reason")
+        bad = bad.unionByName(pdfs.join(failed, "doc_id").select("path", "reason"))
     return found, bad

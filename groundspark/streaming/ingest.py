@@ -19,10 +19,12 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.lit(None).cast("string").alias("title"), F.sha2("content", 256).alias("checksum_sha256"))
 
 
-def ingest_stream(stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Hand every micro-batch to ``sink`` (for instance ``Engine.ingest``), then stop when no files are left.
+def ingest_stream(stream: DataFrame, sink: Callable[[DataFrame, tuple[str, int]], object], checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Hand every micro-batch to ``sink`` (for instance ``Engine.ingest``) with the writer's name and the batch's number, then stop when no files are left.
 
-    After a restart from ``checkpoint`` finished files aren't read again; a batch that a failure repeats
-    is dropped by the sink's own check of checksums.
+    After a restart from ``checkpoint`` finished files aren't read again. A batch that a failure repeats has the number it had, so a sink that
+    commits the number with the rows, as the engine does, has each batch once. The name is the checkpoint's folder unless one is given.
     """
-    return stream.writeStream.foreachBatch(lambda df, _: sink(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = name or checkpoint.rstrip("/")
+    each = lambda df, number: sink(df, (writer, number)) and None
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
