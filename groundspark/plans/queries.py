@@ -12,10 +12,10 @@ from groundspark.config import Config
 from groundspark.engine import benchmark_summary as summarise
 from groundspark.engine import entity_recall as recall_of
 from groundspark.functions import text as T
-from groundspark.operators import graph, lexical, retrieval, synthesis, vectors, verification
+from groundspark.operators import graph, lexical, lexical_index, retrieval, synthesis, vectors, verification
 from groundspark.operators.chunking import chunks, sections
 from groundspark.operators.embedding import bucket_sign, sparse_embed
-from groundspark.runtime import cut, spread, table
+from groundspark.runtime import cut, scratch, spread, table
 from groundspark.sources import files
 
 #: Short vectors keep the SQL equivalents quick; the operator's own default is 384.
@@ -163,6 +163,14 @@ def bm25_topk(spark, d, job=AS_SQL):
     return _bm25(spark, d, 8, job).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def bm25_index_topk(spark, d, job=AS_SQL):
+    """The rows of ``bm25_topk`` from an index that is written, with blocks that can't reach the best left unread."""
+    path = scratch(spark, "bm25-index")
+    lexical_index.write_index(_docs(spark, d, job), path, id_col="doc_id")
+    found = lexical_index.open_index(path, _bench(spark, d, job), 8, job.cfg, "doc_id").topk()
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def _mentions(spark, d, job):
     return graph.entity_candidates(_docs(spark, d, job), "doc_id", "text")
 
@@ -265,6 +273,36 @@ def pagerank(spark, d, job=AS_SQL):
     return graph.pagerank(_ends(triples), triples, iterations=job.rounds, tolerance=job.tolerance).select("node", F.round("score", 9).alias("score"))
 
 
+def _named(spark, d):
+    """Display names and types of the ends of ``_triples``."""
+    make = lambda t, p, key, name, kind: table(spark, d, t).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("canonical_id"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"))
+    people = make("customer", "c", "c_custkey", "c_name", "CUSTOMER").unionByName(make("supplier", "s", "s_suppkey", "s_name", "SUPPLIER"))
+    return people.unionByName(make("nation", "n", "n_nationkey", "n_name", "NATION")).unionByName(make("region", "r", "r_regionkey", "r_name", "REGION"))
+
+
+def path_names(spark, d):
+    """The steps of ``shortest_path`` with display names."""
+    nation = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    pairs = nation.select(F.col("node").alias("source")).join(nation.select(F.col("node").alias("target")), F.col("source") < F.col("target"))
+    triples = _triples(spark, d)
+    made = graph.named_steps(graph.label_paths(graph.shortest_paths(pairs, triples), triples), _named(spark, d))
+    return made.select("source", "target", F.col("hop").cast("long").alias("hop"), "from_name", "to_name", "relation")
+
+
+def subgraph_described(spark, d):
+    """The nodes of ``k_hop_subgraph`` with name, type and the number of chunks that mention them."""
+    triples, nodes, edges = _subgraph(spark, d)
+    made = graph.described(graph.subgraph_degrees(nodes, edges), _named(spark, d), _entity_chunks(triples))
+    return made.select("query_id", "node", "name", "type", "degree", F.size("chunk_ids").cast("long").alias("n_chunks"))
+
+
+def central_entities(spark, d):
+    """The ten entities with the highest PageRank: a report of ten rows."""
+    triples = _triples(spark, d)
+    used = _named(spark, d).join(_ends(triples).withColumnRenamed("node", "canonical_id"), "canonical_id", "left_semi")
+    return graph.central(used, triples, 10, iterations=10, tolerance=None).select(F.col("place").cast("long").alias("place"), "canonical_id", "name", "type", "score")
+
+
 def degree_centrality(spark, d):
     triples = _triples(spark, d)
     return graph.degree_centrality(_ends(triples), triples).select("node", F.round("centrality", 9).alias("centrality"))
@@ -402,6 +440,15 @@ def claim_status(spark, d, job=AS_SQL):
     return _verified(spark, d, job).select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "status", (F.round("confidence", 3) + F.lit(0.0)).alias("confidence"), "cited_chunk_id")
 
 
+def claim_reasoning(spark, d, job=AS_SQL):
+    """Why each claim has its status, and its badge; a context's title is its conversation."""
+    claims, aligned = _aligned(spark, d, job)
+    aligned = cut(aligned)
+    contexts = _contexts(spark, d, job).withColumn("title", F.concat(F.lit("Conversation "), F.substring_index("chunk_id", "#", 1)))
+    made = verification.explained(verification.claim_status(claims, aligned, job.cfg), aligned, contexts)
+    return made.select("query_id", F.col("claim_ord").cast("long").alias("claim_ord"), "reasoning", "citation_badge")
+
+
 def faithfulness(spark, d, job=AS_SQL):
     return verification.faithfulness(_answers(spark, d, job), _verified(spark, d, job))
 
