@@ -23,7 +23,7 @@ from groundspark.runtime import cut
 FILTERS = "ABCDE"
 DUPLICATE = FILTERS.index("E")
 #: Bytes of distinct texts that may share a prefix before it is lengthened, and how many prefixes can be that heavy.
-PREFIX_BYTES = 8 << 20
+PREFIX_BYTES = 1 << 20
 HEAVY_PREFIXES = 4096
 #: Characters of the first prefix, and the factor by which a heavy one grows.
 FIRST_PREFIX, LONGER = 8, 8
