@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
-from groundspark.functions.providers import guarded
+from groundspark.functions.providers import Embedder, Generator, PdfPages, guarded
 from groundspark.functions.text import canonicalize, strategy, subqueries
 from groundspark.operators import graph, retrieval, synthesis, verification
 from groundspark.operators.chunking import chunks as make_chunks
-from groundspark.operators.embedding import embed
+from groundspark.operators.embedding import LOCAL, embed, embed_once
 from groundspark.operators.lexical_index import IndexSearch, build_postings, in_term_order, number_texts
-from groundspark.operators.vectors import dense_topk
+from groundspark.operators.vectors import dense_topk_in_space
 from groundspark.runtime import cut
 from groundspark.sources.files import dedupe, parse, registry
 from groundspark.sources.store import Conflict, State, Store
@@ -28,10 +27,12 @@ COMMIT_TRIES = 8
 class Engine:
     """All state is in the store; every method returns a DataFrame and takes batches of rows."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: Config = Config(), embedder: Callable | None = None, generator: Callable | None = None, pdf_pages: Callable | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, cfg: Config = Config(), embedder: Embedder | None = None, generator: Generator | None = None, pdf_pages: PdfPages | None = None, space: str = "remote") -> None:
         self.spark, self.cfg, self.store = spark, cfg, Store(spark, root)
         #: Providers for remote embedding and generation (``mapInPandas`` functions); both default to the deterministic ones.
         self.embedder, self.generator, self.pdf_pages = embedder, generator, pdf_pages
+        #: Name of the vector space that queries and chunks are embedded in; a model of another kind needs another name.
+        self.space = LOCAL if embedder is None else space
 
     def ingest(self, files: DataFrame, done: tuple[str, int] | None = None) -> DataFrame:
         """Ingest ``(path, content, title)``; returns the new registry rows. Known contents are skipped.
@@ -69,11 +70,37 @@ class Engine:
 
     def _derived(self, titled: DataFrame, number: int) -> dict[str, DataFrame]:
         """Chunks and all that is made from them, for a batch with a number of its own."""
-        vectors = embed(titled.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), self.cfg.embedding_dim, "chunk_id", provider=self.embedder)
+        vectors = self._vectors(titled)
         mentions = cut(graph.entity_candidates(titled))
         numbered = cut(number_texts(titled.select("chunk_id", retrieval.lexical_text().alias("text")), number))
         triples = graph.relation_triples(titled, mentions)
-        return {"chunks": titled, "vectors": vectors, "mentions": mentions, "triples": triples, "numbers": numbered, "postings": in_term_order(build_postings(numbered), 1 + titled.count() // 100_000)}
+        return {"chunks": titled, "vectors": vectors, "mentions": mentions, "entities": graph.entity_counts(mentions), "triples": triples, "numbers": numbered, "postings": in_term_order(build_postings(numbered), 1 + titled.count() // 100_000)}
+
+    def _vectors(self, chunks: DataFrame) -> DataFrame:
+        """``(chunk_id, embedding, space, text_key)``. A provider is asked only for texts that no stored vector of its space has."""
+        texts = chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text"))
+        if self.embedder is None:
+            return embed(texts, self.cfg.embedding_dim, "chunk_id", space=LOCAL).withColumn("text_key", F.lit(None).cast("string"))
+        return embed_once(texts, self.store.read("vectors"), self.cfg.embedding_dim, "chunk_id", self.embedder, self.space)
+
+    def refresh_vectors(self) -> int:
+        """Embed chunks again whose vectors are of another space than the engine's, for instance local stand-ins of an outage; returns how many are left."""
+        for name in list(self.store.state().batches):
+            for _ in range(COMMIT_TRIES):
+                state = self.store.state()
+                if name not in state.batches or self.store.read("vectors", state, [name]).where(F.col("space") != self.space).isEmpty():
+                    break
+                try:
+                    self.store.replace(state, name, vectors=self._vectors(self.store.read("chunks", state, [name])))
+                    break
+                except Conflict:
+                    continue
+        return self.store.read("vectors").where(F.col("space") != self.space).count()
+
+    def dense_topk(self, queries: DataFrame, k: int) -> DataFrame:
+        """``(query_id, chunk_id, score, rank)`` among the stored vectors of each question's own space."""
+        asked = embed(queries.select("query_id", F.col("query").alias("text")), self.cfg.embedding_dim, "query_id", provider=self.embedder, space=self.space)
+        return dense_topk_in_space(self.store.read("vectors"), cut(asked), k, (self.space, LOCAL))
 
     def documents(self) -> DataFrame:
         return self.store.read("documents")
@@ -108,9 +135,10 @@ class Engine:
         return IndexSearch(self.store.read("postings", state), numbers, queries, k, self.cfg, dead).topk()
 
     def _graph(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        mentions, triples = self.store.read("mentions"), self.store.read("triples")
+        state = self.store.state()
+        mentions, triples = self.store.read("mentions", state), self.store.read("triples", state)
         try:
-            nodes, edges, scores = graph.search(queries, mentions, triples, self.cfg)
+            nodes, edges, scores = graph.search(queries, mentions, triples, self.cfg, self.store.entities(state))
             return nodes, edges, cut(scores)
         except Exception as error:
             logging.getLogger(__name__).warning("graph channel failed: %s", error)
@@ -123,8 +151,8 @@ class Engine:
         A channel that fails counts as one that finds nothing, with a warning in the log; so does a failing graph, which has no edges then.
         """
         _, edges, scores = self._graph(queries)
-        chunks, lexical = self.store.read("chunks"), lambda q, k: self.lexical_topk(q, k)
-        found = retrieval.hybrid_search(chunks, queries, self.cfg, scores, top_k, self.store.read("vectors"), channels, self.embedder, lexical, guard=True)
+        stored = {"lexical": lambda q, k: self.lexical_topk(q, k), "nearest": lambda q, k: self.dense_topk(q, k)}
+        found = retrieval.hybrid_search(self.store.read("chunks"), queries, self.cfg, scores, top_k, channels=channels, guard=True, **stored)
         # Answers, prompts and checks all start from these few rows a query, so they are made once.
         return cut(found), edges
 
@@ -192,7 +220,8 @@ class Engine:
 
     def _entities(self) -> DataFrame:
         """``(canonical_id, name, entity_type)`` of all entities and ends of triples."""
-        return graph.add_endpoints(graph.entity_merge(self.store.read("mentions")), self.store.read("triples"))
+        state = self.store.state()
+        return graph.add_endpoints(self.store.entities(state), self.store.read("triples", state))
 
     def _nodes(self) -> DataFrame:
         return self._entities().select(F.col("canonical_id").alias("node"))
@@ -270,8 +299,7 @@ class Engine:
 
     def _arm(self, queries: DataFrame, channels: tuple[str, ...], k: int) -> DataFrame:
         """First ``k`` distinct chunks of the channels in turn, each channel's best ``k`` in order."""
-        asked = embed(queries.select("query_id", F.col("query").alias("text")), self.cfg.embedding_dim, "query_id", provider=self.embedder)
-        ranked = dense_topk(self.store.read("vectors"), asked, k).select("query_id", "chunk_id", F.col("rank").alias("o"))
+        ranked = self.dense_topk(queries, k).select("query_id", "chunk_id", F.col("rank").alias("o"))
         if "bm25" in channels:
             ranked = ranked.unionByName(self.lexical_topk(queries, k).select("query_id", "chunk_id", (F.col("rank") + k).alias("o")))
         first = ranked.groupBy("query_id", "chunk_id").agg(F.min("o").alias("o"))

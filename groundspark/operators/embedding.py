@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from groundspark.functions.providers import guarded
 from groundspark.functions.text import STOP_WORDS, word_tokens
 from groundspark.operators.vectors import unit
+from groundspark.runtime import cut
 
 _STOP = frozenset(STOP_WORDS)
+#: The space of hashed features.
+LOCAL = "local"
 #: Words, and numbers of vectors, that a task works on at once, about.
 PART_WORDS, PART_CELLS = 1 << 18, 1 << 20
 
@@ -95,25 +98,42 @@ def sparse_embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str =
     return embed(texts, dim, id_col, text_col).select(id_col, F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
 
 
-def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text", provider: Callable | None = None) -> DataFrame:
+def embed(texts: DataFrame, dim: int, id_col: str = "id", text_col: str = "text", provider: Callable | None = None, space: str | None = None) -> DataFrame:
     """``(id_col, embedding array<double>)``, a row for each row of ``texts`` (null texts have no words).
 
     Every vector comes from its own row, so nothing is shuffled. ``provider``, a ``mapInPandas`` function over (id, text) batches that yields (id, embedding), takes
     the place of the hashed features; its vectors are scaled to unit length, and such of another length than ``dim`` are an error.
-    Batches on which it raises get hashed features, so an outage leaves vectors of both kinds in a store.
+    Batches on which it raises get hashed features. With ``space``, a name for the provider's vectors, a column ``space`` tells the two kinds apart: it
+    holds that name, or ``LOCAL`` for hashed features.
     """
+    id_type = texts.schema[id_col].dataType.simpleString()
     if provider is not None:
-        id_type = texts.schema[id_col].dataType.simpleString()
+        name = space or "remote"
 
         def local(batch: pd.DataFrame) -> pd.DataFrame:
-            return batch[[id_col]].assign(embedding=list(_vectors(pa.array(batch["words"], pa.list_(pa.string())), dim)))
+            return batch[[id_col]].assign(embedding=list(_vectors(pa.array(batch["words"], pa.list_(pa.string())), dim)), space=LOCAL)
+
+        def remote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for made in provider(batches):
+                yield made[[id_col, "embedding"]].assign(space=name)
 
         listed = texts.select(id_col, text_col, word_tokens(F.col(text_col)).alias("words"))
-        made = listed.mapInPandas(guarded(provider, local, [id_col, text_col]), f"`{id_col}` {id_type}, embedding array<double>")
+        made = listed.mapInPandas(guarded(remote, local, [id_col, text_col]), f"`{id_col}` {id_type}, embedding array<double>, space string")
         wrong = F.raise_error(F.concat(F.lit("embedding length is not "), F.lit(str(dim))))
-        return made.withColumn("embedding", F.when(F.size("embedding") == dim, unit(F.col("embedding"))).otherwise(wrong))
+        made = made.withColumn("embedding", F.when(F.size("embedding") == dim, unit(F.col("embedding"))).otherwise(wrong))
+        return made if space is not None else made.drop("space")
     listed = texts.select(id_col, word_tokens(F.col(text_col)).alias("words"))
-    return listed.mapInArrow(lambda batches: _embed_batches(batches, id_col, dim), f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, embedding array<double>")
+    made = listed.mapInArrow(lambda batches: _embed_batches(batches, id_col, dim), f"`{id_col}` {id_type}, embedding array<double>")
+    return made if space is None else made.withColumn("space", F.lit(LOCAL))
+
+
+def embed_once(texts: DataFrame, known: DataFrame, dim: int, id_col: str, provider: Callable, space: str) -> DataFrame:
+    """``(id_col, embedding, space, text_key)`` of ``texts (id_col, text)``; the provider is asked only for distinct texts that ``known (text_key, embedding, space)`` lacks in its space."""
+    keyed = texts.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    held = known.where(F.col("space") == space).dropDuplicates(["text_key"]).select("text_key", "embedding", "space")
+    new = keyed.join(held.select("text_key"), "text_key", "left_anti").groupBy("text_key").agg(F.min("text").alias("text"))
+    made = cut(embed(new, dim, "text_key", provider=provider, space=space))
+    return keyed.join(held.unionByName(made), "text_key").select(id_col, "embedding", "space", "text_key")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -54,16 +54,19 @@ def rankings(
     channels: tuple[str, ...] = CHANNELS,
     provider: Callable | None = None,
     lexical: Callable[[DataFrame, int], DataFrame] | None = None,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
     guard: bool = False,
 ) -> DataFrame:
     """``(query_id, chunk_id, modality, rank)`` of the dense and BM25 channels, and of ``graph`` rankings if given.
 
     ``chunks`` has ``chunk_id``, ``title``, ``content`` and ``breadcrumbs``; ``queries`` has ``query_id`` and ``query``;
-    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks, made by the same ``provider``; ``lexical`` may
-    search a stored index instead of the texts. With ``guard`` each channel is worked out at once, and one that fails is empty.
+    ``graph`` has ``(query_id, chunk_id, rank)``. ``vectors`` may hold ready embeddings of the chunks, made by the same ``provider``; ``lexical`` and ``nearest`` may
+    search what is stored instead. With ``guard`` each channel is worked out at once, and one that fails is empty.
     """
 
     def dense() -> DataFrame:
+        if nearest is not None:
+            return nearest(queries, cfg.dense_top_k)
         held = vectors
         if held is None:
             held = embed(chunks.select("chunk_id", F.concat_ws(": ", "title", "content").alias("text")), cfg.embedding_dim, "chunk_id", provider=provider)
@@ -100,9 +103,10 @@ def hybrid_search(
     channels: tuple[str, ...] = CHANNELS,
     provider: Callable | None = None,
     lexical: Callable[[DataFrame, int], DataFrame] | None = None,
+    nearest: Callable[[DataFrame, int], DataFrame] | None = None,
     guard: bool = False,
 ) -> DataFrame:
     """The channels of ``rankings``, fused and reranked."""
-    found = rankings(chunks, queries, cfg, graph, vectors, channels, provider, lexical, guard)
+    found = rankings(chunks, queries, cfg, graph, vectors, channels, provider, lexical, nearest, guard)
     fused = rrf_fuse(found, cfg).join(chunks, "chunk_id").join(queries, "query_id")
     return rerank(fused, k or cfg.final_top_k)

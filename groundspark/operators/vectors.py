@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
         parts = spark.createDataFrame([], StructType([StructField("query_id", kind), vectors.schema[id_col], StructField("score", DoubleType())]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def dense_topk_in_space(vectors: DataFrame, queries: DataFrame, k: int, spaces: tuple[str, ...], id_col: str = "chunk_id") -> DataFrame:
+    """``dense_topk`` among the vectors of each query's own ``space``, a column of both sides; vectors of different spaces never meet."""
+    parts = [dense_topk(vectors, queries.where(F.col("space") == s), k, id_col, where=F.col("space") == s) for s in dict.fromkeys(spaces)]
+    return reduce(DataFrame.unionByName, parts)

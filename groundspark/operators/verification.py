@@ -39,18 +39,18 @@ def align(claim_rows: DataFrame, contexts: DataFrame, cfg: Config = Config(), id
     """Each claim with each context of its query: ``shared``, ``recall``, ``cosine``, ``score``, ``contradicts``.
 
     ``contexts`` has ``rank``, ``chunk_id`` and ``content``. Every distinct text is embedded once; a context
-    counts with its first ``context_chars`` characters in the cosine and whole in the recall.
+    counts with its first ``context_chars`` characters in the cosine and whole in the recall. Vectors of different spaces (see ``embed``) have the cosine 0.
     """
     claim_rows = claim_rows.select(id_col, "claim_ord", "claim", stem_tokens(F.col("claim")).alias("c_stems"), F.xxhash64("claim").alias("c_key"))
     head = F.substring("content", 1, cfg.context_chars)
     contexts = contexts.select(id_col, "rank", "chunk_id", stem_tokens(F.col("content")).alias("x_stems"), numbers(F.col("content")).alias("x_nums"), head.alias("head"), F.xxhash64(head).alias("x_key"))
     texts = claim_rows.select(F.col("c_key").alias("key"), F.col("claim").alias("text")).unionByName(contexts.select(F.col("x_key").alias("key"), F.col("head").alias("text"))).groupBy("key").agg(F.min("text").alias("text"))
-    vectors = embed(texts, cfg.embedding_dim, "key", provider=provider)
-    left = claim_rows.join(vectors.select(F.col("key").alias("c_key"), F.col("embedding").alias("c_vec")), "c_key")
-    right = contexts.join(vectors.select(F.col("key").alias("x_key"), F.col("embedding").alias("x_vec")), "x_key")
+    vectors = embed(texts, cfg.embedding_dim, "key", provider=provider, space="remote")
+    left = claim_rows.join(vectors.select(F.col("key").alias("c_key"), F.col("embedding").alias("c_vec"), F.col("space").alias("c_space")), "c_key")
+    right = contexts.join(vectors.select(F.col("key").alias("x_key"), F.col("embedding").alias("x_vec"), F.col("space").alias("x_space")), "x_key")
     both = left.join(right, id_col).withColumn("shared", F.size(F.array_intersect("c_stems", "x_stems")))
     recall = F.when(F.size("c_stems") > 0, F.col("shared") / F.size("c_stems")).otherwise(0.0)
-    scored = both.withColumn("recall", recall).withColumn("cosine", dot(F.col("c_vec"), F.col("x_vec")))
+    scored = both.withColumn("recall", recall).withColumn("cosine", F.when(F.col("c_space") == F.col("x_space"), dot(F.col("c_vec"), F.col("x_vec"))).otherwise(0.0))
     return scored.withColumn("score", 0.6 * F.col("cosine") + 0.4 * F.col("recall")).withColumn("contradicts", contradicts(F.col("claim"), F.col("x_nums"), F.col("shared"))).select(
         id_col, "claim_ord", "claim", "rank", "chunk_id", "shared", "recall", "cosine", "score", "contradicts"
     )
@@ -144,8 +144,9 @@ def relevance(answers: DataFrame, cfg: Config = Config(), id_col: str = "query_i
     head = F.substring(text_col, 1, cfg.context_chars)
     texts = answers.select(F.struct(id_col, F.lit("q").alias("side")).alias("key"), F.col(query_col).alias("text")).unionByName(answers.select(F.struct(id_col, F.lit("a").alias("side")).alias("key"), head.alias("text")))
     keyed = texts.select(F.to_json("key").alias("k"), F.col(f"key.{id_col}").alias(id_col), "key.side", "text")
-    vectors = embed(keyed.select("k", "text"), cfg.embedding_dim, "k", provider=provider).join(keyed.select("k", id_col, "side"), "k")
-    q = vectors.where("side = 'q'").select(id_col, F.col("embedding").alias("qv"))
-    a = vectors.where("side = 'a'").select(id_col, F.col("embedding").alias("av"))
-    value = F.round((dot(F.col("qv"), F.col("av")) + 1) / 2, 3)
+    vectors = embed(keyed.select("k", "text"), cfg.embedding_dim, "k", provider=provider, space="remote").join(keyed.select("k", id_col, "side"), "k")
+    q = vectors.where("side = 'q'").select(id_col, F.col("embedding").alias("qv"), F.col("space").alias("q_space"))
+    a = vectors.where("side = 'a'").select(id_col, F.col("embedding").alias("av"), F.col("space").alias("a_space"))
+    near = F.when(F.col("q_space") == F.col("a_space"), dot(F.col("qv"), F.col("av"))).otherwise(0.0)
+    value = F.round((near + 1) / 2, 3)
     return q.join(a, id_col).select(id_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("relevance"))
