@@ -212,7 +212,9 @@ def _across(met: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame,
     known = own.join(found, "node", "left").select("src", "node", F.coalesce("component", "node").alias("component"))
     held = cut(known.join(nodes.select("node", "n_shingles"), "node"))
     per = held.groupBy("src", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    mixed = per.groupBy("src").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("largest"), F.sum("size").alias("size")).where("parts > 1")
+    mixed = per.groupBy("src").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "n").alias("largest"), F.sum("size").alias("size"))
+    # Written first, so that the join shuffles both its sides and a pivot of very many members can be split.
+    mixed = cut(mixed.where("parts > 1"))
     blocks = F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
     rows = held.join(mixed.select("src", "largest", blocks), "src").withColumn("other", F.col("component") != F.col("largest"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
