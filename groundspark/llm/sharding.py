@@ -18,19 +18,32 @@ from groundspark.runtime import cut
 #: Rows that are ranked together in a task, about; buckets of a ranking are summed up in one sorted run.
 BUCKET_ROWS = 4000
 SEED = "interleave-1"
+#: Copies of a row that one task makes at once.
+REPEATS = 100_000
 
 
-def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str], out: str) -> DataFrame:
-    """Row number from 0 within ``group`` by (bucket, order), where bucket never falls along order."""
-    counts = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_in_bucket"))
+def _ranked(df: DataFrame, group: list[str], bucket: str, order: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Row number from 0 within ``group`` by (bucket, order), where bucket never falls along order; a row counts ``weight`` times if given."""
+    each = F.lit(1) if weight is None else F.col(weight)
+    counts = df.groupBy(*group, bucket).agg(F.sum(each).alias("_in_bucket"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, bucket, F.coalesce(F.sum("_in_bucket").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*group, bucket).orderBy(*order)
-    numbered = df.withColumn("_in", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = df.withColumn("_in", F.coalesce(F.sum(each).over(inside), F.lit(0)))
     cond = [numbered[c].eqNullSafe(offsets[c]) for c in [*group, bucket]]
     return numbered.join(offsets, cond).select(*[numbered[c] for c in df.columns], (F.col("_in") + F.col("_before")).alias(out))
 
 
+def _repeated(df: DataFrame, times: str, out: str) -> DataFrame:
+    """Each row ``times`` times, with ``out`` counting from 0. Rows that stand for very many are taken apart over all tasks."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.lit(REPEATS).cast("long")
+    few = df.where(F.col(times) <= REPEATS).withColumn("_from", F.lit(0).cast("long")).withColumn("_to", F.col(times) - 1)
+    many = df.where(F.col(times) > REPEATS).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, step))).repartition(tasks, "_from")
+    both = few.unionByName(many.withColumn("_to", F.least(F.col("_from") + step, F.col(times)) - 1))
+    return both.withColumn(out, F.explode(F.sequence("_from", "_to"))).drop("_from", "_to", times)
+
+
 def interleave(
     docs: DataFrame,
     shards: int = 16,
@@ -59,9 +72,12 @@ def interleave(
     slim = cut(slim.withColumn("mix", F.md5(mixed)))
     totals = slim.groupBy(F.col("source").alias("source_t")).agg(F.count(F.lit(1)).alias("in_source"))
     n = slim.count()
-    known = slim.join(totals, slim["source"].eqNullSafe(F.col("source_t"))).drop("source_t")
+    # Whole repeats are one row with a count until they have their ranks, so that they are no hot bucket.
+    distinct = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("times"))
+    known = distinct.join(totals, distinct["source"].eqNullSafe(F.col("source_t"))).drop("source_t")
     own_parts = F.ceil(F.col("in_source") / bucket_rows)
-    first = _ranked(known.withColumn("part", F.floor(word("mix") * own_parts / F.lit(float(1 << 32))).cast("int")), ["source"], "part", ["mix", "id", "crc", "size"], "rank")
+    first = _ranked(known.withColumn("part", F.floor(word("mix") * own_parts / F.lit(float(1 << 32))).cast("int")), ["source"], "part", ["mix", "id", "crc", "size"], "rank", "times")
+    first = _repeated(first, "times", "nth").withColumn("rank", F.col("rank") + F.col("nth"))
     offset = word(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce("source", F.lit(""))))) / F.lit(float(1 << 32))
     spread = first.select("id", "source", "size", "crc", "mix", ((F.col("rank") + offset) / F.col("in_source")).alias("fraction"))
     parts = max(1, -(-n // bucket_rows))
