@@ -51,11 +51,13 @@ def _codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    big = np.maximum(np.abs(a).max(axis=1, initial=1.0), np.abs(b).max(axis=1, initial=1.0)) > 1e100
-    if big.any():
+    """Cosines of rows; such as have very large or very small components are scaled first, so that no square overflows or vanishes."""
+    most = np.stack([np.abs(x).max(axis=1, initial=0.0) for x in (a, b)])
+    odd = ((most > 1e100) | (most < 1e-100)).any(axis=0)
+    if odd.any():
         a, b = a.copy(), b.copy()
-        a[big] /= np.abs(a[big]).max(axis=1, keepdims=True)
-        b[big] /= np.abs(b[big]).max(axis=1, keepdims=True)
+        a[odd] /= np.abs(a[odd]).max(axis=1, keepdims=True)
+        b[odd] /= np.abs(b[odd]).max(axis=1, keepdims=True)
     dot = lambda u, v: np.einsum("ij,ij->i", u, v)
     return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 

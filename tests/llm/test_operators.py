@@ -45,6 +45,16 @@ def rows():
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[20]), (None, None), (5, texts[5])]
 
 
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    phrases = decontam.Phrases([(1, b"ha " * 400), (2, b"ha " * 12 + b"ho"), (3, b"oh")], 13)
+    began = time.perf_counter()
+    n, spans, items = decontam.find_hits([b"ha " * 160_000, b"x oh x"], phrases)
+    assert time.perf_counter() - began < 10
+    assert n == [160_000, 3] and spans == [[(0, 160_000)], [(1, 2)]] and items == [{"1"}, {"3"}]
+
+
 def test_simhash_equals_brute_force(spark, rows):
     found = simhash.near_duplicates(docs_of(spark, rows)).withColumn("f", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     want = brute.components([(d, brute.fingerprint(t)) for d, t in rows])
@@ -318,6 +328,22 @@ def test_sharding_equals_brute_force(spark):
     assert sharding.interleave(frame.limit(0)).count() == 0
 
 
+def test_many_whole_repeats_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 7)
+    rows = [(None, "hot", None)] * 200 + [(k, "hot" if k % 2 else "cold", "text " * (k % 5)) for k in range(60)] + [(3, "hot", "text " * 3)] * 8
+    held = sharding.interleave(spark.createDataFrame(rows, "doc_id long, source string, text string"), 4, bucket_rows=10)
+    assert got(held, "doc_id", "size", "text_crc32", "shard", "slot") == sorted(brute.interleave(rows, 4, sharding.SEED), key=str)
+
+
+def test_cosines_of_tiny_and_huge_components(spark):
+    rows = [(0, [1e-200, 2e-200]), (1, [1e-200, 2.1e-200]), (2, [2e-200, -1e-200]), (3, [3e150, 6e150]), (4, [5e-324, 1e-323]), (5, [-1.0, -2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, F.col("vec_id") == 0, k=5).orderBy("rank").collect()
+    assert {r["vec_id"] for r in found[:2]} == {3, 4} and [r["vec_id"] for r in found[2:]] == [1, 2, 5]
+    for r, want in zip(found, [1, 1, 0.999875, 0, -1], strict=True):
+        assert abs(r["score"] - want) < 1e-4
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(300, 8)).astype(np.float32)
