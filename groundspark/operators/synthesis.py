@@ -14,6 +14,8 @@ PROMPT_INSTRUCTIONS = (
     "\n\n=== INSTRUCTIONS ===\nSynthesize a clear, direct, and factual answer based ONLY on the evidence above. "
     "Organize your thoughts into distinct declarative statements so they can be verified."
 )
+FACT_START, FACT_JOINT, FACT_END = "According to the knowledge graph, ", ", while ", "."
+EXCERPT_SOURCE, EXCERPT_SECTION, EXCERPT_END, EXCERPT_ROOT = "\n[Source #", " | Section: ", "]:\n", "Root"
 NOTHING_BEFORE, NOTHING_AFTER = "No verified information regarding '", "' was found in the indexed corpus. Please ingest relevant documents to query this topic."
 
 _WORDS = r"(?U)\b\w+\b"
@@ -28,7 +30,7 @@ def graph_fact_sentence(edges: DataFrame, order_col: str, k: int = 5, id_col: st
     """``(id_col, fact)``: the first ``k`` edges as one sentence."""
     part = F.concat_ws(" ", title_case(_spaced(F.col("source_id"))), F.lower(_spaced(F.col("relation"))), title_case(_spaced(F.col("target_id"))))
     parts = edges.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct(order_col, part.alias("s")))), 1, k).alias("p"))
-    return parts.select(id_col, F.concat(F.lit("According to the knowledge graph, "), F.array_join(F.transform("p", lambda x: x["s"]), ", while "), F.lit(".")).alias("fact"))
+    return parts.select(id_col, F.concat(F.lit(FACT_START), F.array_join(F.transform("p", lambda x: x["s"]), FACT_JOINT), F.lit(FACT_END)).alias("fact"))
 
 
 def salient(query: Column, contexts: Column, facts: Column, k_contexts: int = 3, enough: int = 5) -> Column:
@@ -71,8 +73,8 @@ def synthesize(queries: DataFrame, contexts: DataFrame, facts: DataFrame | None
 
 def context_prompt(queries: DataFrame, contexts: DataFrame, edges: DataFrame | None = None, id_col: str = "query_id", max_edges: int = 12) -> DataFrame:
     """``(id_col, prompt)`` for a remote model: query, relations, numbered excerpts, instructions."""
-    crumbs = F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " > ")).otherwise("Root")
-    excerpt = contexts.select(id_col, "rank", F.concat(F.lit("\n[Source #"), F.col("rank").cast("string"), F.lit(": "), "title", F.lit(" | Section: "), crumbs, F.lit("]:\n"), strip(F.col("content"))).alias("s"))
+    crumbs = F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " > ")).otherwise(EXCERPT_ROOT)
+    excerpt = contexts.select(id_col, "rank", F.concat(F.lit(EXCERPT_SOURCE), F.col("rank").cast("string"), F.lit(": "), "title", F.lit(EXCERPT_SECTION), crumbs, F.lit(EXCERPT_END), strip(F.col("content"))).alias("s"))
     parts = excerpt.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("excerpts"))
     joined = queries.join(parts, id_col, "left")
     none = F.expr("cast(array() as array<string>)")
