@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from groundspark.llm import queries, sharding
-from groundspark.llm.sql import ORACLES
+from groundspark.llm.sql import OP5, ORACLES
 from tests.conftest import TINY
 from tests.llm import brute
 from tests.test_queries import compare
@@ -71,6 +71,10 @@ def test_simhash(spark):
     assert got(queries.op3_simhash(spark, TINY), "doc_id", "fingerprint", "component_id") == sorted(want, key=str)
 
 
+def test_sharding_equals_sql(spark):
+    compare(spark, queries.op5_sharding, OP5)
+
+
 def test_sharding(spark):
     want = brute.interleave(columns("documents", "doc_id", "source", "text"), 16, sharding.SEED)
     out = queries.op5_sharding(spark, TINY)
