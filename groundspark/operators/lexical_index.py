@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundspark.config import Config
 from groundspark.functions.text import word_tokens
-from groundspark.runtime import cut
+from groundspark.runtime import cut, delete
 
 #: Numbers in a block, as bits.
 BLOCK_BITS = 8
@@ -28,7 +28,7 @@ FEW, SEEDS = 64, 4
 
 
 def number_texts(texts: DataFrame, batch: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, number, dl, words)`` of materialised ``texts``: a number of its own for each row, close together within a partition."""
+    """``(id_col, number, dl, words)`` of ``texts``: a number of its own for each row, close together within a partition. Numbers hold once the result, or ``texts``, is written."""
     at = F.monotonically_increasing_id()
     part, row = F.shiftright(at, 33), at.bitwiseAND(F.lit((1 << 33) - 1))
     fits = (part < (1 << PART_BITS)) & (row < (1 << ROW_BITS))
@@ -169,10 +169,13 @@ class IndexSearch:
 def write_index(texts: DataFrame, path: str, batch: int = 0, files: int | None = None, id_col: str = "chunk_id", text_col: str = "text") -> None:
     """Write ``postings`` and ``numbers`` of ``texts`` under ``path``."""
     spark = texts.sparkSession
-    numbered = cut(number_texts(cut(texts.select(id_col, text_col)), batch, id_col, text_col))
+    # Written, and so fixed, with the words: smaller than a checkpoint, and gone when the postings are there.
+    number_texts(texts.select(id_col, text_col), batch, id_col, text_col).write.parquet(f"{path}/words")
+    numbered = spark.read.parquet(f"{path}/words")
     numbered.select(id_col, "number", "dl").write.parquet(f"{path}/numbers")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_term_order(build_postings(numbered), files).write.options(**PAGES).parquet(f"{path}/postings")
+    delete(spark, f"{path}/words")
 
 
 def open_index(path: str, queries: DataFrame, k: int, cfg: Config = Config(), id_col: str = "chunk_id") -> IndexSearch:
