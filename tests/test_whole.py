@@ -102,6 +102,12 @@ def same_claims(spark, folder, turns):
     assert made == {(q, k): brute.status(claim, users[int(q.split("-")[0])]) for (q, k), claim in claims.items()}
 
 
+def test_what_is_left_of_a_cancelled_sum_is_no_evidence(spark):
+    rows = [("a", 0, 1, "x", 1e-17), ("a", 1, 1, "x", -1e-17), ("a", 1, 2, "y", 1e-9), ("b", 0, 1, "x", 0.5 + 1e-12), ("b", 0, 2, "y", 0.5 + 2e-12)]
+    aligned = spark.createDataFrame(rows, "query_id string, claim_ord int, rank int, chunk_id string, score double")
+    assert sorted((r["query_id"], r["claim_ord"], r["chunk_id"]) for r in verification.best_evidence(aligned).collect()) == [("a", 1, "y"), ("b", 0, "x")]
+
+
 def test_vectors_have_the_operators_length(spark, talks):
     made = {(r["item_id"], r["bucket"]): r["value"] for r in registry.WHOLE["hash_embedding_whole"](spark, talks).collect()}
     want = {(i, b): v for i, text in ((0, "Copper lantern in the old harbour"), (1, "")) for b, v in enumerate(brute.embedding(text, 384)) if abs(v) > 1e-9}
