@@ -43,3 +43,14 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["semantic_chunks", "semantic_chunks_whole"])
+def test_chunks_end_at_headings_in_sql_too(spark, tmp_path, name):
+    long = " ".join(f"Sentence {i} tells of rivers and of stones in them." for i in range(60))
+    texts = [f"{long}\n## Next part\n{long}\nfew left", f"ж### folded ж\n{long}", "# Only\r\n## headings here and there", f"Before it all ends.\n \t# A\n# B\n\n### C d\nAfter it all begins anew.\n#none\n####### nor this one", "###\n\u2028# x\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    have, want = (registry.QUERIES | registry.WHOLE)[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES[name]).df()
+    assert rows_of(have, sorted(have.columns)) == rows_of(want, sorted(have.columns)) and len(have) > 10
