@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundspark.config import Config
 from groundspark.engine import Engine
-from groundspark.operators import lexical_index, retrieval, vectors, verification
+from groundspark.operators import lexical, lexical_index, retrieval, vectors, verification
 from groundspark.operators.lexical import bm25_topk
 from groundspark.runtime import cut
 from groundspark.sources import store as store_module
@@ -418,3 +419,47 @@ def test_long_texts_are_cut_in_linear_time(spark):
     many = spark.createDataFrame([(1, "# t\nx\n## u\ny\n" * 1000)], "doc_id long, text string")
     found = sections(many).orderBy("section_index").collect()
     assert len(found) == 2000 and all(r["breadcrumbs"] == (["t"], ["t", "u"])[k % 2] and r["text"] == "xy"[k % 2] for k, r in enumerate(found))
+
+
+def by_hand(texts, asked, k, cfg):
+    """Ranked ``(id, score)`` of each query, in plain Python."""
+    words = {i: (t or "").lower().split() for i, t in texts}
+    n, avgdl = len(words), sum(map(len, words.values())) / len(words)
+    out = {}
+    for q, query in asked:
+        scores = {}
+        for w in (query or "").lower().split():
+            df = sum(w in x for x in words.values())
+            for i, x in words.items():
+                if w in x:
+                    tf, rare = x.count(w), max(math.log(1 + (n - df + 0.5) / (df + 0.5)), 0.01)
+                    scores[i] = scores.get(i, 0) + rare * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * len(x) / avgdl))
+        out[q] = sorted(scores.items(), key=lambda p: (-round(p[1], 10), p[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("bounds", [(8 << 20, 2048, 1 << 21), (64, 2, 12)])
+def test_bm25_scores_texts_where_they_are(spark, monkeypatch, bounds):
+    for name, value in zip(("MAX_QUERY_BYTES", "TILE_QUERIES", "MAX_PAIRS"), bounds):
+        monkeypatch.setattr(lexical, name, value)
+    rng, cfg = random.Random(5), Config()
+    words = ["the"] * 8 + "raft leader quorum river winter copper signal".split()
+    texts = [(f"t{i:03}", "the " + " ".join(rng.choices(words, k=rng.randint(1, 30)))) for i in range(120)]
+    texts += [(f"copy{i}", texts[7][1]) for i in range(9)] + [("empty", ""), ("null", None)]
+    asked = [(f"q{i}", " ".join(rng.choices(words, k=4))) for i in range(7)] + [("none", "absent"), ("blank", ""), ("nothing", None)]
+    found = lexical.bm25_topk(spark.createDataFrame(texts, "chunk_id string, text string").repartition(3), spark.createDataFrame(asked, "query_id string, query string"), 6, cfg)
+    # A word that all texts have must not be the key of a join or a shuffle.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "term" in line for line in plan.splitlines())
+    want = by_hand(texts, asked, 6, cfg)
+    have = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        have.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    assert {q: [i for i, _ in x] for q, x in have.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
+    assert all(s == pytest.approx(want[q][n][1], abs=1e-12) for q, x in have.items() for n, (_, s) in enumerate(x))
+
+
+def test_shared_words_count_once(spark):
+    texts = spark.createDataFrame([(1, "a a a b"), (2, "b c a"), (3, "A B"), (4, "z")], "chunk_id long, text string")
+    found = lexical.WordSearch(texts, spark.createDataFrame([(0, "a b c c"), (1, "q")], "query_id long, query string")).shared(2)
+    assert [(r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in found.orderBy("rank").collect()] == [(0, 2, 1, 3.0), (0, 1, 2, 2.0)]
