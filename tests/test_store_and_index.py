@@ -6,18 +6,21 @@ import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from groundspark.config import Config
 from groundspark.engine import Engine
-from groundspark.operators import lexical, lexical_index, retrieval, vectors, verification
+from groundspark.operators import embedding, lexical, lexical_index, retrieval, vectors, verification
 from groundspark.operators.lexical import bm25_topk
 from groundspark.runtime import cut
 from groundspark.sources import store as store_module
 from groundspark.sources.files import texts_as_files
 from groundspark.sources.store import SCHEMAS, Conflict, Store
 from groundspark.streaming.ingest import file_stream, ingest_stream
+from tests import brute_whole as brute
 from tests.test_engine import NOTES
 
 SMALL = Config(embedding_dim=16, chunk_target=40, chunk_overlap=10, chunk_min=5)
@@ -463,3 +466,12 @@ def test_shared_words_count_once(spark):
     texts = spark.createDataFrame([(1, "a a a b"), (2, "b c a"), (3, "A B"), (4, "z")], "chunk_id long, text string")
     found = lexical.WordSearch(texts, spark.createDataFrame([(0, "a b c c"), (1, "q")], "query_id long, query string")).shared(2)
     assert [(r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in found.orderBy("rank").collect()] == [(0, 2, 1, 3.0), (0, 1, 2, 2.0)]
+
+
+def test_each_gram_is_hashed_once(monkeypatch):
+    seen, hashed = [], embedding._hashed
+    monkeypatch.setattr(embedding, "_hashed", lambda features, salt, dim: seen.append(list(features)) or hashed(features, salt, dim))
+    texts = ["banana bananas cabana größe", "", "banana banana ten"]
+    made = embedding._vectors(pa.array([brute.tokens(t) for t in texts], pa.list_(pa.string())), 50)
+    assert all(len(set(f)) == len(f) for f in seen)
+    assert made == pytest.approx(np.array([brute.embedding(t, 50) for t in texts]), abs=1e-12)
