@@ -200,6 +200,21 @@ def test_blocks_of_a_stop_word_are_skipped(spark, tmp_path):
     assert [(r["chunk_id"], round(r["score"], 9)) for r in found] == [(r["chunk_id"], round(r["score"], 9)) for r in want]
 
 
+def test_rare_words_share_stored_rows(spark, tmp_path):
+    """A word that few of many blocks' texts hold is one stored row, not one for each block; taken apart the rows are those of its blocks."""
+    texts = spark.range(3000).select(F.format_string("c%04d", "id").alias("chunk_id"), F.concat(F.lit("the "), F.format_string("w%d", F.col("id") % 50), F.lit(" the end")).alias("text"))
+    lexical_index.write_index(texts.repartitionByRange(1, "chunk_id"), str(tmp_path / "i"), files=1)
+    stored = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    assert {r["term"]: r["count"] for r in stored.groupBy("term").count().collect()} == {f"w{k}": 1 for k in range(50)} | {"the": 12, "end": 12}
+    apart = {(r["term"], r["block"]): r for r in lexical_index.in_blocks(stored).collect()}
+    want = {}
+    for n in range(3000):
+        for term, tf in (("the", 2), ("end", 1), (f"w{n % 50}", 1)):
+            want.setdefault((term, n >> 8), []).append((n, tf, 4))
+    assert {k: list(zip(r["numbers"], r["tfs"], r["dls"])) for k, r in apart.items()} == want
+    assert all((r["held"], r["most_tf"], r["least_dl"], r["last"]) == (len(want[k]), want[k][0][1], 4, None) for k, r in apart.items())
+
+
 def test_engine_index_follows_batches_and_deletes(spark, tmp_path):
     eng = Engine(spark, str(tmp_path / "s"), SMALL)
     rng = random.Random(4)
