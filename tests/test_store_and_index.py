@@ -483,6 +483,14 @@ def test_shared_words_count_once(spark):
     assert [(r["query_id"], r["chunk_id"], r["rank"], r["score"]) for r in found.orderBy("rank").collect()] == [(0, 2, 1, 3.0), (0, 1, 2, 2.0)]
 
 
+def test_vectors_are_multiplied_in_arrays(spark):
+    """One call for a batch of pairs, in Python; empty vectors have the product 0."""
+    rows = [(0, [1.0, 2.0], [3.0, 0.5]), (1, [], []), (2, [0.1] * 5, [0.2] * 5), (3, [], []), (4, [-1.0], [4.0])]
+    made = spark.createDataFrame(rows, "id int, a array<double>, b array<double>").coalesce(1).select("id", embedding.dot(F.col("a"), F.col("b")).alias("p"))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: round(r["p"], 12) for r in made.collect()} == {0: 4.0, 1: 0.0, 2: 0.1, 3: 0.0, 4: -4.0}
+
+
 def test_each_gram_is_hashed_once(monkeypatch):
     seen, hashed = [], embedding._hashed
     monkeypatch.setattr(embedding, "_hashed", lambda features, salt, dim: seen.append(list(features)) or hashed(features, salt, dim))
