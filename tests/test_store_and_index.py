@@ -273,6 +273,21 @@ def test_names_meet_queries_by_their_rarest_trigram(spark):
     assert found == want and len(want) > 100
 
 
+def test_entities_are_made_once_for_a_match(spark):
+    from groundspark.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    entities = spark.createDataFrame([("raft", "Raft"), ("etcd", "Etcd"), ("log", "the log")], "canonical_id string, name string").mapInArrow(counted, "canonical_id string, name string")
+    found = graph.seed_match(spark.createDataFrame([(1, "Is Raft in the log?"), (2, "none")], "query_id long, query string"), entities)
+    assert {tuple(r) for r in found.collect()} == {(1, "raft"), (1, "log")} and seen.value == 3
+
+
 def test_questions_as_a_stream(spark, tmp_path):
     import json
 
