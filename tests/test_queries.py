@@ -54,3 +54,14 @@ def test_chunks_end_at_headings_in_sql_too(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     have, want = (registry.QUERIES | registry.WHOLE)[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert rows_of(have, sorted(have.columns)) == rows_of(want, sorted(have.columns)) and len(have) > 10
+
+
+@pytest.mark.parametrize("name", ["markdown_sections", "markdown_sections_whole"])
+def test_sections_of_blank_texts_and_odd_titles_in_sql_too(spark, tmp_path, name):
+    texts = ["Plain words.", "", None, " \n", "###", "ж", "\u3000", "Two\r\nlines # here."]
+    rows = [(t, "en", "web") for t in texts] + [("Body.", lang, source) for lang in ("en", "", None, "e\nn", "# x", "\u2028") for source in ("web", "", " w ", "a#b ", "## y", None)]
+    spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    have, want = (registry.QUERIES | registry.WHOLE)[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLES[name]).df()
+    assert rows_of(have, sorted(have.columns)) == rows_of(want, sorted(have.columns)) and len(have) > 72
