@@ -106,9 +106,10 @@ def near_links(fps: DataFrame, radius: int = 3, hot_half: int = HOT_HALF) -> Dat
         cold_own = own
     else:
         cold_own = own.join(hot, ["side", "half"], "left_anti")
+    # Spark takes rows for as few after explode() as before it, so these joins must not be broadcast by its estimate.
     pairs = (
         probes.alias("a")
-        .join(cold_own.alias("b"), (F.col("a.side") == F.col("b.side")) & (F.col("a.key") == F.col("b.half")) & near & _ordered(hot_half, hot))
+        .join(cold_own.hint("merge").alias("b"), (F.col("a.side") == F.col("b.side")) & (F.col("a.key") == F.col("b.half")) & near & _ordered(hot_half, hot))
         .select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     )
     if cold_own is own:
@@ -123,7 +124,7 @@ def near_links(fps: DataFrame, radius: int = 3, hot_half: int = HOT_HALF) -> Dat
     stars = (
         outer.select("side", "key", "bucket", "fp")
         .unionByName(beside.select("side", "key", "bucket", "fp"))
-        .join(centres, ["side", "key", "bucket"])
+        .join(centres.hint("merge"), ["side", "key", "bucket"])
         .where("fp <> centre")
         .select(F.col("fp").alias("src"), F.col("centre").alias("dst"))
     )

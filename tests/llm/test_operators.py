@@ -88,6 +88,25 @@ def test_simhash_hot_halves_lose_no_link(spark):
         assert sorted(map(sorted, member.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize("hot", [3, 10_000])
+def test_simhash_broadcasts_no_variants(spark, hot):
+    halves = random.Random(6).sample(range(1 << 31), 40)
+    fps = spark.createDataFrame([(h << 32 | x,) for h in halves for x in range(8)], "fp long")
+    links = simhash.near_links(fps, 3, hot_half=hot)
+    assert links.count() > 0
+    plan = links._jdf.queryExecution()
+    links._jdf.collectToPython()
+    inside = None
+    for line in plan.executedPlan().toString().split("Initial Plan")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth <= inside:
+            inside = None
+        if "BroadcastExchange" in line:
+            inside = depth
+        # Few hot halves may be broadcast, which are counted before; variants may not.
+        assert inside is None or "Generate" not in line
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
