@@ -421,3 +421,18 @@ def test_dense_search_in_blocks_and_pages_of_any_number(spark, monkeypatch):
     assert get() == whole and len(whole) == 36
     pages = spark.createDataFrame([("d", 30000, "a\n\nb")], "doc_id string, page_no int, text string")
     assert [r["section_index"] for r in pdf_sections(pages).collect()] == [3000000000, 3000000001]
+
+
+def test_entities_for_triples_are_sought_in_related_texts_only(spark, monkeypatch):
+    texts = ["Raft prevents Split. Nothing here.", "Redis Verify this. Disagree ever.", "The Leader is an Actor. Île REQUIRES Étage and Log.", "Éleads to Paxos. Raft", "Paxos depends \n on Raft", "", None, "Unneeded Preventsome causer"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    slow = F.exists(F.array(*[F.lower("content").rlike(graph.uni(p)) for p, _ in graph.RELATIONS]), lambda x: x)
+    assert [r[0] for r in chunks.where(graph.related(F.col("content"))).orderBy("chunk_id").collect()] == [r[0] for r in chunks.where(slow).orderBy("chunk_id").collect()] == [0, 2, 4]
+    for p, name in graph.RELATIONS:
+        for way in p.removeprefix(r"\b(").removesuffix(r")\b").replace("?", "").replace(r"\s+", " ").split("|"):
+            assert spark.range(1).select(graph.related(F.lit(f"X {way.upper()} Y"))).first()[0], (name, way)
+    seen, plain = [], graph.entity_candidates
+    monkeypatch.setattr(graph, "entity_candidates", lambda df, *a: (seen.extend(r[0] for r in df.select("chunk_id").collect()), plain(df, *a))[1])
+    made = graph.text_triples(chunks)
+    assert sorted(seen) == [0, 2, 4]
+    assert sorted(made.collect()) == sorted(graph.relation_triples(chunks, plain(chunks)).collect()) and made.count() >= 3
