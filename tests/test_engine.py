@@ -436,3 +436,18 @@ def test_entities_for_triples_are_sought_in_related_texts_only(spark, monkeypatc
     made = graph.text_triples(chunks)
     assert sorted(seen) == [0, 2, 4]
     assert sorted(made.collect()) == sorted(graph.relation_triples(chunks, plain(chunks)).collect()) and made.count() >= 3
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_chunks_are_scored_in_tasks_as_by_joins(spark, monkeypatch, most):
+    rng = random.Random(8)
+    nodes = [(q, f"é{n}", n % 3, n % 3 == 0) for q in range(12) for n in rng.sample(range(25), rng.randint(0, 9))]
+    edges = [(q, f"c{rng.randrange(60)}" if rng.random() < 0.9 else None) for q in range(14) for _ in range(rng.randint(0, 6))]
+    mentions = [(f"é{rng.randrange(30)}", f"c{rng.randrange(50)}") for _ in range(400)]
+    nodes = spark.createDataFrame(nodes, "query_id long, node string, depth int, is_seed boolean")
+    edges, mentions = spark.createDataFrame(edges, "query_id long, chunk_id string"), spark.createDataFrame(mentions, "canonical_id string, chunk_id string")
+    monkeypatch.setattr(graph, "MOST_WORDS", most)
+    made, want = (f(nodes, edges, mentions, 4).select("query_id", "chunk_id", "score", "rank") for f in (graph.best_chunks, graph.graph_chunk_scores))
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(made.collect()) == sorted(want.collect()) and made.count() > 30
+    assert graph.best_chunks(nodes.limit(0), edges.limit(0), mentions, 4).count() == 0
